@@ -157,10 +157,25 @@ def _num(df: DataFrame, c: str):
     return nan_is_missing(x) if isinstance(dt, (T.FloatType, T.DoubleType)) else x
 
 
+def _gaps(df: DataFrame, num_cols, text_cols) -> tuple[list[str], list[str]]:
+    """Which of the columns have at least one missing cell (one aggregate)."""
+    if not (num_cols or text_cols):
+        return [], []
+    r = df.agg(*[F.count_if(_num(df, c).isNull()).alias(f"_g{i}") for i, c in enumerate(num_cols)],
+               *[F.count_if(qcol(c).isNull()).alias(f"_t{i}") for i, c in enumerate(text_cols)]).first()
+    return ([c for i, c in enumerate(num_cols) if r[f"_g{i}"] > 0],
+            [c for i, c in enumerate(text_cols) if r[f"_t{i}"] > 0])
+
+
 def fill_mean(df: DataFrame, columns=None, means: dict | None = None) -> DataFrame:
-    """Missing numeric cells → column mean (A17/C3/J6). Columns with gaps become DOUBLE."""
+    """Missing numeric cells → column mean.
+
+    Only columns with gaps change, and they become DOUBLE; complete columns keep their type.
+    With ``means`` given, ``columns`` are taken as the columns to fill.
+    """
     cols = list(columns) if columns is not None else S.numeric_columns(df)
     if means is None:
+        cols, _ = _gaps(df, cols, [])
         means = fill_values(df, cols, [])
     out = []
     for c in df.columns:
@@ -172,9 +187,13 @@ def fill_mean(df: DataFrame, columns=None, means: dict | None = None) -> DataFra
 
 
 def fill_mode(df: DataFrame, columns=None, modes: dict | None = None) -> DataFrame:
-    """Missing text cells → most frequent value, ties to the smallest; none → '' (A18/C4)."""
+    """Missing text cells → most frequent value, ties to the smallest; none → '' (A18/C4).
+
+    Only text columns with gaps are touched.
+    """
     cols = list(columns) if columns is not None else S.text_columns(df)
     if modes is None:
+        _, cols = _gaps(df, [], cols)
         modes = fill_values(df, [], cols)
     return df.select(*[F.coalesce(qcol(c), F.lit(modes[c])).alias(c) if c in modes and c in cols
                        else qcol(c) for c in df.columns])
@@ -182,7 +201,7 @@ def fill_mode(df: DataFrame, columns=None, modes: dict | None = None) -> DataFra
 
 def clean(df: DataFrame, rewrite_text: bool = True, persist: bool = True) -> tuple[DataFrame, CleanReport]:
     """The reference's clean step, Spark-first. Returns (cleaned lazy DataFrame, report)."""
-    obs = Observation("clean_input")
+    obs = Observation()
     deduped = dedup(df.observe(obs, F.count(F.lit(1)).alias("rows_in")))
     if persist:
         deduped = deduped.persist(StorageLevel.MEMORY_AND_DISK)

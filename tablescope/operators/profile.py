@@ -164,3 +164,42 @@ def analyze(df: DataFrame, dataset_id: str, median: str = "exact"):
     num = profile_numeric(df, num_cols, median=median).select(F.lit(dataset_id).alias("dataset_id"), "*")
     cat = profile_categorical(df).select(F.lit(dataset_id).alias("dataset_id"), "*")
     return ds, num, cat
+
+
+def missing_counts(df: DataFrame, columns=None) -> DataFrame:
+    """(position, column_name, missing) for every column, one aggregate pass."""
+    cols = list(columns) if columns is not None else list(df.columns)
+    pos = S.positions(df)
+    flt = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    miss = lambda c: (qcol(c).isNull() | F.isnan(qcol(c))) if c in flt else qcol(c).isNull()
+    wide = df.agg(*[F.count_if(miss(c)).alias(f"_m{i}") for i, c in enumerate(cols)])
+    rows = F.array(*[F.struct(F.lit(pos[c]).alias("position"), F.lit(c).alias("column_name"),
+                              F.col(f"_m{i}").alias("missing")) for i, c in enumerate(cols)])
+    return wide.select(F.inline(rows))
+
+
+def analyze_by_key(df: DataFrame, key: str, median: str = "exact"):
+    """Many datasets in one table, one per value of ``key``: (dataset rows, numeric, text).
+
+    The key identifies the dataset and is not profiled; every dataset shares the header, so
+    the type and the profiled columns are decided once.
+    """
+    cols = [c for c in df.columns if c != key]
+    detected = S.detect_type(cols)
+    body = df.select(*[qcol(c) for c in df.columns])
+    num_cols = [c for c in S.profiled_numeric_columns(body, detected, keys=[key])]
+    txt_cols = S.text_columns(body, exclude=[key])
+    ds = (df.groupBy(qcol(key).alias(key)).agg(F.count(F.lit(1)).alias("row_count"))
+          .select(key, "row_count", F.lit(len(cols)).cast("int").alias("column_count"),
+                  F.array(*[F.lit(c) for c in cols]).cast("array<string>").alias("columns"),
+                  F.lit(detected).alias("detected_type")))
+    num = profile_numeric(df, num_cols, keys=[key], median=median)
+    cat = profile_categorical(df, txt_cols, keys=[key])
+    return ds, num, cat
+
+
+def summaries_by_key(df: DataFrame, key: str) -> DataFrame:
+    """(key, summary_text): one data summary per dataset, all datasets in one job graph."""
+    from .render import summary_text
+    ds, num, cat = analyze_by_key(df, key)
+    return summary_text(ds, num, cat, dataset_cols=[key])

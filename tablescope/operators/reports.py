@@ -121,11 +121,11 @@ def metadata_json(source: Column, analysis: Column | None, validation: Column |
 
 
 def list_reports(documents: DataFrame, report_type: str | None = None) -> DataFrame:
-    """(path, report_kind) filtered by the type's folder, path descending.
+    """Report rows filtered by the type's folder, path descending.
 
     A student/finance type lists that folder; any other type, or none, lists everything.
     """
-    df = documents.select("path", "report_kind")
+    df = documents
     if report_type:
         low = report_type.lower()
         if "student" in low:

@@ -119,3 +119,8 @@ def finance_lines(ids: DataFrame, id_col: str = "id", seed: int = 42) -> DataFra
 def synth_finance(spark: SparkSession, seed: int = 42) -> DataFrame:
     """6 months × 8 categories = 48 rows."""
     return finance_lines(spark.range(len(MONTHS) * len(CATEGORIES)), "id", seed)
+
+
+def balance(income: Column, expense: Column) -> Column:
+    """Income minus expense."""
+    return income - expense
