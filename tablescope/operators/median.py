@@ -35,7 +35,7 @@ def _bucket_of(value, bounds, n_bounds: int):
     step_list = F.sequence(F.lit(steps), F.lit(0), F.lit(-1))
 
     def step(acc, s):
-        nxt = acc + F.shiftleft(F.lit(1), s)
+        nxt = acc + F.call_function("shiftleft", F.lit(1), s)
         probe = F.try_element_at(bounds, nxt)
         return F.when(probe.isNotNull() & (probe <= value), nxt).otherwise(acc)
 
@@ -58,23 +58,32 @@ def _pick_middle(cand: DataFrame, g: list[str]) -> DataFrame:
 
 def exact_median(long_df: DataFrame, group_cols, value_col: str = "value",
                  max_group_values: int = DEFAULT_MAX_GROUP_VALUES,
-                 buckets: int = DEFAULT_BUCKETS, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                 buckets: int = DEFAULT_BUCKETS, accuracy: int = DEFAULT_ACCURACY,
+                 max_rows_hint: int | None = None) -> DataFrame:
     """(group_cols..., median DOUBLE) over non-null values of ``value_col``.
 
-    Groups with no values are absent; callers left-join from their group list.
+    ``max_rows_hint``: a known upper bound of non-null values per group (for example the
+    counts of a statistics pass). Rows bound distinct values, so a hint within the limit
+    skips the size-check pass. Groups with no values are absent; callers left-join.
     """
     g = list(group_cols)
     vc = (long_df.where(F.col(value_col).isNotNull())
           .groupBy(*g, F.col(value_col).cast("double").alias("value"))
           .agg(F.count(F.lit(1)).alias("n")))
-    sizes = vc.groupBy(*g).agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total"))
-    biggest = sizes.agg(F.max("distinct")).first()[0] or 0
+    if max_rows_hint is not None and max_rows_hint <= max_group_values:
+        biggest = max_rows_hint
+    else:
+        sizes = vc.groupBy(*g).agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total"))
+        biggest = sizes.agg(F.max("distinct")).first()[0] or 0
     if biggest <= max_group_values:
-        w_all = Window.partitionBy(*g)
+        # Same partitioning and order as the running sum below, so both share one sort.
+        w_all = Window.partitionBy(*g).orderBy("value").rowsBetween(Window.unboundedPreceding,
+                                                                       Window.unboundedFollowing)
         cand = vc.withColumn("total", F.sum("n").over(w_all)).withColumn("below", F.lit(0).cast("bigint"))
         return _pick_middle(cand, g)
     # Narrowing rounds reuse the distinct-value table: cut its lineage once.
     vc = vc.checkpoint()
+    sizes = vc.groupBy(*g).agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total"))
     state = sizes.select(*g, "total", F.lit(None).cast("double").alias("lo"),
                          F.lit(None).cast("double").alias("hi"),
                          F.lit(0).cast("bigint").alias("below"))

@@ -38,10 +38,12 @@ def numeric_value(df: DataFrame, name: str) -> Column:
 
 
 def _long_numeric(df: DataFrame, cols: list[str], keys) -> DataFrame:
+    """(keys..., position, value): ``stack`` with an integer key (cheaper to hash than names)."""
     pos = S.positions(df)
-    cells = F.array(*[F.struct(F.lit(pos[c]).alias("position"), F.lit(c).alias("column_name"),
-                               numeric_value(df, c).alias("value")) for c in cols])
-    return df.select(*[qcol(k) for k in keys], F.inline(cells))
+    args = [F.lit(len(cols))]
+    for c in cols:
+        args += [F.lit(pos[c]), numeric_value(df, c)]
+    return df.select(*[qcol(k) for k in keys], F.stack(*args).alias("position", "value"))
 
 
 def profile_numeric(df: DataFrame, columns=None, keys=(), median: str = "exact",
@@ -77,11 +79,16 @@ def profile_numeric(df: DataFrame, columns=None, keys=(), median: str = "exact",
     stats = wide.select(*[qcol(k) for k in keys], F.inline(rows))
     if median == "approximate":
         return stats
-    med = exact_median(_long_numeric(df, cols, keys), keys + ["position", "column_name"], **median_opts)
-    out = (stats.drop("median")
-           .join(med, keys + ["position", "column_name"], "left"))
-    return out.select(*keys, "position", "column_name", "row_count", "mean", "median", "min", "max",
-                      "std", "missing")
+    # The statistics are one row per (group, column): materialise them once, reliably, and
+    # use their counts as the size bound of the exact median.
+    stats = stats.checkpoint()
+    bound = stats.agg(F.max(F.col("row_count") - F.col("missing"))).first()[0] or 0
+    med = exact_median(_long_numeric(df, cols, keys), keys + ["position"], max_rows_hint=bound, **median_opts)
+    s, m = stats.drop("median").alias("s"), med.alias("m")
+    cond = [F.col(f"s.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys + ["position"]]
+    out = s.join(m, cond, "left").select("s.*", "m.median")
+    return out.select(*[qcol(k) for k in keys], "position", "column_name", "row_count", "mean", "median",
+                      "min", "max", "std", "missing")
 
 
 def _with_keys(df: DataFrame, keys, ddl: str) -> str:
