@@ -174,9 +174,16 @@ def scan_workbooks(spark: SparkSession, path: str, glob: str = "*.xls*", recursi
     return files.mapInPandas(_cells_of_files, CELL_SCHEMA)
 
 
-def read_workbooks(spark: SparkSession, path: str, expected=None, glob: str = "*.xls*"):
-    """(cells, rejects). ``expected``: paths that must exist; absent ones are rejected."""
+def read_workbooks(spark: SparkSession, path: str, expected=None, glob: str = "*.xls*",
+                   materialize: bool = True):
+    """(cells, rejects). ``expected``: paths that must exist; absent ones are rejected.
+
+    Parsing is the costly step and header/type decisions read the cells several times, so the
+    parsed cells are checkpointed once to the cluster's reliable checkpoint folder.
+    """
     scanned = scan_workbooks(spark, path, glob)
+    if materialize:
+        scanned = scanned.checkpoint()
     cells = scanned.where(F.col("error").isNull()).drop("error")
     rejects = scanned.where(F.col("error").isNotNull()).select("dataset_id", F.col("error").alias("reason"))
     if expected:
