@@ -59,17 +59,20 @@ def _pick_middle(cand: DataFrame, g: list[str]) -> DataFrame:
 def exact_median(long_df: DataFrame, group_cols, value_col: str = "value",
                  max_group_values: int = DEFAULT_MAX_GROUP_VALUES,
                  buckets: int = DEFAULT_BUCKETS, accuracy: int = DEFAULT_ACCURACY,
-                 max_rows_hint: int | None = None) -> DataFrame:
+                 max_rows_hint: int | None = None, weight_col: str | None = None) -> DataFrame:
     """(group_cols..., median DOUBLE) over non-null values of ``value_col``.
 
     ``max_rows_hint``: a known upper bound of non-null values per group (for example the
     counts of a statistics pass). Rows bound distinct values, so a hint within the limit
-    skips the size-check pass. Groups with no values are absent; callers left-join.
+    skips the size-check pass. ``weight_col``: rows stand for that many copies of their
+    value (used to add filled cells without materialising them). Groups with no values are
+    absent; callers left-join.
     """
     g = list(group_cols)
     vc = (long_df.where(F.col(value_col).isNotNull())
           .groupBy(*g, F.col(value_col).cast("double").alias("value"))
-          .agg(F.count(F.lit(1)).alias("n")))
+          .agg((F.sum(F.col(weight_col)) if weight_col else F.count(F.lit(1))).cast("bigint").alias("n"))
+          .where(F.col("n") > 0))
     if max_rows_hint is not None and max_rows_hint <= max_group_values:
         biggest = max_rows_hint
     else:

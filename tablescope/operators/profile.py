@@ -160,16 +160,20 @@ def dataset_profile(df: DataFrame, dataset_id: str, detected_type: str | None =
         F.lit(detected).alias("detected_type"))
 
 
-def analyze(df: DataFrame, dataset_id: str, median: str = "exact"):
+def analyze(df: DataFrame, dataset_id: str, median: str = "exact", materialize: bool = True):
     """The full profile of one table: (dataset row, numeric long table, text long table).
 
-    Type detection runs on the header; identifiers are left out of a student profile.
+    Type detection runs on the header; identifiers are left out of a student profile. The
+    results are header-sized and feed several renderers; with ``materialize`` they are
+    checkpointed once.
     """
     detected = S.detect_type(df)
     num_cols = S.profiled_numeric_columns(df, detected)
     ds = dataset_profile(df, dataset_id, detected)
     num = profile_numeric(df, num_cols, median=median).select(F.lit(dataset_id).alias("dataset_id"), "*")
     cat = profile_categorical(df).select(F.lit(dataset_id).alias("dataset_id"), "*")
+    if materialize:
+        ds, num, cat = ds.checkpoint(), num.checkpoint(), cat.checkpoint()
     return ds, num, cat
 
 
@@ -185,7 +189,7 @@ def missing_counts(df: DataFrame, columns=None) -> DataFrame:
     return wide.select(F.inline(rows))
 
 
-def analyze_by_key(df: DataFrame, key: str, median: str = "exact"):
+def analyze_by_key(df: DataFrame, key: str, median: str = "exact", materialize: bool = True):
     """Many datasets in one table, one per value of ``key``: (dataset rows, numeric, text).
 
     The key identifies the dataset and is not profiled; every dataset shares the header, so
@@ -202,6 +206,8 @@ def analyze_by_key(df: DataFrame, key: str, median: str = "exact"):
                   F.lit(detected).alias("detected_type")))
     num = profile_numeric(df, num_cols, keys=[key], median=median)
     cat = profile_categorical(df, txt_cols, keys=[key])
+    if materialize:
+        ds, num, cat = ds.checkpoint(), num.checkpoint(), cat.checkpoint()
     return ds, num, cat
 
 

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import cells as CL
 from ..operators import clean as C
 from ..operators import profile as P
 from ..operators import render as R
@@ -601,6 +602,70 @@ def _o_finance() -> str:
 O_SYNTH_FINANCE = _o_finance()
 
 
+# ---------------------------------------------------------------- long form (many datasets)
+
+def q_cells_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Customer segments stacked into cells and profiled in long form (no per-dataset loop)."""
+    cust = I.load(spark, sf, "customer")
+    cells = CL.stack_table(cust, "c_mktsegment", "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal"])
+    ds, num, cat, _ = CL.profile_cells(cells)
+    return R.summary_text(ds, num, cat)
+
+
+_CELL_COLS = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_note", "price_text", "cust_text",
+              "mixed_text"]
+
+
+def _dirty_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Dirty orders as cells: one dataset per order status."""
+    return CL.stack_table(I.run(spark, sf, I.ORDERS_DIRTY_ROWS), "o_orderstatus", "row_id", _CELL_COLS)
+
+
+def q_cells_cleaning_summary(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, _, summary = CL.profile_cells(_dirty_cells(spark, sf), materialize=False)
+    return summary
+
+
+O_CELLS_CLEANING_SUMMARY = (
+    f"WITH x AS ({I.duck(I.ORDERS_DIRTY)}), d AS (SELECT DISTINCT * FROM x) "
+    f"SELECT a.dataset_id, a.rows_in, b.rows_out, a.rows_in - b.rows_out AS duplicates_removed, "
+    f"a.empty_columns_dropped FROM (SELECT o_orderstatus AS dataset_id, count(*) AS rows_in, "
+    + " + ".join(f"CAST(count({'nullif(mixed_text, ' + chr(39) + 'n/a' + chr(39) + ')' if c == 'mixed_text' else c})"
+                 f" = 0 AS BIGINT)" for c in _CELL_COLS) +
+    f" AS empty_columns_dropped FROM x GROUP BY o_orderstatus) a "
+    f"JOIN (SELECT o_orderstatus AS dataset_id, count(*) AS rows_out FROM d GROUP BY o_orderstatus) b "
+    f"ON a.dataset_id = b.dataset_id")
+
+
+def q_cells_numeric_profile(spark: SparkSession, sf: str) -> DataFrame:
+    _, num, _, _ = CL.profile_cells(_dirty_cells(spark, sf))
+    return num.select("dataset_id", "position", "column_name", "row_count",
+                      *[_r4(F.col(c)).alias(c) for c in ("mean", "median", "min", "max", "std")], "missing")
+
+
+_CELL_NUMERIC = {  # column → its value after the reader's markers and comma → dot
+    "o_orderkey": "CAST(o_orderkey AS DOUBLE)",
+    "o_custkey": "CAST(o_custkey AS DOUBLE)",
+    "o_totalprice": "o_totalprice",
+    "price_text": "CAST(replace(price_text, ',', '.') AS DOUBLE)",
+    "cust_text": "CAST(trim(cust_text) AS DOUBLE)",
+    "mixed_text": "CAST(replace(nullif(mixed_text, 'n/a'), ',', '.') AS DOUBLE)",
+}
+
+
+def _o_cells_numeric(c: str) -> str:
+    expr = _CELL_NUMERIC[c]
+    return (f"SELECT dataset_id, {_CELL_COLS.index(c) + 1} AS position, '{c}' AS column_name, count(*) AS row_count, "
+            f"round(avg(v), 4) AS mean, round(median(coalesce(v, m)), 4) AS median, round(min(v), 4) AS \"min\", "
+            f"round(max(v), 4) AS \"max\", round(stddev_samp(coalesce(v, m)), 4) AS std, "
+            f"CAST(0 AS BIGINT) AS missing FROM (SELECT o_orderstatus AS dataset_id, {expr} AS v, "
+            f"avg({expr}) OVER (PARTITION BY o_orderstatus) AS m FROM d) q GROUP BY dataset_id")
+
+
+O_CELLS_NUMERIC_PROFILE = (f"WITH d AS (SELECT DISTINCT * FROM ({I.duck(I.ORDERS_DIRTY)}) x) "
+                           + _sql_union([_o_cells_numeric(c) for c in _CELL_NUMERIC]))
+
+
 # ---------------------------------------------------------------- registry
 
 QUERIES = {
@@ -638,6 +703,9 @@ QUERIES = {
     "banding": q_banding,
     "synth_students": q_synth_students,
     "synth_finance": q_synth_finance,
+    "cells_summary": q_cells_summary,
+    "cells_cleaning_summary": q_cells_cleaning_summary,
+    "cells_numeric_profile": q_cells_numeric_profile,
 }
 
 ORACLES = {
@@ -670,5 +738,7 @@ ORACLES = {
     "banding": O_BANDING,
     "synth_students": O_SYNTH_STUDENTS,
     "synth_finance": O_SYNTH_FINANCE,
+    "cells_cleaning_summary": O_CELLS_CLEANING_SUMMARY,
+    "cells_numeric_profile": O_CELLS_NUMERIC_PROFILE,
 }
 ORACLES.update(TEXT_ORACLES)

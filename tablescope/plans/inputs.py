@@ -54,8 +54,9 @@ FROM {orders}
 """
 
 # Everything at once: copies, gaps, an empty column, comma decimals, a text column with gaps.
-ORDERS_DIRTY = """
-SELECT o_orderkey, o_custkey, o_orderstatus,
+# ``row_id`` tells an order from its copy (for the long form, which needs a row number).
+ORDERS_DIRTY_ROWS = """
+SELECT o_orderkey * 2 + copy_no AS row_id, o_orderkey, o_custkey, o_orderstatus,
        CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
        CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority,
        CAST(NULL AS STRING) AS o_note,
@@ -64,9 +65,13 @@ SELECT o_orderkey, o_custkey, o_orderstatus,
        concat(' ', CAST(o_custkey AS STRING), ' ') AS cust_text,
        CASE WHEN o_orderkey % 13 = 0 THEN 'n/a' WHEN o_orderkey % 3 = 0 THEN NULL
             ELSE replace(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING), '.', ',') END AS mixed_text
-FROM (SELECT * FROM {orders} UNION ALL SELECT * FROM {orders} WHERE o_orderkey % 10 = 0) o
+FROM (SELECT *, 0 AS copy_no FROM {orders}
+      UNION ALL SELECT *, 1 AS copy_no FROM {orders} WHERE o_orderkey % 10 = 0) o
 """
 
+ORDERS_DIRTY = ("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, o_note, "
+                "price_text, cust_text, mixed_text FROM (" + ORDERS_DIRTY_ROWS + ") r")
+
 # Header rows of many small datasets: one dataset per order, one header per line item,
 # named after a word picked by the part's type and the part's name.
 HEADERS = """

@@ -114,6 +114,7 @@ O_GENERATED_OR_FALLBACK = (
 TEXT_ORACLES = {
     "summary_text": O_SUMMARY_TEXT,
     "summary_by_segment": O_SUMMARY_BY_SEGMENT,
+    "cells_summary": O_SUMMARY_BY_SEGMENT,
     "prompts": O_PROMPTS,
     "fallback_text": O_FALLBACK_TEXT,
     "generated_or_fallback": O_GENERATED_OR_FALLBACK,
