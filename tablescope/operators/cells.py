@@ -32,6 +32,11 @@ from .profile import top_value
 
 def _split_header(cells: DataFrame):
     c = cells.withColumn("value", markers_to_null(F.col("value")))
+    if "is_header" in cells.columns:
+        # Header cells are tagged at the source: no join of every cell to its dataset, so a
+        # dataset holding a third of all cells does not become one hot join partition.
+        header = c.where(F.col("is_header")).select("dataset_id", "position", F.col("value").alias("raw_name"))
+        return header, c.where(~F.col("is_header"))
     first = c.groupBy("dataset_id").agg(F.min("row_no").alias("_hdr"))
     tagged = c.join(first, "dataset_id")
     header = tagged.where(F.col("row_no") == F.col("_hdr")).select("dataset_id", "position",
@@ -161,10 +166,11 @@ def stack_table(df: DataFrame, dataset_col: str, row_col: str, data_cols=None) -
     cells = F.array(*[F.struct(F.lit(i + 1).alias("position"), qcol(c).cast("string").alias("value"),
                                F.lit(kind[c]).alias("kind")) for i, c in enumerate(cols)])
     body = df.select(qcol(dataset_col).cast("string").alias("dataset_id"),
-                     (qcol(row_col).cast("bigint") + 1).alias("row_no"), F.inline(cells)) \
+                     (qcol(row_col).cast("bigint") + 1).alias("row_no"), F.inline(cells),
+                     F.lit(False).alias("is_header")) \
         .where(F.col("value").isNotNull())
     datasets = df.groupBy(qcol(dataset_col).cast("string").alias("dataset_id")).agg(F.lit(1).alias("_x"))
     head = datasets.select("dataset_id", F.lit(0).cast("bigint").alias("row_no"), F.inline(F.array(
         *[F.struct(F.lit(i + 1).alias("position"), F.lit(c).alias("value"), F.lit("s").alias("kind"))
-          for i, c in enumerate(cols)])))
+          for i, c in enumerate(cols)])), F.lit(True).alias("is_header"))
     return head.unionByName(body)

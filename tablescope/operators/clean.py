@@ -18,7 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,21 +85,26 @@ class ConversionPlan:
     nonnull: dict[str, int]
     targets: dict[str, str]
     gaps: dict[str, int]
+    rows_in: int | None = None
 
 
-def conversion_plan(df: DataFrame) -> ConversionPlan:
+def conversion_plan(df: DataFrame, extra=(), source: DataFrame | None = None) -> ConversionPlan:
     """One pass: rows, non-null count per column, target type per text column, and the
-    number of cells each column will have missing after coercion."""
+    number of cells each column will have missing after coercion.
+
+    ``source``/``extra``: aggregate over a frame that carries more columns than ``df``
+    (the dedup counts), adding ``extra`` aggregates to the same pass.
+    """
     texts = set(S.text_columns(df))
     nums = set(S.numeric_columns(df))
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    aggs = [F.count(F.lit(1)).alias("_rows"), *extra]
     for i, c in enumerate(df.columns):
         aggs.append(F.count(qcol(c)).alias(f"_nn{i}"))
         if c in texts:
             aggs += _text_checks(c, i)
         elif c in nums:
             aggs.append(F.count_if(_num(df, c).isNull()).alias(f"_gap{i}"))
-    r = df.agg(*aggs).first()
+    r = (source if source is not None else df).agg(*aggs).first()
     rows = r["_rows"]
     nonnull = {c: r[f"_nn{i}"] for i, c in enumerate(df.columns)}
     targets, gaps = {}, {}
@@ -112,7 +117,7 @@ def conversion_plan(df: DataFrame) -> ConversionPlan:
                 gaps[c] = rows - nonnull[c]
         elif c in nums:
             gaps[c] = r[f"_gap{i}"]
-    return ConversionPlan(rows, nonnull, targets, gaps)
+    return ConversionPlan(rows, nonnull, targets, gaps, r["_rows_in"] if "_rows_in" in r else None)
 
 
 def coerce(df: DataFrame, targets: dict[str, str], rewrite_text: bool = True) -> DataFrame:
@@ -200,13 +205,18 @@ def fill_mode(df: DataFrame, columns=None, modes: dict | None = None) -> DataFra
 
 
 def clean(df: DataFrame, rewrite_text: bool = True, persist: bool = True) -> tuple[DataFrame, CleanReport]:
-    """The reference's clean step, Spark-first. Returns (cleaned lazy DataFrame, report)."""
-    obs = Observation()
-    deduped = dedup(df.observe(obs, F.count(F.lit(1)).alias("rows_in")))
+    """The reference's clean step, Spark-first. Returns (cleaned lazy DataFrame, report).
+
+    The dedup is a grouped count over all columns, so the input row count is ``sum(copies)``
+    of the same aggregate — exact even when stages are re-run after an executor loss.
+    """
+    cols = list(df.columns)
+    grouped = df.groupBy(*[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("__copies"))
     if persist:
-        deduped = deduped.persist(StorageLevel.MEMORY_AND_DISK)
-    plan = conversion_plan(deduped)
-    rows_in = obs.get["rows_in"]
+        grouped = grouped.persist(StorageLevel.MEMORY_AND_DISK)
+    deduped = grouped.select(*[qcol(c) for c in cols])
+    plan = conversion_plan(deduped, extra=[F.sum(grouped["__copies"]).alias("_rows_in")], source=grouped)
+    rows_in = plan.rows_in
     empty = [c for c in deduped.columns if plan.nonnull[c] == 0]
     kept = deduped.drop(*empty) if empty else deduped
     targets = {c: t for c, t in plan.targets.items() if c not in empty}

@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from ..functions.names import qcol
 from ..functions.numbers import INTEGER_PATTERN, MISSING_MARKERS, NUMBER_PATTERN
 
-CELL_SCHEMA = "dataset_id string, row_no bigint, position int, value string, kind string, error string"
+CELL_SCHEMA = ("dataset_id string, row_no bigint, position int, value string, kind string, is_header boolean, "
+               "error string")
+_CHUNK = 100_000  # cells per Arrow batch handed back to Spark
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 # Built-in number formats that show dates or times.
@@ -151,19 +153,26 @@ def parse_xlsx(content: bytes) -> Iterator[tuple[int, int, str | None, str]]:
 
 
 def _cells_of_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cols = ["dataset_id", "row_no", "position", "value", "kind", "is_header", "error"]
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
-            rows = []
             try:
                 if not re.search(r"\.xlsx?$", path):
                     raise ValueError("File must be an Excel file (.xlsx or .xls)")
                 if path.endswith(".xls"):
                     raise ValueError("legacy .xls workbooks are not supported")
-                rows = [(path, r, p, v, k, None) for r, p, v, k in parse_xlsx(bytes(content))]
+                header_row, chunk = None, []
+                for r, p, v, k in parse_xlsx(bytes(content)):
+                    header_row = r if header_row is None else header_row  # rows arrive in sheet order
+                    chunk.append((path, r, p, v, k, r == header_row, None))
+                    if len(chunk) >= _CHUNK:
+                        yield pd.DataFrame(chunk, columns=cols)
+                        chunk = []
+                if chunk:
+                    yield pd.DataFrame(chunk, columns=cols)
             except Exception as e:  # a bad file becomes a reject row, the batch goes on
-                rows = [(path, None, None, None, None, f"Error reading Excel file: {e}")]
-            if rows:
-                yield pd.DataFrame(rows, columns=["dataset_id", "row_no", "position", "value", "kind", "error"])
+                yield pd.DataFrame([(path, None, None, None, None, None, f"Error reading Excel file: {e}")],
+                                   columns=cols)
 
 
 def scan_workbooks(spark: SparkSession, path: str, glob: str = "*.xls*", recursive: bool = True) -> DataFrame:
@@ -222,10 +231,8 @@ def workbook_frame(cells: DataFrame, dataset_id: str | None = None) -> DataFrame
     if dataset_id is not None:
         cells = cells.where(F.col("dataset_id") == dataset_id)
     cells = cells.withColumn("value", F.when(~F.col("value").isin(*MISSING_MARKERS), F.col("value")))
-    first = cells.groupBy("dataset_id").agg(F.min("row_no").alias("_hdr"))
-    tagged = cells.join(F.broadcast(first) if dataset_id is not None else first, "dataset_id")
-    header = tagged.where(F.col("row_no") == F.col("_hdr"))
-    body = tagged.where(F.col("row_no") > F.col("_hdr")).where(F.col("value").isNotNull())
+    header = cells.where(F.col("is_header"))
+    body = cells.where(~F.col("is_header")).where(F.col("value").isNotNull())
     width = (cells.agg(F.max("position")).first()[0]) or 0
     names_by_pos = {r["position"]: r["value"] for r in
                     header.groupBy("position").agg(F.first("value", ignorenulls=True).alias("value")).collect()}
