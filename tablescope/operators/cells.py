@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import NUMBER_PATTERN, markers_to_null
+from ..session import checkpoint as _ckpt
 from . import schema as S
 from .median import exact_median
 from .profile import top_value
@@ -64,8 +65,8 @@ def dedup_rows(body: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = body.groupBy("dataset_id", "row_no").agg(F.sort_array(F.collect_list(present)).alias("sig"))
     # Everything downstream (types, counts, values, value counts) reads the distinct rows:
     # write them once to the reliable checkpoint folder instead of re-running the dedup shuffle.
-    uniq = rows.groupBy("dataset_id", "sig").agg(F.min("row_no").alias("row_no"),
-                                                 F.count(F.lit(1)).alias("copies")).checkpoint()
+    uniq = _ckpt(rows.groupBy("dataset_id", "sig").agg(F.min("row_no").alias("row_no"),
+                                                       F.count(F.lit(1)).alias("copies")))
     counts = uniq.groupBy("dataset_id").agg(F.sum("copies").cast("bigint").alias("rows_in"),
                                             F.count(F.lit(1)).alias("rows_out"))
     cells = uniq.select("dataset_id", "row_no", F.inline("sig"))
@@ -97,7 +98,7 @@ def profile_cells(cells: DataFrame, materialize: bool = True, **median_opts):
     # One row per (dataset, column): header-sized. Materialised once so every branch below
     # starts from a small leaf instead of re-planning the joins above.
     types = S.detect_types(cols.where(F.col("cls") != "empty").select("dataset_id", "column_name"))
-    cols = cols.join(types, "dataset_id", "left").checkpoint()
+    cols = _ckpt(cols.join(types, "dataset_id", "left"))
     types = cols.select("dataset_id", "detected_type").where(F.col("detected_type").isNotNull()).distinct()
     kept = cols.where(F.col("cls") != "empty")
     ds = (kept.groupBy("dataset_id")
@@ -148,7 +149,7 @@ def profile_cells(cells: DataFrame, materialize: bool = True, **median_opts):
         (-F.col("_top.neg_n") + F.col("gaps")).alias("most_common_count"),
         F.lit(0).cast("bigint").alias("missing"))
     if materialize:
-        ds, num, cat, summary = (d.checkpoint() for d in (ds, num, cat, summary))
+        ds, num, cat, summary = (_ckpt(d) for d in (ds, num, cat, summary))
     return ds, num, cat, summary
 
 

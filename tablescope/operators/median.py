@@ -23,6 +23,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint as _ckpt
+
 DEFAULT_MAX_GROUP_VALUES = 2_000_000
 DEFAULT_BUCKETS = 1024
 DEFAULT_ACCURACY = 10_000
@@ -85,7 +87,7 @@ def exact_median(long_df: DataFrame, group_cols, value_col: str = "value",
         cand = vc.withColumn("total", F.sum("n").over(w_all)).withColumn("below", F.lit(0).cast("bigint"))
         return _pick_middle(cand, g)
     # Narrowing rounds reuse the distinct-value table: cut its lineage once.
-    vc = vc.checkpoint()
+    vc = _ckpt(vc)
     sizes = vc.groupBy(*g).agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total"))
     state = sizes.select(*g, "total", F.lit(None).cast("double").alias("lo"),
                          F.lit(None).cast("double").alias("hi"),
@@ -107,11 +109,10 @@ def exact_median(long_df: DataFrame, group_cols, value_col: str = "value",
         k_lo = F.floor((F.col("total") - 1) / 2)
         k_hi = F.floor(F.col("total") / 2)
         inside = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("bn"))
-        new_state = (hist.where(inside(k_lo) | inside(k_hi))
-                     .groupBy(*g, "total")
-                     .agg(F.min("bmin").alias("lo"), F.max("bmax").alias("hi"),
-                          F.min("before").alias("below"), F.sum("bd").alias("distinct"))
-                     .checkpoint())
+        new_state = _ckpt(hist.where(inside(k_lo) | inside(k_hi))
+                          .groupBy(*g, "total")
+                          .agg(F.min("bmin").alias("lo"), F.max("bmax").alias("hi"),
+                               F.min("before").alias("below"), F.sum("bd").alias("distinct")))
         biggest = new_state.agg(F.max("distinct")).first()[0] or 0
         state = new_state.drop("distinct")
         if biggest <= max_group_values:

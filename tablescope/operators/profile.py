@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import qcol
+from ..session import checkpoint as _ckpt
 from ..functions.numbers import nan_is_missing
 from . import schema as S
 from .median import exact_median
@@ -81,7 +82,7 @@ def profile_numeric(df: DataFrame, columns=None, keys=(), median: str = "exact",
         return stats
     # The statistics are one row per (group, column): materialise them once, reliably, and
     # use their counts as the size bound of the exact median.
-    stats = stats.checkpoint()
+    stats = _ckpt(stats)
     bound = stats.agg(F.max(F.col("row_count") - F.col("missing"))).first()[0] or 0
     med = exact_median(_long_numeric(df, cols, keys), keys + ["position"], max_rows_hint=bound, **median_opts)
     s, m = stats.drop("median").alias("s"), med.alias("m")
@@ -173,7 +174,7 @@ def analyze(df: DataFrame, dataset_id: str, median: str = "exact", materialize:
     num = profile_numeric(df, num_cols, median=median).select(F.lit(dataset_id).alias("dataset_id"), "*")
     cat = profile_categorical(df).select(F.lit(dataset_id).alias("dataset_id"), "*")
     if materialize:
-        ds, num, cat = ds.checkpoint(), num.checkpoint(), cat.checkpoint()
+        ds, num, cat = _ckpt(ds), _ckpt(num), _ckpt(cat)
     return ds, num, cat
 
 
@@ -207,7 +208,7 @@ def analyze_by_key(df: DataFrame, key: str, median: str = "exact", materialize:
     num = profile_numeric(df, num_cols, keys=[key], median=median)
     cat = profile_categorical(df, txt_cols, keys=[key])
     if materialize:
-        ds, num, cat = ds.checkpoint(), num.checkpoint(), cat.checkpoint()
+        ds, num, cat = _ckpt(ds), _ckpt(num), _ckpt(cat)
     return ds, num, cat
 
 

@@ -36,8 +36,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session. Only when it is unset (local runs
-    and tests) do we pick a fresh scratch folder of our own.
+    ``spark.checkpoint.dir`` is read from the session. Only a local-mode session without one
+    (tests, a laptop) gets a fresh scratch folder of our own; a cluster session without one
+    is an error, because a machine-local folder would not survive losing that machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,11 +46,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage)")
         configured = tempfile.mkdtemp(prefix="tablescope-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def checkpoint(df):
+    """Eager, reliable checkpoint in the cluster's checkpoint folder (cuts the lineage)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scale_conf(input_bytes: int, executors: int, cores_per_executor: int,
                target_partition_bytes: int = 128 * 1024 ** 2) -> dict[str, str]:
     """Suggested settings for a cluster run over ``input_bytes`` of parquet.

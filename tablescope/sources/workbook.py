@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import qcol
+from ..session import checkpoint as _ckpt
 from ..functions.numbers import INTEGER_PATTERN, MISSING_MARKERS, NUMBER_PATTERN
 
 CELL_SCHEMA = ("dataset_id string, row_no bigint, position int, value string, kind string, is_header boolean, "
@@ -192,7 +193,7 @@ def read_workbooks(spark: SparkSession, path: str, expected=None, glob: str = "*
     """
     scanned = scan_workbooks(spark, path, glob)
     if materialize:
-        scanned = scanned.checkpoint()
+        scanned = _ckpt(scanned)
     cells = scanned.where(F.col("error").isNull()).drop("error")
     rejects = scanned.where(F.col("error").isNotNull()).select("dataset_id", F.col("error").alias("reason"))
     if expected:
