@@ -22,6 +22,17 @@ FILE_TS_FORMAT = "yyyyMMdd_HHmmss"
 HEADER_TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
+def wall_clock(ts) -> Column:
+    """A save time as a zone-less timestamp, so names and headers never shift with the
+    session or machine time zone. Accepts a ``datetime``, a ``'YYYY-MM-DD HH:MM:SS'`` text or
+    a timestamp column."""
+    if isinstance(ts, _dt.datetime):
+        return F.lit(ts.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+    if isinstance(ts, str):
+        return F.lit(ts).cast("timestamp_ntz")
+    return ts
+
+
 def report_kind(report_type: Column) -> Column:
     """P10: folder by report type, case-insensitive substring test."""
     low = F.lower(report_type)
@@ -86,7 +97,7 @@ def report_documents(reports: DataFrame, ts, generator_name: str = GENERATOR_NAM
 
     ``ts`` is a ``datetime`` or a timestamp column: the save time written into names and headers.
     """
-    ts_col = F.lit(ts).cast("timestamp") if isinstance(ts, (_dt.datetime, str)) else ts
+    ts_col = wall_clock(ts)
     cols = set(reports.columns)
     src = F.col(source_col) if source_col and source_col in cols else None
     valid = F.col(valid_col) if valid_col and valid_col in cols else None
@@ -115,8 +126,8 @@ def metadata_json(source: Column, analysis: Column | None, validation: Column |
         fields.append(validation.alias("validation"))
     fields.append((usage if usage is not None else F.lit(None).cast(
         "struct<prompt_tokens:bigint,output_tokens:bigint,total_tokens:bigint>")).alias("token_usage"))
-    fields += [F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
-               F.date_format(saved_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("saved_at")]
+    fields += [F.date_format(wall_clock(timestamp), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+               F.date_format(wall_clock(saved_at), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("saved_at")]
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
