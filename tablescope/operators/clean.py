@@ -37,6 +37,13 @@ class CleanReport:
     empty_columns: list[str]
     converted: dict[str, str] = field(default_factory=dict)
     fill_values: dict[str, object] = field(default_factory=dict)
+    cached: DataFrame | None = field(default=None, repr=False)
+
+    def release(self) -> None:
+        """Drop the persisted dedup result once the cleaned table has been written."""
+        if self.cached is not None:
+            self.cached.unpersist()
+            self.cached = None
 
     def to_df(self, spark, dataset_id: str | None = None) -> DataFrame:
         return spark.createDataFrame(
@@ -60,9 +67,15 @@ def duplicates_removed(df: DataFrame) -> DataFrame:
         "rows_in", "rows_out", (F.col("rows_in") - F.col("rows_out")).alias("duplicates_removed"))
 
 
+def _present(df: DataFrame, c: str):
+    """The column with every kind of missing (NULL, and NaN in floating columns) as NULL."""
+    dt = df.schema[c].dataType
+    return nan_is_missing(qcol(c)) if isinstance(dt, (T.FloatType, T.DoubleType)) else qcol(c)
+
+
 def empty_columns(df: DataFrame) -> list[str]:
-    """Columns with no present value (A19), from one aggregate of non-null counts."""
-    counts = df.agg(*[F.count(qcol(c)).alias(f"_c{i}") for i, c in enumerate(df.columns)]).first()
+    """Columns with no present value (A19), from one aggregate of non-missing counts."""
+    counts = df.agg(*[F.count(_present(df, c)).alias(f"_c{i}") for i, c in enumerate(df.columns)]).first()
     return [c for i, c in enumerate(df.columns) if counts[f"_c{i}"] == 0]
 
 
@@ -99,7 +112,7 @@ def conversion_plan(df: DataFrame, extra=(), source: DataFrame | None = None) ->
     nums = set(S.numeric_columns(df))
     aggs = [F.count(F.lit(1)).alias("_rows"), *extra]
     for i, c in enumerate(df.columns):
-        aggs.append(F.count(qcol(c)).alias(f"_nn{i}"))
+        aggs.append(F.count(_present(df, c)).alias(f"_nn{i}"))
         if c in texts:
             aggs += _text_checks(c, i)
         elif c in nums:
@@ -226,5 +239,6 @@ def clean(df: DataFrame, rewrite_text: bool = True, persist: bool = True) -> tup
     values = fill_values(coerced, num_fill, text_fill)
     out = fill_mode(fill_mean(coerced, num_fill, values), text_fill, values)
     report = CleanReport(rows_in=rows_in, rows_out=plan.rows, duplicates_removed=rows_in - plan.rows,
-                         empty_columns=empty, converted=targets, fill_values=values)
+                         empty_columns=empty, converted=targets, fill_values=values,
+                         cached=grouped if persist else None)
     return out, report

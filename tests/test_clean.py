@@ -87,3 +87,10 @@ def test_clean_properties_on_orders(spark):
     kept = out.join(df.where(F.col("o_totalprice").isNotNull()).select("o_orderkey", F.col("o_totalprice").alias("t")),
                     "o_orderkey")
     assert kept.where(F.col("t") != F.col("o_totalprice")).count() == 0  # present cells keep their value
+
+
+def test_nan_only_column_is_empty(spark):
+    df = spark.createDataFrame([(1, float("nan")), (2, None)], "k long, x double")
+    out, rep = C.clean(df)
+    assert rep.empty_columns == ["x"] and out.columns == ["k"]
+    assert C.drop_empty_columns(df).columns == ["k"]
