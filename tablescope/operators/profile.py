@@ -217,3 +217,28 @@ def summaries_by_key(df: DataFrame, key: str) -> DataFrame:
     from .render import summary_text
     ds, num, cat = analyze_by_key(df, key)
     return summary_text(ds, num, cat, dataset_cols=[key])
+
+
+def analysis_record(datasets: DataFrame, numeric: DataFrame, categorical: DataFrame,
+                    dataset_cols=("dataset_id",)) -> DataFrame:
+    """(dataset cols, analysis STRUCT): the nested profile kept in report metadata —
+    row_count, column_count, columns, statistics{column → six numbers}, summary{column → four
+    values}, detected_type. Each map holds one dataset's columns (bounded by its header)."""
+    d = list(dataset_cols)
+    stats = numeric.groupBy(*d).agg(F.map_from_entries(F.transform(
+        F.sort_array(F.collect_list(F.struct("position", "column_name", "mean", "median", "min", "max", "std",
+                                             "missing"))),
+        lambda s: F.struct(s["column_name"], F.struct(s["mean"].alias("mean"), s["median"].alias("median"),
+                                                      s["min"].alias("min"), s["max"].alias("max"),
+                                                      s["std"].alias("std"), s["missing"].alias("missing")))))
+        .alias("statistics"))
+    summ = categorical.groupBy(*d).agg(F.map_from_entries(F.transform(
+        F.sort_array(F.collect_list(F.struct("position", "column_name", "unique_values", "most_common",
+                                             "most_common_count", "missing"))),
+        lambda s: F.struct(s["column_name"], F.struct(
+            s["unique_values"].alias("unique_values"), s["most_common"].alias("most_common"),
+            s["most_common_count"].alias("most_common_count"), s["missing"].alias("missing")))))
+        .alias("summary"))
+    return (datasets.join(stats, d, "left").join(summ, d, "left")
+            .select(*d, F.struct("row_count", "column_count", "columns", "statistics", "summary",
+                                 "detected_type").alias("analysis")))

@@ -8,6 +8,7 @@ not part of this library); without one every report is the fallback text.
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from ..operators import profile as P
 from ..operators import render as R
 from ..operators import reports as RP
 from ..operators import validate as V
+from ..session import checkpoint
 from . import inputs as I
 
 # Which prompt template and which report type each detected type uses.
@@ -33,20 +35,33 @@ def _map(c, mapping: dict, default: str):
     return F.coalesce(F.try_element_at(m, c), F.lit(default))
 
 
-def dataset_summaries(tables: dict[str, DataFrame]) -> DataFrame:
-    """(dataset_id, detected_type, row_count, summary_text) for every table, cleaned first."""
-    out = []
-    for name, df in tables.items():
+def dataset_summaries(tables: dict[str, DataFrame], max_parallel: int = 4) -> DataFrame:
+    """(dataset_id, detected_type, row_count, summary_text, analysis) for every table, cleaned first.
+
+    Each table has its own schema, so each is its own small job graph; for many datasets with
+    different headers use ``operators.cells`` (one job for all of them).
+    """
+    def one(item):
+        name, df = item
         cleaned, _ = C.clean(df)
         ds, num, cat = P.analyze(cleaned, name)
         text = R.summary_text(ds, num, cat)
-        out.append(ds.select("dataset_id", "detected_type", "row_count").join(text, "dataset_id"))
+        record = P.analysis_record(ds, num, cat)
+        return (ds.select("dataset_id", "detected_type", "row_count").join(text, "dataset_id")
+                .join(record, "dataset_id"))
+
+    # The tables' clean/profile passes are independent jobs: submit them concurrently so small
+    # tables share the cluster instead of queueing one after another.
+    with ThreadPoolExecutor(max_workers=max(1, min(len(tables), max_parallel))) as pool:
+        out = list(pool.map(one, tables.items()))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
 def reports_from_summaries(summaries: DataFrame, generated: DataFrame | None = None,
                            ts: dt.datetime = DEFAULT_TS, source_prefix: str = "") -> DataFrame:
     spark = summaries.sparkSession
+    # One row per dataset, used by several joins below: materialise it once.
+    summaries = checkpoint(summaries)
     if generated is None:
         generated = spark.createDataFrame(
             [], "dataset_id string, text string, prompt_tokens bigint, output_tokens bigint, total_tokens bigint")
@@ -55,13 +70,18 @@ def reports_from_summaries(summaries: DataFrame, generated: DataFrame | None = N
         _map(F.col("detected_type"), PROMPT_TYPE, DEFAULT_PROMPT_TYPE).alias("prompt_type"),
         _map(F.col("detected_type"), SAVE_TYPE, DEFAULT_SAVE_TYPE).alias("report_type"))
     req = req.withColumn("prompt", R.prompt_expr(F.col("summary_text"), F.col("prompt_type")))
-    rep = R.attach_generated(req, generated)
+    rep = R.attach_generated(req, generated).join(summaries.select("dataset_id", "analysis"), "dataset_id")
     checked = V.validate_reports(rep.withColumnRenamed("dataset_id", "report_id"))
     rows = (rep.withColumnRenamed("dataset_id", "report_id").join(checked, "report_id")
             .withColumn("source_file", F.concat(F.lit(source_prefix), F.col("report_id"), F.lit(".parquet"))))
     docs = RP.report_documents(rows, ts)
-    return rows.select("report_id", "report_type", "prompt", "report_text", "is_valid", "issues",
-                       "num_extracted").join(docs, "report_id")
+    meta = rows.select("report_id", RP.metadata_json(
+        F.col("source_file"), F.col("analysis"),
+        V.validation_struct(F.col("is_valid"), F.col("issues"), F.col("num_extracted")),
+        RP.usage_struct(F.col("prompt_tokens"), F.col("output_tokens"), F.col("total_tokens")),
+        RP.wall_clock(ts), RP.wall_clock(ts)).alias("metadata_json"))
+    return (rows.select("report_id", "report_type", "prompt", "report_text", "is_valid", "issues",
+                        "num_extracted").join(docs, "report_id").join(meta, "report_id"))
 
 
 def report_job(spark: SparkSession, sf_dir: str, table_names, generated: DataFrame | None = None,

@@ -196,6 +196,12 @@ def read_workbooks(spark: SparkSession, path: str, expected=None, glob: str = "*
         scanned = _ckpt(scanned)
     cells = scanned.where(F.col("error").isNull()).drop("error")
     rejects = scanned.where(F.col("error").isNotNull()).select("dataset_id", F.col("error").alias("reason"))
+    # Other files in the folder are rejected by name; listing paths alone reads no content.
+    others = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+              .select(F.col("path").alias("dataset_id"))
+              .where(~F.col("dataset_id").rlike(r"\.xls[x]?$"))
+              .select("dataset_id", F.lit("File must be an Excel file (.xlsx or .xls)").alias("reason")))
+    rejects = rejects.unionByName(others)
     if expected:
         want = spark.createDataFrame([(p,) for p in expected], "dataset_id string")
         found = scanned.select("dataset_id").distinct()

@@ -37,3 +37,13 @@ def test_entry_runs(spark):
     rows = df.collect()
     assert len(rows) == 4 and {r["report_id"] for r in rows} == {"customer", "orders", "part", "lineitem"}
     assert all(r["content"].startswith("---\nGenerated: ") for r in rows)
+
+
+def test_entry_metadata_record(spark):
+    import json
+    r = E.entry(spark).where("report_id = 'part'").first()
+    meta = json.loads(r["metadata_json"])
+    assert meta["analysis"]["row_count"] == 200 and meta["analysis"]["detected_type"] == "unknown"
+    assert set(meta["analysis"]["statistics"]) == {"p_partkey", "p_size", "p_retailprice"}
+    assert meta["token_usage"] == {"prompt_tokens": None, "output_tokens": None, "total_tokens": None}
+    assert meta["validation"]["is_valid"] in (True, False)

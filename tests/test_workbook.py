@@ -58,3 +58,12 @@ def test_inline_strings(spark):
     path = [r[0] for r in cells.select("dataset_id").distinct().collect() if r[0].endswith("inline.xlsx")][0]
     r = W.data_columns(W.workbook_frame(cells, path)).first()
     assert (r["a"], r["b"]) == (1, "t")
+
+
+def test_non_excel_files_are_rejected(spark):
+    d = _folder()
+    with open(os.path.join(d, "notes.csv"), "w") as fh:
+        fh.write("a,b\n1,2\n")
+    _, rejects = W.read_workbooks(spark, d)
+    bad = {os.path.basename(r["dataset_id"]): r["reason"] for r in rejects.collect()}
+    assert bad["notes.csv"] == "File must be an Excel file (.xlsx or .xls)"
