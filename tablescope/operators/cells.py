@@ -31,46 +31,59 @@ from .median import exact_median
 from .profile import top_value
 
 
-def _split_header(cells: DataFrame):
-    c = cells.withColumn("value", markers_to_null(F.col("value")))
+def _tag_header(cells: DataFrame) -> DataFrame:
+    """Cells with ``is_header``: taken from the source when it tags header cells (the workbook
+    scan and ``stack_table`` do — no join of every cell to its dataset, so a dataset holding a
+    third of all cells is not one hot join partition), else the first row of each dataset."""
     if "is_header" in cells.columns:
-        # Header cells are tagged at the source: no join of every cell to its dataset, so a
-        # dataset holding a third of all cells does not become one hot join partition.
-        header = c.where(F.col("is_header")).select("dataset_id", "position", F.col("value").alias("raw_name"))
-        return header, c.where(~F.col("is_header"))
-    first = c.groupBy("dataset_id").agg(F.min("row_no").alias("_hdr"))
-    tagged = c.join(first, "dataset_id")
-    header = tagged.where(F.col("row_no") == F.col("_hdr")).select("dataset_id", "position",
-                                                                  F.col("value").alias("raw_name"))
-    body = tagged.where(F.col("row_no") > F.col("_hdr")).drop("_hdr")
-    return header, body
-
-
-def _names(header: DataFrame, body: DataFrame) -> DataFrame:
+        return cells
+    first = cells.groupBy("dataset_id").agg(F.min("row_no").alias("_hdr"))
+    return cells.join(first, "dataset_id").withColumn("is_header", F.col("row_no") == F.col("_hdr")).drop("_hdr")
+
+
+def assemble_rows(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(header cells, body rows). Header cells come by a filter of the input; body rows by one
+    ``groupBy(dataset_id, row_no)``: ``sig`` is the row's present cells sorted by position,
+    ``blank_pos`` the positions whose cells were missing (so a column seen only as missing
+    cells still exists)."""
+    c = _tag_header(cells).withColumn("value", markers_to_null(F.col("value")))
+    header = c.where(F.col("is_header")).select("dataset_id", "position", F.col("value").alias("raw_name"))
+    present = F.when(F.col("value").isNotNull(), F.struct("position", "kind", "value"))
+    rows = c.where(~F.col("is_header")).groupBy("dataset_id", "row_no").agg(
+        F.sort_array(F.collect_list(present)).alias("sig"),
+        F.collect_set(F.when(F.col("value").isNull(), F.col("position"))).alias("blank_pos"))
+    return header, rows
+
+
+def _names(header: DataFrame, uniq: DataFrame) -> DataFrame:
     """(dataset_id, position, column_name) for every position seen in the header or the body."""
-    cols = (header.select("dataset_id", "position").unionByName(body.select("dataset_id", "position"))
-            .groupBy("dataset_id", "position").agg(F.lit(1).alias("_x")).drop("_x"))
-    named = cols.join(header, ["dataset_id", "position"], "left").withColumn(
-        "base", F.coalesce(F.nullif(F.col("raw_name"), F.lit("")),
-                           F.concat(F.lit("Unnamed: "), (F.col("position") - 1).cast("string"))))
+    positions = (header.select("dataset_id", "position")
+                 .unionByName(uniq.select("dataset_id", F.explode("sig.position").alias("position")))
+                 .unionByName(uniq.select("dataset_id", F.explode("blank_pos").alias("position")))
+                 .groupBy("dataset_id", "position").agg(F.lit(1).alias("_x")).drop("_x"))
+    named = (positions.join(header.where(F.col("raw_name").isNotNull()), ["dataset_id", "position"], "left")
+             .withColumn("base", F.coalesce(F.nullif(F.col("raw_name"), F.lit("")),
+                                            F.concat(F.lit("Unnamed: "), (F.col("position") - 1).cast("string")))))
     k = F.row_number().over(Window.partitionBy("dataset_id", "base").orderBy("position")) - 1
     return named.select("dataset_id", "position",
                         F.when(k == 0, F.col("base")).otherwise(F.concat(F.col("base"), F.lit("."), k.cast("string")))
                         .alias("column_name"))
 
 
-def dedup_rows(body: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(distinct cells, per-dataset row counts). Missing equals missing, as in a full-row distinct."""
-    present = F.when(F.col("value").isNotNull(), F.struct("position", "kind", "value"))
-    rows = body.groupBy("dataset_id", "row_no").agg(F.sort_array(F.collect_list(present)).alias("sig"))
-    # Everything downstream (types, counts, values, value counts) reads the distinct rows:
-    # write them once to the reliable checkpoint folder instead of re-running the dedup shuffle.
-    uniq = _ckpt(rows.groupBy("dataset_id", "sig").agg(F.min("row_no").alias("row_no"),
-                                                       F.count(F.lit(1)).alias("copies")))
+def dedup_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(distinct rows, distinct cells, per-dataset row counts) from assembled body rows.
+
+    Missing equals missing, as in a full-row distinct; a group of copies collapses map-side.
+    Everything downstream reads the distinct rows, so they are written once to the reliable
+    checkpoint folder instead of re-running the two shuffles.
+    """
+    uniq = _ckpt(rows.groupBy("dataset_id", "sig").agg(
+        F.min("row_no").alias("row_no"), F.count(F.lit(1)).alias("copies"),
+        F.array_distinct(F.flatten(F.collect_list("blank_pos"))).alias("blank_pos")))
     counts = uniq.groupBy("dataset_id").agg(F.sum("copies").cast("bigint").alias("rows_in"),
                                             F.count(F.lit(1)).alias("rows_out"))
     cells = uniq.select("dataset_id", "row_no", F.inline("sig"))
-    return cells, counts
+    return uniq, cells, counts
 
 
 def profile_cells(cells: DataFrame, materialize: bool = True, **median_opts):
@@ -79,9 +92,9 @@ def profile_cells(cells: DataFrame, materialize: bool = True, **median_opts):
     The four results have one row per dataset or per dataset column; with ``materialize``
     they are checkpointed, so texts rendered from them plan from small leaves.
     """
-    header, body = _split_header(cells)
-    names = _names(header, body)
-    dcells, counts = dedup_rows(body)
+    header, rows = assemble_rows(cells)
+    uniq, dcells, counts = dedup_rows(rows)
+    names = _names(header, uniq)
     text_value = F.translate(F.col("value"), ",", ".")
     numberish = text_value.rlike(NUMBER_PATTERN)
     kinds = (dcells.groupBy("dataset_id", "position")

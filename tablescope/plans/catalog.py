@@ -638,7 +638,7 @@ O_CELLS_CLEANING_SUMMARY = (
 
 
 def q_cells_numeric_profile(spark: SparkSession, sf: str) -> DataFrame:
-    _, num, _, _ = CL.profile_cells(_dirty_cells(spark, sf))
+    _, num, _, _ = CL.profile_cells(_dirty_cells(spark, sf), materialize=False)
     return num.select("dataset_id", "position", "column_name", "row_count",
                       *[_r4(F.col(c)).alias(c) for c in ("mean", "median", "min", "max", "std")], "missing")
 
