@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -55,9 +56,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df):
-    """Eager, reliable checkpoint in the cluster's checkpoint folder (cuts the lineage)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write ``df`` as a parquet table in the cluster's checkpoint folder and
+    read it back.
+
+    One job computes and writes the rows once (an eager ``Dataset.checkpoint`` runs its last
+    stage twice, once to count and once to write). The copy is columnar and compressed, so
+    later reads prune columns and push filters down, and AQE plans joins from its real size.
+    ``getCheckpointDir`` is already a folder of this application, on the shared storage the
+    cluster names, so a lost executor loses nothing.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def scale_conf(input_bytes: int, executors: int, cores_per_executor: int,
