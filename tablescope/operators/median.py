@@ -23,6 +23,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import quote
 from ..session import checkpoint as _ckpt
 
 DEFAULT_MAX_GROUP_VALUES = 2_000_000
@@ -44,6 +45,13 @@ def _bucket_of(value, bounds, n_bounds: int):
     return F.aggregate(step_list, F.lit(0), step)
 
 
+def _join_groups(left: DataFrame, right: DataFrame, g: list[str]) -> DataFrame:
+    """Inner join on the group columns with NULL equal to NULL (a group key may be NULL)."""
+    a, b = left.alias("_l"), right.alias("_r")
+    cond = [F.col(f"_l.{quote(k)}").eqNullSafe(F.col(f"_r.{quote(k)}")) for k in g]
+    return a.join(b, cond).select("_l.*", *[F.col(f"_r.{quote(c)}") for c in right.columns if c not in g])
+
+
 def _pick_middle(cand: DataFrame, g: list[str]) -> DataFrame:
     """cand: (g, value, n, below, total). One window per group; groups are size-checked."""
     w = Window.partitionBy(*g).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -58,6 +66,18 @@ def _pick_middle(cand: DataFrame, g: list[str]) -> DataFrame:
                  .alias("median")))
 
 
+def count_values(long_df: DataFrame, group_cols, value_col: str = "value",
+                 weight_col: str | None = None) -> DataFrame:
+    """(group_cols..., value DOUBLE, n BIGINT): distinct non-null values with their counts —
+    a partial aggregate, so a hot value collapses map-side. ``weight_col``: rows stand for
+    that many copies of their value."""
+    g = list(group_cols)
+    return (long_df.where(F.col(value_col).isNotNull())
+            .groupBy(*g, F.col(value_col).cast("double").alias("value"))
+            .agg((F.sum(F.col(weight_col)) if weight_col else F.count(F.lit(1))).cast("bigint").alias("n"))
+            .where(F.col("n") > 0))
+
+
 def exact_median(long_df: DataFrame, group_cols, value_col: str = "value",
                  max_group_values: int = DEFAULT_MAX_GROUP_VALUES,
                  buckets: int = DEFAULT_BUCKETS, accuracy: int = DEFAULT_ACCURACY,
@@ -71,12 +91,22 @@ def exact_median(long_df: DataFrame, group_cols, value_col: str = "value",
     absent; callers left-join.
     """
     g = list(group_cols)
-    vc = (long_df.where(F.col(value_col).isNotNull())
-          .groupBy(*g, F.col(value_col).cast("double").alias("value"))
-          .agg((F.sum(F.col(weight_col)) if weight_col else F.count(F.lit(1))).cast("bigint").alias("n"))
-          .where(F.col("n") > 0))
-    if max_rows_hint is not None and max_rows_hint <= max_group_values:
-        biggest = max_rows_hint
+    vc = count_values(long_df, g, value_col, weight_col)
+    return median_of_counts(vc, g, max_group_values=max_group_values, buckets=buckets, accuracy=accuracy,
+                            max_distinct_hint=max_rows_hint)
+
+
+def median_of_counts(vc: DataFrame, group_cols, max_group_values: int = DEFAULT_MAX_GROUP_VALUES,
+                     buckets: int = DEFAULT_BUCKETS, accuracy: int = DEFAULT_ACCURACY,
+                     max_distinct_hint: int | None = None, materialized: bool = False) -> DataFrame:
+    """(group_cols..., median) from ``vc`` = (group_cols..., value, n) with distinct values and
+    their counts; rows with ``n = 0`` (such as a NULL value given weight 0) are never picked.
+    ``max_distinct_hint``: an upper bound of any group's distinct values (skips the
+    size-check pass when within the limit). ``materialized``: ``vc`` is
+    already a written table, so the narrowing rounds need not write it again."""
+    g = list(group_cols)
+    if max_distinct_hint is not None and max_distinct_hint <= max_group_values:
+        biggest = max_distinct_hint
     else:
         sizes = vc.groupBy(*g).agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total"))
         biggest = sizes.agg(F.max("distinct")).first()[0] or 0
@@ -87,19 +117,20 @@ def exact_median(long_df: DataFrame, group_cols, value_col: str = "value",
         cand = vc.withColumn("total", F.sum("n").over(w_all)).withColumn("below", F.lit(0).cast("bigint"))
         return _pick_middle(cand, g)
     # Narrowing rounds reuse the distinct-value table: cut its lineage once.
-    vc = _ckpt(vc)
+    if not materialized:
+        vc = _ckpt(vc)
     sizes = vc.groupBy(*g).agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total"))
     state = sizes.select(*g, "total", F.lit(None).cast("double").alias("lo"),
                          F.lit(None).cast("double").alias("hi"),
                          F.lit(0).cast("bigint").alias("below"))
     fractions = [i / buckets for i in range(1, buckets)]
     for _ in range(_MAX_ROUNDS):
-        cand = (vc.join(state, g)
+        cand = (_join_groups(vc, state, g)
                 .where((F.col("lo").isNull() | (F.col("value") >= F.col("lo")))
                        & (F.col("hi").isNull() | (F.col("value") <= F.col("hi")))))
         bounds = cand.groupBy(*g).agg(
             F.percentile_approx("value", fractions, accuracy).alias("bounds"))
-        hist = (cand.join(bounds, g)
+        hist = (_join_groups(cand, bounds, g)
                 .withColumn("bucket", _bucket_of(F.col("value"), F.col("bounds"), len(fractions)))
                 .groupBy(*g, "bucket", "total", "below")
                 .agg(F.sum("n").alias("bn"), F.min("value").alias("bmin"),
@@ -117,6 +148,6 @@ def exact_median(long_df: DataFrame, group_cols, value_col: str = "value",
         state = new_state.drop("distinct")
         if biggest <= max_group_values:
             break
-    cand = (vc.join(state, g)
+    cand = (_join_groups(vc, state, g)
             .where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))))
     return _pick_middle(cand, g)

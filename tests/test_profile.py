@@ -50,6 +50,24 @@ def test_exact_median_narrowing_path(spark, limit):
         assert got[g] == pytest.approx(float(np.median(sub["value"])))
 
 
+@pytest.mark.parametrize("limit", [2, 10_000])
+def test_grouped_profile_null_key_both_median_paths(spark, limit):
+    """A NULL group key is a group of its own in the one-pass path and in the narrowing rounds."""
+    rows = [(k, float(v)) for k in ("a", None) for v in range(1, 8)] + [(None, None), ("a", 100.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r["k"]: r for r in P.profile_numeric(df, ["x"], keys=["k"], max_group_values=limit).collect()}
+    assert got["a"]["median"] == 4.5 and got["a"]["row_count"] == 8 and got["a"]["missing"] == 0
+    assert got[None]["median"] == 4.0 and got[None]["row_count"] == 8 and got[None]["missing"] == 1
+    assert got[None]["std"] == pytest.approx(pd.Series(range(1, 8)).std())
+
+
+def test_profile_of_empty_table_lists_columns(spark):
+    df = spark.createDataFrame([], "x double, y long")
+    got = {r["column_name"]: r for r in P.profile_numeric(df).collect()}
+    assert set(got) == {"x", "y"}
+    assert all(r["row_count"] == 0 and r["missing"] == 0 and r["median"] is None for r in got.values())
+
+
 def test_categorical_ties_go_to_smallest(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,)], "t string")  # D5
     r = P.profile_categorical(df).first()
