@@ -55,10 +55,14 @@ def assemble_rows(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     return header, rows
 
 
-def _names(header: DataFrame, uniq: DataFrame) -> DataFrame:
-    """(dataset_id, position, column_name) for every position seen in the header or the body."""
+def _names(header: DataFrame, present: DataFrame, uniq: DataFrame) -> DataFrame:
+    """(dataset_id, position, column_name) for every position seen in the header or the body.
+
+    ``present``: the (dataset_id, position) groups of present cells, an aggregate the caller
+    computes anyway (so its exchange is reused, not a second pass over every cell); positions
+    seen only as missing cells come from the narrow ``blank_pos`` column."""
     positions = (header.select("dataset_id", "position")
-                 .unionByName(uniq.select("dataset_id", F.explode("sig.position").alias("position")))
+                 .unionByName(present.select("dataset_id", "position"))
                  .unionByName(uniq.select("dataset_id", F.explode("blank_pos").alias("position")))
                  .groupBy("dataset_id", "position").agg(F.lit(1).alias("_x")).drop("_x"))
     named = (positions.join(header.where(F.col("raw_name").isNotNull()), ["dataset_id", "position"], "left")
@@ -94,7 +98,6 @@ def profile_cells(cells: DataFrame, materialize: bool = True, **median_opts):
     """
     header, rows = assemble_rows(cells)
     uniq, dcells, counts = dedup_rows(rows)
-    names = _names(header, uniq)
     text_value = F.translate(F.col("value"), ",", ".")
     numberish = text_value.rlike(NUMBER_PATTERN)
     kinds = (dcells.groupBy("dataset_id", "position")
@@ -102,6 +105,7 @@ def profile_cells(cells: DataFrame, materialize: bool = True, **median_opts):
                   F.bool_and(F.col("kind").isin("n", "s", "e") & numberish).alias("is_num"),
                   F.bool_and(F.col("kind") == "b").alias("is_bool"),
                   F.bool_and(F.col("kind") == "d").alias("is_date")))
+    names = _names(header, kinds, uniq)
     cols = (names.join(kinds, ["dataset_id", "position"], "left")
             .join(counts, "dataset_id")
             .withColumn("cls", F.when(F.col("present").isNull(), F.lit("empty"))
