@@ -51,7 +51,7 @@ def assemble_rows(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     present = F.when(F.col("value").isNotNull(), F.struct("position", "kind", "value"))
     rows = c.where(~F.col("is_header")).groupBy("dataset_id", "row_no").agg(
         F.sort_array(F.collect_list(present)).alias("sig"),
-        F.collect_set(F.when(F.col("value").isNull(), F.col("position"))).alias("blank_pos"))
+        F.sort_array(F.collect_set(F.when(F.col("value").isNull(), F.col("position")))).alias("blank_pos"))
     return header, rows
 
 
@@ -83,7 +83,9 @@ def dedup_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     uniq = _ckpt(rows.groupBy("dataset_id", "sig").agg(
         F.min("row_no").alias("row_no"), F.count(F.lit(1)).alias("copies"),
-        F.array_distinct(F.flatten(F.collect_list("blank_pos"))).alias("blank_pos")))
+        # A set of (sorted) patterns: copies share one, so a group of copies holding a third of
+        # all rows still collapses map-side to one entry, never a list of every copy.
+        F.array_distinct(F.flatten(F.collect_set("blank_pos"))).alias("blank_pos")))
     counts = uniq.groupBy("dataset_id").agg(F.sum("copies").cast("bigint").alias("rows_in"),
                                             F.count(F.lit(1)).alias("rows_out"))
     cells = uniq.select("dataset_id", "row_no", F.inline("sig"))

@@ -48,3 +48,17 @@ def test_long_form_equals_wide_clean_then_profile(spark):
             (rep.rows_in, rep.rows_out, rep.duplicates_removed, len(rep.empty_columns))
     assert "Unnamed: 4" in long_text["a.xlsx"] and "Nama.1" in long_text["a.xlsx"]
     assert "- Detected type: student" in long_text["a.xlsx"] and "NIM:" not in long_text["a.xlsx"]
+
+
+def test_many_copies_with_blank_cells_collapse(spark):
+    """A group of copies (here most of the rows) dedups to one row; a column seen only as
+    missing cells still exists and is dropped as empty."""
+    rows = [("d", 0, 1, "a", "s", True), ("d", 0, 2, "b", "s", True), ("d", 0, 3, "c", "s", True)]
+    for r in range(1, 2001):
+        v = "1" if r <= 1500 else str(r)
+        rows += [("d", r, 1, v, "n", False), ("d", r, 2, None, "s", False), ("d", r, 3, "t", "s", False)]
+    cells = spark.createDataFrame(rows, "dataset_id string, row_no bigint, position int, value string, "
+                                        "kind string, is_header boolean")
+    _, _, _, summary = CL.profile_cells(cells)
+    r = summary.first()
+    assert (r["rows_in"], r["rows_out"], r["duplicates_removed"], r["empty_columns_dropped"]) == (2000, 501, 1499, 1)
