@@ -125,11 +125,12 @@ GROUP BY c.c_nationkey
 
 # Conversations as report requests: the first user turn stands for the data summary,
 # the last assistant turn for the generated text; token counts come from the turns.
+# (Turns are unique per conversation; min_by/max_by are bounded partial aggregates, so a
+# conversation holding a third of all turns is not one window partition.)
 CONVERSATION_REQUESTS = """
-SELECT conv_id AS dataset_id, text AS summary_text
-FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn
-      FROM {conversations} WHERE role = 'user') u
-WHERE rn = 1
+SELECT conv_id AS dataset_id, min_by(text, turn) AS summary_text
+FROM {conversations} WHERE role = 'user'
+GROUP BY conv_id
 """
 
 CONVERSATION_GENERATED = """
@@ -138,9 +139,8 @@ SELECT conv_id AS dataset_id, text,
        CASE WHEN conv_id % 7 = 0 THEN NULL ELSE CAST(length(text) AS BIGINT) END AS output_tokens,
        CASE WHEN conv_id % 7 = 0 OR conv_id % 5 = 0 THEN NULL
             ELSE turn * 100 + 7 + CAST(length(text) AS BIGINT) END AS total_tokens
-FROM (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn
-      FROM {conversations} WHERE role = 'assistant') a
-WHERE rn = 1
+FROM (SELECT conv_id, max(turn) AS turn, max_by(text, turn) AS text
+      FROM {conversations} WHERE role = 'assistant' GROUP BY conv_id) a
 """
 
 # Customer segments as datasets, with the report type each one asks for.
