@@ -278,6 +278,7 @@ O_CLEAN_TABLE = (
 
 def q_cleaning_summary(spark: SparkSession, sf: str) -> DataFrame:
     _, report = C.clean(I.run(spark, sf, I.ORDERS_DIRTY))
+    report.release()  # the summary is plain numbers; the cached rows are not read again
     return report.to_df(spark).select("rows_in", "rows_out", "duplicates_removed", "empty_columns_dropped")
 
 

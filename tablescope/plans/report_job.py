@@ -43,8 +43,11 @@ def dataset_summaries(tables: dict[str, DataFrame], max_parallel: int = 4) -> Da
     """
     def one(item):
         name, df = item
-        cleaned, _ = C.clean(df)
+        cleaned, report = C.clean(df)
         ds, num, cat = P.analyze(cleaned, name)
+        # The profile tables are written (``analyze`` materialises them) and nothing below reads
+        # the cleaned rows again: drop their cached copy instead of holding it for the whole job.
+        report.release()
         text = R.summary_text(ds, num, cat)
         record = P.analysis_record(ds, num, cat)
         return (ds.select("dataset_id", "detected_type", "row_count").join(text, "dataset_id")
