@@ -62,3 +62,18 @@ def test_many_copies_with_blank_cells_collapse(spark):
     _, _, _, summary = CL.profile_cells(cells)
     r = summary.first()
     assert (r["rows_in"], r["rows_out"], r["duplicates_removed"], r["empty_columns_dropped"]) == (2000, 501, 1499, 1)
+
+
+def test_long_form_numeric_paths_agree(spark):
+    """The median's one-task path and its narrowing rounds give the same numbers, mean fills
+    included."""
+    import pytest
+    cells, _ = W.read_workbooks(spark, _folder())
+    key = ("dataset_id", "position")
+    one = {tuple(r[k] for k in key): r for r in CL.profile_cells(cells, materialize=False)[1].collect()}
+    sel = {tuple(r[k] for k in key): r for r in
+           CL.profile_cells(cells, materialize=False, max_group_values=1, buckets=4)[1].collect()}
+    assert one.keys() == sel.keys() and one
+    for k, r in one.items():
+        for c in ("row_count", "mean", "median", "min", "max", "std", "missing"):
+            assert r[c] == pytest.approx(sel[k][c]), (k, c)
