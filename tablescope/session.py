@@ -55,6 +55,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """The configured shared folder itself, for state that must outlive this application (a
+    stream's progress). ``getCheckpointDir`` is a fresh subfolder per application, so a
+    restarted stream kept there would lose its progress and replay from batch 0."""
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    return os.path.dirname(ensure_checkpoint_dir(spark).rstrip("/"))
+
+
 def checkpoint(df):
     """Cut the lineage: write ``df`` as a parquet table in the cluster's checkpoint folder and
     read it back.

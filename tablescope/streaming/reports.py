@@ -3,7 +3,8 @@
 The same batch operators run on every micro-batch through ``foreachBatch``; each batch
 writes under ``batch_id=<n>`` with overwrite, so a replayed batch (after a failure) rewrites
 its own output instead of duplicating it. Department lists and totals are static tables
-joined to each batch. The stream's progress lives under the cluster's checkpoint folder.
+joined to each batch. The stream's progress lives under the cluster's checkpoint folder
+(the configured root, not this application's subfolder, so a restart resumes it).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import reports as RP
 from ..operators import validate as V
-from ..session import ensure_checkpoint_dir
+from ..session import checkpoint_root
 
 REPORT_SCHEMA = ("report_id bigint, dataset_id bigint, report_type string, report_text string, "
                  "source_file string, prompt_tokens bigint, output_tokens bigint, total_tokens bigint")
@@ -36,7 +37,7 @@ def start_report_stream(spark: SparkSession, source_dir: str, sink_dir: str, nam
                         ts: dt.datetime | None = None, schema: str = REPORT_SCHEMA,
                         available_now: bool = True, checkpoint_location: str | None = None) -> StreamingQuery:
     """Watch ``source_dir`` (parquet files of report rows); write documents as parquet."""
-    ckpt = checkpoint_location or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    ckpt = checkpoint_location or f"{checkpoint_root(spark)}/streams/{name}"
     stream = spark.readStream.schema(schema).parquet(source_dir)
 
     def handle(batch: DataFrame, batch_id: int) -> None:

@@ -27,3 +27,10 @@ def test_report_stream_processes_arriving_files(spark):
     q.awaitTermination(120)
     got = spark.read.parquet(out).collect()
     assert sorted(r["report_id"] for r in got) == [1, 2, 3]
+
+
+def test_stream_progress_root_is_not_the_per_application_folder(spark):
+    from tablescope.session import checkpoint_root, ensure_checkpoint_dir
+    app_dir = ensure_checkpoint_dir(spark).rstrip("/")
+    root = checkpoint_root(spark)
+    assert app_dir.startswith(root + "/") and app_dir != root
