@@ -31,6 +31,9 @@ def test_report_stream_processes_arriving_files(spark):
 
 def test_stream_progress_root_is_not_the_per_application_folder(spark):
     from tablescope.session import checkpoint_root, ensure_checkpoint_dir
-    app_dir = ensure_checkpoint_dir(spark).rstrip("/")
-    root = checkpoint_root(spark)
+    def plain(p):  # Spark qualifies local paths with a file: scheme
+        return p[len("file:"):] if p.startswith("file:") else p
+
+    app_dir = plain(ensure_checkpoint_dir(spark).rstrip("/"))
+    root = plain(checkpoint_root(spark))
     assert app_dir.startswith(root + "/") and app_dir != root
