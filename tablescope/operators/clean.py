@@ -83,12 +83,20 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     return df.drop(*empty_columns(df)) if df.columns else df
 
 
-def _text_checks(c: str, i: int) -> list:
+def _text_flags(c: str, i: int) -> list:
+    """Per-row values of a text column's checks, computed once in a projection below the
+    aggregate (the aggregate reads them several times)."""
     present = blank_is_missing(comma_to_dot(qcol(c)))
+    return [present.alias(f"_tp{i}"), is_number_text(present).alias(f"_tn{i}"),
+            is_integer_text(present).alias(f"_ti{i}")]
+
+
+def _text_checks(i: int) -> list:
+    p, n, k = F.col(f"_tp{i}"), F.col(f"_tn{i}"), F.col(f"_ti{i}")
     return [
-        F.bool_and(present.isNull() | is_number_text(present)).alias(f"_num{i}"),
-        F.bool_and(present.isNotNull() & is_integer_text(present)).alias(f"_int{i}"),
-        F.count_if(present.isNull()).alias(f"_blank{i}"),
+        F.bool_and(p.isNull() | n).alias(f"_num{i}"),
+        F.bool_and(p.isNotNull() & k).alias(f"_int{i}"),
+        F.count_if(p.isNull()).alias(f"_blank{i}"),
     ]
 
 
@@ -111,13 +119,15 @@ def conversion_plan(df: DataFrame, extra=(), source: DataFrame | None = None) ->
     texts = set(S.text_columns(df))
     nums = set(S.numeric_columns(df))
     aggs = [F.count(F.lit(1)).alias("_rows"), *extra]
+    flags = []
     for i, c in enumerate(df.columns):
         aggs.append(F.count(_present(df, c)).alias(f"_nn{i}"))
         if c in texts:
-            aggs += _text_checks(c, i)
+            flags += _text_flags(c, i)
+            aggs += _text_checks(i)
         elif c in nums:
             aggs.append(F.count_if(_num(df, c).isNull()).alias(f"_gap{i}"))
-    r = (source if source is not None else df).agg(*aggs).first()
+    r = (source if source is not None else df).select("*", *flags).agg(*aggs).first()
     rows = r["_rows"]
     nonnull = {c: r[f"_nn{i}"] for i, c in enumerate(df.columns)}
     targets, gaps = {}, {}
