@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from tablescope.llm.common import checkpoint, read, text_of
 
 SHARDS = 16
-TOLERANCE = 0.01        # of a shard's share of the bytes, for a shard's splitter
+TOLERANCE = 0.001       # of a shard's share of the bytes, for a shard's splitter
+WHOLE = 0.01            # of a shard's share: a group of equal texts is split only beyond this (or half the largest row)
 FINE_TOLERANCE = 0.25   # of a fine range's share, for the splitters inside a shard
 FINE_BYTES = 256 << 20  # text bytes of a fine range, one task's share of the exchange
 FINE_LEAST, FINE_MOST = 4, 256  # fine ranges of a shard
