@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from tablescope.llm.byte_bpe import op5_byte_bpe
+from tablescope.llm.decontaminate import op8_decontaminate
 from tablescope.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from tablescope.llm.jaccard_join import op6_jaccard_join
 from tablescope.llm.language_id import op2_language_id
 from tablescope.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tablescope.llm.secret_scan import op7_secret_scan
@@ -14,7 +16,9 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_secret_scan": op7_secret_scan,
+    "op8_decontaminate": op8_decontaminate,
     "op10_sharding": op10_sharding,
 }
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL}

@@ -38,15 +38,22 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lowered, SPACE), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def text_key(column: str = "text") -> Column:
+    return F.xxhash64(text_of(column))
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose (doc_id, text) is in ``dropped`` (doc_id, text_sha256).
+    """``docs`` without the rows whose (doc_id, text_key) is in ``dropped`` (doc_id, k).
 
     Null-safe on doc_id and row-exact: two rows with one doc_id and different texts are
     judged apart. Only the keys of dropped rows are shuffled or broadcast beside ``docs``.
     """
-    rows = packed(docs).withColumns({
-        "k_id": F.col("row.doc_id"),
-        "k_sha": F.sha2(F.coalesce(F.col("row.text"), F.lit("")).cast("binary"), 256)})
-    gone = dropped.select(F.col("doc_id").alias("g_id"), F.col("text_sha256").alias("g_sha")).distinct()
-    kept = rows.join(gone, F.col("k_id").eqNullSafe(F.col("g_id")) & (F.col("k_sha") == F.col("g_sha")), "left_anti")
+    rows = packed(docs).withColumns({"k_id": F.col("row.doc_id"), "k_key": text_key("row.text")})
+    gone = dropped.select(F.col("doc_id").alias("g_id"), F.col("k").alias("g_key")).distinct()
+    kept = rows.join(gone, F.col("k_id").eqNullSafe(F.col("g_id")) & (F.col("k_key") == F.col("g_key")), "left_anti")
     return unpacked(kept, docs.columns)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import checkpoint, packed, read, text_of, unpacked, without
+from tablescope.llm.common import checkpoint, packed, read, text_key, text_of, unpacked, without
 
 CHUNK_MIN, CHUNK_MAX = 512, 4096
 
@@ -43,7 +43,7 @@ def verified_recipes(docs: DataFrame, least: int = CHUNK_MIN, most: int = CHUNK_
     pieces = pieces.select(fingerprint(F.col("chunk"), bits).alias("fp"), "chunk").distinct()
     clashing = checkpoint(pieces.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp"))
     base = src.select(
-        "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+        "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.xxhash64("text").alias("k"),
         F.monotonically_increasing_id().alias("row_no"),
         F.transform(chunks_of(F.col("text"), least, most), lambda c: fingerprint(c, bits)).alias("recipe"))
     if clashing.isEmpty():  # every fingerprint stands for one content: it is the identifier
@@ -73,28 +73,26 @@ def exact_dedup(docs: DataFrame, least: int = CHUNK_MIN, most: int = CHUNK_MAX,
         "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("row_no") == F.col("keep_row"), F.lit(True)).alias("kept"),
-        "text_sha256", F.size("recipe").alias("n_chunks"))
+        "text_sha256", F.size("recipe").alias("n_chunks"), "k")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns unchanged."""
-    marks = checkpoint(exact_dedup(docs).select("doc_id", "text_sha256", "kept", "group_size"))
-    stays = marks.filter("kept").select("doc_id", "text_sha256")
-    gone = marks.filter("NOT kept").select("doc_id", "text_sha256")
-    twins = checkpoint(gone.join(stays, gone.doc_id.eqNullSafe(stays.doc_id) & (gone.text_sha256 == stays.text_sha256), "left_semi").distinct())
+    marks = checkpoint(exact_dedup(docs).select("doc_id", "k", "kept"))
+    gone, stays = marks.filter("NOT kept").select("doc_id", "k"), marks.filter("kept").select("doc_id", "k")
+    twins = checkpoint(gone.join(stays, gone.doc_id.eqNullSafe(stays.doc_id) & (gone.k == stays.k), "left_semi").distinct())
+    kept = without(docs, gone)
     if twins.isEmpty():
-        return without(docs, gone)
-    # Rows that repeat doc_id and text: keep one of each, apart from the other rows.
-    others = without(docs, gone)
-    key = {"k_id": F.col("row.doc_id"), "k_sha": F.sha2(F.coalesce(F.col("row.text"), F.lit("")).cast("binary"), 256)}
-    t = twins.select(F.col("doc_id").alias("t_id"), F.col("text_sha256").alias("t_sha"))
-    again = packed(docs).withColumns(key).join(t, F.col("k_id").eqNullSafe(F.col("t_id")) & (F.col("k_sha") == F.col("t_sha")), "left_semi")
-    one = again.groupBy("k_id", "k_sha").agg(F.first("row").alias("row"))
-    return others.unionByName(unpacked(one, docs.columns))
+        return kept
+    # Rows that repeat doc_id and text: one of each comes back.
+    t = twins.select(F.col("doc_id").alias("t_id"), F.col("k").alias("t_key"))
+    again = packed(docs).withColumns({"k_id": F.col("row.doc_id"), "k_key": text_key("row.text")})
+    again = again.join(t, F.col("k_id").eqNullSafe(F.col("t_id")) & (F.col("k_key") == F.col("t_key")), "left_semi")
+    return kept.unionByName(unpacked(again.groupBy("k_id", "k_key").agg(F.first("row").alias("row")), docs.columns))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(read(spark, sf_dir, "documents")).drop("n_chunks")
+    return exact_dedup(read(spark, sf_dir, "documents")).drop("n_chunks", "k")
 
 
 OP3_SQL = """
