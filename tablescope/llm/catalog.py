@@ -5,6 +5,7 @@ from __future__ import annotations
 from tablescope.llm.byte_bpe import op5_byte_bpe
 from tablescope.llm.decontaminate import op8_decontaminate
 from tablescope.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from tablescope.llm.html_extract import op1_html_extract
 from tablescope.llm.jaccard_join import op6_jaccard_join
 from tablescope.llm.language_id import op2_language_id
 from tablescope.llm.line_dedup import OP4_SQL, op4_line_dedup
@@ -12,6 +13,7 @@ from tablescope.llm.secret_scan import op7_secret_scan
 from tablescope.llm.sharding import op10_sharding
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_line_dedup": op4_line_dedup,

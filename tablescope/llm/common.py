@@ -43,6 +43,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its rows are few enough; else it will be shuffled."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def text_key(column: str = "text") -> Column:
     return F.xxhash64(text_of(column))
 
@@ -54,6 +59,6 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     judged apart. Only the keys of dropped rows are shuffled or broadcast beside ``docs``.
     """
     rows = packed(docs).withColumns({"k_id": F.col("row.doc_id"), "k_key": text_key("row.text")})
-    gone = dropped.select(F.col("doc_id").alias("g_id"), F.col("k").alias("g_key")).distinct()
-    kept = rows.join(gone, F.col("k_id").eqNullSafe(F.col("g_id")) & (F.col("k_key") == F.col("g_key")), "left_anti")
+    gone = checkpoint(dropped.select(F.col("doc_id").alias("g_id"), F.col("k").alias("g_key")).distinct())
+    kept = rows.join(if_small(gone, 64), F.col("k_id").eqNullSafe(F.col("g_id")) & (F.col("k_key") == F.col("g_key")), "left_anti")
     return unpacked(kept, docs.columns)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import BROADCAST_BYTES, checkpoint, let, read, text_key, text_of, without, words_of
+from tablescope.llm.common import checkpoint, if_small, let, read, text_key, text_of, without, words_of
 
 N, SIMILARITY, RADIUS, BITS = 5, 0.8, 19, 64
 
@@ -64,11 +64,6 @@ def _similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def _small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df``, a written table, to be broadcast if its rows are few enough; else it is shuffled."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
 def find_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, k, start, nw, words): windows where a shingle of an item of ``nw`` words falls."""
     sizes = sorted(r["n"] for r in items.select(F.least("nw", F.lit(N)).alias("n")).distinct().collect())  # within 1 to N
@@ -79,13 +74,13 @@ def find_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
         own = items.filter((F.col("nw") == n) if n < N else (F.col("nw") >= N))
         index = checkpoint(own.select("nw", F.posexplode(hashed(F.col("words"))).alias("off", "h")).distinct())
         at = base.select("doc_id", "k", F.size("words").alias("size"), F.posexplode(hashed(F.col("words"))).alias("pos", "h"))
-        at = at.join(_small(index, 64), "h").select(
+        at = at.join(if_small(index, 64), "h").select(
             "doc_id", "k", "nw", F.greatest(F.lit(0), F.col("pos") - F.col("off")).alias("start"))
         found = at if found is None else found.unionByName(at)
     if found is None:
         return base.limit(0).select("doc_id", "k", F.lit(0).alias("start"), F.lit(0).alias("nw"), "words")
     places = checkpoint(found.distinct().groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "nw")).alias("at")))
-    p = _small(places.select(F.col("doc_id").alias("p_id"), F.col("k").alias("p_k"), "at"), 256)
+    p = if_small(places.select(F.col("doc_id").alias("p_id"), F.col("k").alias("p_k"), "at"), 256)
     rows = base.join(p, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("k") == F.col("p_k")))
     rows = rows.dropDuplicates(["doc_id", "k"]) if _repeats(docs, places) else rows
     rows = rows.select("doc_id", "k", "words", F.explode("at").alias("w"))
@@ -112,10 +107,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     mine = wins.select("nw", "fp").distinct().select("nw", "fp", F.posexplode(blocks(F.col("fp"), radius)).alias("block", "value"))
     theirs = checkpoint(items.select("nw", F.col("fp").alias("ifp"), "item_id", F.posexplode(blocks(F.col("fp"), radius)).alias("block", "value")))
     far = F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp")))
-    pairs = mine.join(_small(theirs, 96), ["nw", "block", "value"]).filter(far <= radius)
+    pairs = mine.join(if_small(theirs, 96), ["nw", "block", "value"]).filter(far <= radius)
     pairs = checkpoint(pairs.select("nw", "fp", "item_id", far.alias("hamming")).distinct())
     about = items.select("item_id", F.col("shingles").alias("wanted"))
-    checked = (wins.join(_small(pairs, 64), ["nw", "fp"]).join(about, "item_id")
+    checked = (wins.join(if_small(pairs, 64), ["nw", "fp"]).join(about, "item_id")
                .withColumn("similarity", _similarity(F.col("shingles"), F.col("wanted")))
                .filter(F.col("similarity") >= similarity))
     first = F.struct(-F.col("similarity"), "start")
@@ -127,7 +122,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item, all columns unchanged."""
-    return without(docs, checkpoint(decontaminate(docs, benchmark).select("doc_id", "k").distinct()))
+    return without(docs, decontaminate(docs, benchmark).select("doc_id", "k"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
