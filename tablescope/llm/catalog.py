@@ -9,6 +9,7 @@ from tablescope.llm.html_extract import op1_html_extract
 from tablescope.llm.jaccard_join import op6_jaccard_join
 from tablescope.llm.language_id import op2_language_id
 from tablescope.llm.line_dedup import OP4_SQL, op4_line_dedup
+from tablescope.llm.quality import op9_quality
 from tablescope.llm.secret_scan import op7_secret_scan
 from tablescope.llm.sharding import op10_sharding
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_secret_scan": op7_secret_scan,
     "op8_decontaminate": op8_decontaminate,
+    "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL}
