@@ -28,7 +28,7 @@ from ..functions.numbers import NUMBER_PATTERN, markers_to_null
 from ..session import checkpoint as _ckpt
 from . import schema as S
 from .median import exact_median
-from .profile import top_value
+from .profile import top_values
 
 
 def _tag_header(cells: DataFrame) -> DataFrame:
@@ -150,8 +150,7 @@ def profile_cells(cells: DataFrame, materialize: bool = True, **median_opts):
                                                       F.col("gaps").alias("w"))
     weighted = nvals.select("dataset_id", "position", "value", F.lit(1).cast("bigint").alias("w")) \
         .unionByName(fill_rows)
-    bound = kept.agg(F.max("rows_out")).first()[0] or 0  # rows bound a column's distinct values
-    med = exact_median(weighted, ["dataset_id", "position"], weight_col="w", max_rows_hint=bound, **median_opts)
+    med = exact_median(weighted, ["dataset_id", "position"], weight_col="w", **median_opts)
     num = stats.join(med, ["dataset_id", "position"], "left").select(
         "dataset_id", "position", "column_name", F.col("rows_out").alias("row_count"), "mean", "median",
         "min", "max", "std", F.lit(0).cast("bigint").alias("missing"))
@@ -160,12 +159,11 @@ def profile_cells(cells: DataFrame, materialize: bool = True, **median_opts):
     txt_cols = kept.where(F.col("cls") == "text").select("dataset_id", "position", "column_name", "gaps")
     vc = (dcells.join(txt_cols.select("dataset_id", "position"), ["dataset_id", "position"], "left_semi")
           .groupBy("dataset_id", "position", text_value.alias("value")).agg(F.count(F.lit(1)).alias("n")))
-    top = vc.groupBy("dataset_id", "position").agg(F.count(F.lit(1)).alias("unique_values"),
-                                                   top_value(F.col("value"), F.col("n")).alias("_top"))
+    top = top_values(_ckpt(vc), ["dataset_id", "position"], F.count(F.lit(1)).alias("unique_values"))
     cat = txt_cols.join(top, ["dataset_id", "position"]).select(
         "dataset_id", "position", "column_name", "unique_values",
-        F.col("_top.value").alias("most_common"),
-        (-F.col("_top.neg_n") + F.col("gaps")).alias("most_common_count"),
+        F.col("top").alias("most_common"),
+        (F.col("top_n") + F.col("gaps")).alias("most_common_count"),
         F.lit(0).cast("bigint").alias("missing"))
     if materialize:
         ds, num, cat, summary = (_ckpt(d) for d in (ds, num, cat, summary))

@@ -26,7 +26,8 @@ from ..functions.names import qcol
 from ..functions.numbers import (blank_is_missing, comma_to_dot, is_integer_text, is_number_text,
                                  nan_is_missing, text_to_double, text_to_long)
 from . import schema as S
-from .profile import top_value
+from .profile import top_values, value_counts
+from ..session import checkpoint as _ckpt
 
 
 @dataclass
@@ -170,11 +171,10 @@ def fill_values(df: DataFrame, numeric_cols: list[str], text_cols: list[str]) ->
         r = df.agg(*[F.avg(_num(df, c)).alias(f"_m{i}") for i, c in enumerate(numeric_cols)]).first()
         values.update({c: r[f"_m{i}"] for i, c in enumerate(numeric_cols)})
     if text_cols:
-        from .profile import value_counts
-        vc = value_counts(df, text_cols)
-        modes = (vc.groupBy("column_name").agg(top_value(F.col("value"), F.col("n")).alias("_top"))
-                 .select("column_name", F.col("_top.value").alias("mode")).collect())
-        found = {row["column_name"]: row["mode"] for row in modes}
+        vc = _ckpt(value_counts(df, text_cols).select("position", "value", "n"))
+        pos = S.positions(df)
+        found = {r["position"]: r["top"] for r in top_values(vc, ["position"]).collect()}  # one row per column
+        found = {c: found.get(pos[c]) for c in text_cols}
         values.update({c: found.get(c) if found.get(c) is not None else "" for c in text_cols})
     return values
 

@@ -1,153 +1,115 @@
-"""Exact median per group, without holding a group's values in one buffer.
-
-``F.median`` keeps a value→count map per group and merges all of a global column's maps
-in one final task, which does not hold at 100 TB. Here:
-
-1. ``vc`` = distinct (group, value) with counts — a partial aggregate, so a hot value
-   collapses map-side.
-2. If every group has at most ``max_group_values`` distinct values (checked with one
-   small aggregate), one window per group over ``vc`` finds the two middle ranks.
-3. Otherwise the candidate value range of each group is narrowed: approximate
-   quantiles of the group's distinct values cut it into ``buckets`` ranges, a bucket
-   histogram (one row per group and bucket) with a running count locates the bucket(s)
-   holding the middle ranks, and only those values stay candidates. This repeats until
-   the size check passes, then step 2 runs on the candidates with the count below them.
-
-The result is exact (pandas/numpy: mean of the two middle values for an even count).
+"""Exact median per group by counting, without holding a group's values in one task.
+
+``F.median`` keeps a value→count map per group and merges all of a global column's maps in
+one final task, which does not hold at 100 TB. Here the two middle ranks are bracketed from
+the rows themselves:
+
+1. Each round cuts every open group's bracket [lo, hi] into buckets and counts the rows of each
+   bucket (a partial aggregate: a task sends at most one row per group and bucket, whatever its
+   rows). The first round cuts evenly in log(1 + |x|), so that heavy tails don't hold all rows
+   in one bucket; later rounds cut evenly in x. The ends of a bracket are buckets of their own.
+2. The bucket that holds the middle ranks, by running counts, is the next bracket, with the least
+   and greatest value found in it as its ends. Ranks that fall in two buckets, or a bracket of one
+   value, end the group's search.
+3. Once no open bracket holds more than ``finish_rows`` rows, the values inside the brackets are
+   counted and the middle ones picked in value order.
+
+The plan is the same at every size; only the number of rounds grows, by the logarithm of a
+group's rows. State is one row per open group: it is broadcast when its size is small and
+shuffled by group otherwise. The result is exact (mean of the two middle values for an even count).
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import quote
+from ..functions.names import qcol
 from ..session import checkpoint as _ckpt
 
-DEFAULT_MAX_GROUP_VALUES = 2_000_000
-DEFAULT_BUCKETS = 1024
-DEFAULT_ACCURACY = 10_000
-_MAX_ROUNDS = 8
-
-
-def _bucket_of(value, bounds, n_bounds: int):
-    """Number of bounds <= value: a binary search with log2(n) steps, JVM-side."""
-    steps = max(1, math.floor(math.log2(max(1, n_bounds))))
-    step_list = F.sequence(F.lit(steps), F.lit(0), F.lit(-1))
-
-    def step(acc, s):
-        nxt = acc + F.call_function("shiftleft", F.lit(1), s)
-        probe = F.try_element_at(bounds, nxt)
-        return F.when(probe.isNotNull() & (probe <= value), nxt).otherwise(acc)
-
-    return F.aggregate(step_list, F.lit(0), step)
-
-
-def _join_groups(left: DataFrame, right: DataFrame, g: list[str]) -> DataFrame:
-    """Inner join on the group columns with NULL equal to NULL (a group key may be NULL)."""
-    a, b = left.alias("_l"), right.alias("_r")
-    cond = [F.col(f"_l.{quote(k)}").eqNullSafe(F.col(f"_r.{quote(k)}")) for k in g]
-    return a.join(b, cond).select("_l.*", *[F.col(f"_r.{quote(c)}") for c in right.columns if c not in g])
-
-
-def _pick_middle(cand: DataFrame, g: list[str]) -> DataFrame:
-    """cand: (g, value, n, below, total). One window per group; groups are size-checked."""
-    w = Window.partitionBy(*g).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    k_lo = F.floor((F.col("total") - 1) / 2)
-    k_hi = F.floor(F.col("total") / 2)
-    ranked = cand.withColumn("_end", F.col("below") + F.sum("n").over(w)).withColumn("_start", F.col("_end") - F.col("n"))
-    hit_lo = (F.col("_start") <= k_lo) & (k_lo < F.col("_end"))
-    hit_hi = (F.col("_start") <= k_hi) & (k_hi < F.col("_end"))
-    return (ranked.where(hit_lo | hit_hi)
-            .groupBy(*g)
-            .agg(((F.max(F.when(hit_lo, F.col("value"))) + F.max(F.when(hit_hi, F.col("value")))) / 2)
-                 .alias("median")))
-
-
-def count_values(long_df: DataFrame, group_cols, value_col: str = "value",
-                 weight_col: str | None = None) -> DataFrame:
-    """(group_cols..., value DOUBLE, n BIGINT): distinct non-null values with their counts —
-    a partial aggregate, so a hot value collapses map-side. ``weight_col``: rows stand for
-    that many copies of their value."""
-    g = list(group_cols)
-    return (long_df.where(F.col(value_col).isNotNull())
-            .groupBy(*g, F.col(value_col).cast("double").alias("value"))
-            .agg((F.sum(F.col(weight_col)) if weight_col else F.count(F.lit(1))).cast("bigint").alias("n"))
-            .where(F.col("n") > 0))
-
-
-def exact_median(long_df: DataFrame, group_cols, value_col: str = "value",
-                 max_group_values: int = DEFAULT_MAX_GROUP_VALUES,
-                 buckets: int = DEFAULT_BUCKETS, accuracy: int = DEFAULT_ACCURACY,
-                 max_rows_hint: int | None = None, weight_col: str | None = None) -> DataFrame:
+DEFAULT_BUCKETS = 4096
+FINISH_ROWS = 50_000
+_STATE_ROW_BYTES = 128
+_BROADCAST_BYTES = 32 << 20
+_LARGEST = 1.7976931348623157e308  # infinite ends are cut here; their values still have end buckets
+
+
+def _bucket(x: Column, first: bool, buckets: int) -> Column:
+    """0 for the bracket's least value, buckets + 1 for its greatest, 1..buckets between (non-decreasing in x)."""
+    lo, hi = F.greatest(F.col("lo"), F.lit(-_LARGEST)), F.least(F.col("hi"), F.lit(_LARGEST))
+    at = (lambda v: F.signum(v) * F.log1p(F.abs(v))) if first else (lambda v: v / 2)
+    share = F.coalesce(F.try_divide(at(x) - at(lo), at(hi) - at(lo)), F.lit(0.0))
+    inner = F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * buckets)
+    return (F.when(x == F.col("lo"), F.lit(0)).when(x == F.col("hi"), F.lit(buckets + 1))
+            .otherwise(1 + F.least(inner, F.lit(buckets - 1))).cast("int"))
+
+
+def _inside(rows: DataFrame, state: DataFrame, g: list[str], groups: int) -> DataFrame:
+    """Rows within their group's open bracket, with the bracket (a NULL key equals NULL)."""
+    cols = ("lo", "hi", "below", "r1", "r2")
+    s = state.select(*[qcol(k).alias(f"_s{i}") for i, k in enumerate(g)], *cols)
+    if groups * _STATE_ROW_BYTES <= _BROADCAST_BYTES:
+        s = F.broadcast(s)
+    on = [qcol(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(g)]
+    joined = rows.join(s, on) if g else rows.join(s)
+    return joined.where((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi"))) \
+        .select(*[qcol(k) for k in g], "_x", "_w", *cols)
+
+
+def _select(counts: DataFrame, g: list[str], order: str) -> tuple[DataFrame, Column, Column]:
+    """Running counts before each row of ``counts``, and whether it holds the middle ranks."""
+    w = Window.partitionBy(*[qcol(k) for k in g]).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("_before", F.col("below") + F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    holds = [(F.col("_before") <= F.col(r)) & (F.col(r) < F.col("_before") + F.col("_n")) for r in ("r1", "r2")]
+    return ranked, holds[0], holds[1]
+
+
+def exact_median(long_df: DataFrame, group_cols, value_col: str = "value", weight_col: str | None = None,
+                 buckets: int = DEFAULT_BUCKETS, finish_rows: int = FINISH_ROWS) -> DataFrame:
     """(group_cols..., median DOUBLE) over non-null values of ``value_col``.
 
-    ``max_rows_hint``: a known upper bound of non-null values per group (for example the
-    counts of a statistics pass). Rows bound distinct values, so a hint within the limit
-    skips the size-check pass. ``weight_col``: rows stand for that many copies of their
-    value (used to add filled cells without materialising them). Groups with no values are
-    absent; callers left-join.
+    ``weight_col``: rows stand for that many copies of their value (used to add filled cells
+    without materialising them). Groups with no values are absent; callers left-join. ``long_df`` is
+    read once per round, so it should be cheap to recompute (a scan) or already written.
     """
     g = list(group_cols)
-    vc = count_values(long_df, g, value_col, weight_col)
-    return median_of_counts(vc, g, max_group_values=max_group_values, buckets=buckets, accuracy=accuracy,
-                            max_distinct_hint=max_rows_hint)
-
-
-def median_of_counts(vc: DataFrame, group_cols, max_group_values: int = DEFAULT_MAX_GROUP_VALUES,
-                     buckets: int = DEFAULT_BUCKETS, accuracy: int = DEFAULT_ACCURACY,
-                     max_distinct_hint: int | None = None, materialized: bool = False) -> DataFrame:
-    """(group_cols..., median) from ``vc`` = (group_cols..., value, n) with distinct values and
-    their counts; rows with ``n = 0`` (such as a NULL value given weight 0) are never picked.
-    ``max_distinct_hint``: an upper bound of any group's distinct values (skips the
-    size-check pass when within the limit). ``materialized``: ``vc`` is
-    already a written table, so the narrowing rounds need not write it again."""
-    g = list(group_cols)
-    if max_distinct_hint is not None and max_distinct_hint <= max_group_values:
-        biggest = max_distinct_hint
-    else:
-        sizes = vc.groupBy(*g).agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total"))
-        biggest = sizes.agg(F.max("distinct")).first()[0] or 0
-    if biggest <= max_group_values:
-        # Same partitioning and order as the running sum below, so both share one sort.
-        w_all = Window.partitionBy(*g).orderBy("value").rowsBetween(Window.unboundedPreceding,
-                                                                       Window.unboundedFollowing)
-        cand = vc.withColumn("total", F.sum("n").over(w_all)).withColumn("below", F.lit(0).cast("bigint"))
-        return _pick_middle(cand, g)
-    # Narrowing rounds reuse the distinct-value table: cut its lineage once.
-    if not materialized:
-        vc = _ckpt(vc)
-    sizes = vc.groupBy(*g).agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total"))
-    state = sizes.select(*g, "total", F.lit(None).cast("double").alias("lo"),
-                         F.lit(None).cast("double").alias("hi"),
-                         F.lit(0).cast("bigint").alias("below"))
-    fractions = [i / buckets for i in range(1, buckets)]
-    for _ in range(_MAX_ROUNDS):
-        cand = (_join_groups(vc, state, g)
-                .where((F.col("lo").isNull() | (F.col("value") >= F.col("lo")))
-                       & (F.col("hi").isNull() | (F.col("value") <= F.col("hi")))))
-        bounds = cand.groupBy(*g).agg(
-            F.percentile_approx("value", fractions, accuracy).alias("bounds"))
-        hist = (_join_groups(cand, bounds, g)
-                .withColumn("bucket", _bucket_of(F.col("value"), F.col("bounds"), len(fractions)))
-                .groupBy(*g, "bucket", "total", "below")
-                .agg(F.sum("n").alias("bn"), F.min("value").alias("bmin"),
-                     F.max("value").alias("bmax"), F.count(F.lit(1)).alias("bd")))
-        w = Window.partitionBy(*g).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        hist = hist.withColumn("before", F.col("below") + F.coalesce(F.sum("bn").over(w), F.lit(0)))
-        k_lo = F.floor((F.col("total") - 1) / 2)
-        k_hi = F.floor(F.col("total") / 2)
-        inside = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("bn"))
-        new_state = _ckpt(hist.where(inside(k_lo) | inside(k_hi))
-                          .groupBy(*g, "total")
-                          .agg(F.min("bmin").alias("lo"), F.max("bmax").alias("hi"),
-                               F.min("before").alias("below"), F.sum("bd").alias("distinct")))
-        biggest = new_state.agg(F.max("distinct")).first()[0] or 0
-        state = new_state.drop("distinct")
-        if biggest <= max_group_values:
+    keys = [qcol(k) for k in g]
+    weight = F.col(weight_col).cast("bigint") if weight_col else F.lit(1).cast("bigint")
+    rows = long_df.select(*keys, F.col(value_col).cast("double").alias("_x"), weight.alias("_w")) \
+        .where(F.col("_x").isNotNull() & (F.col("_w") > 0))
+    state = _ckpt(rows.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+                  .where("_n > 0").select(
+        *keys, "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.floor((F.col("_n") - 1) / 2).alias("r1"),
+        F.floor(F.col("_n") / 2).alias("r2"), F.col("_n").alias("inside"),
+        F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("median")))
+    results, first = [], True
+    while True:
+        results.append(state.where(F.col("median").isNotNull()).select(*keys, "median"))
+        left = state.where(F.col("median").isNull())
+        n_open, most = left.agg(F.count(F.lit(1)), F.max("inside")).first()
+        if not n_open:
+            break
+        inside = _inside(rows, left, g, n_open)
+        if not first and most <= finish_rows:
+            counts = inside.groupBy(*keys, "_x", "below", "r1", "r2").agg(F.sum("_w").alias("_n"))
+            ranked, one, two = _select(counts, g, "_x")
+            picked = ranked.where(one | two).groupBy(*keys).agg(
+                ((F.max(F.when(one, F.col("_x"))) + F.max(F.when(two, F.col("_x")))) / 2).alias("median"))
+            results.append(picked)
             break
-    cand = (_join_groups(vc, state, g)
-            .where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))))
-    return _pick_middle(cand, g)
+        hist = (inside.withColumn("_b", _bucket(F.col("_x"), first, buckets))
+                .groupBy(*keys, "_b", "below", "r1", "r2")
+                .agg(F.sum("_w").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")))
+        ranked, one, two = _select(hist, g, "_b")
+        at = lambda hit, c: F.max(F.when(hit, F.col(c)))
+        state = _ckpt(ranked.where(one | two).groupBy(*keys, "r1", "r2").agg(
+            at(one, "_min").alias("lo"), at(one, "_max").alias("hi"), at(two, "_min").alias("_lo2"),
+            F.min("_before").alias("below"), at(one, "_n").alias("inside")).select(
+            *keys, "lo", "hi", "below", "r1", "r2", "inside",
+            F.when(F.col("lo") != F.col("_lo2"), (F.col("hi") + F.col("_lo2")) / 2)
+            .when(F.col("lo") == F.col("hi"), F.col("lo")).alias("median")))
+        first = False
+    out = results[0]
+    for r in results[1:]:
+        out = out.unionByName(r)
+    return out

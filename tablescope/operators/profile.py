@@ -1,26 +1,20 @@
 """Column profiles: numeric statistics and text value summaries, as long tables.
 
-Numeric (A3, A6–A11), exact median: one scan. The columns are stacked into
-(keys, position, value) and counted once per distinct value, ``groupBy(keys, position,
-value)`` (a partial aggregate: a hot value collapses map-side). When the row count is within
-the median's one-task limit, one window partition per (group, column), sorted by value once,
-gives row count, missing count, mean, min, max, the squared deviations (a second window on
-the same partition and order) and the middle value(s). Beyond it the counts are written once;
-the statistics are aggregates of them, the squared deviations a second pass against the mean,
-and the median a selection in narrowing rounds (``median.median_of_counts``). With
-``median="approximate"``: one wide aggregate of every column's statistics and
-``percentile_approx``.
+Numeric (A3, A6–A11): one wide aggregate gives every column's count, missing count, mean, min,
+max and deviation (buffers of a few numbers, nothing shuffled but partial sums). The exact
+median counts bucketed rows in narrowing rounds (``median.exact_median``): no exchange carries
+rows × columns, and the plan is the same at every size. ``median="approximate"`` takes
+``percentile_approx`` in the wide aggregate instead.
 
 Text (A12–A16, O1–O3): the text columns are stacked into (column, value) and counted
-once, ``groupBy(column, value)``; distinct count, most common value (count desc, then
-smallest value), its count and the missing count all come from that one shuffle. The
-top-1 is ``min(struct(-n, value))`` — a bounded partial aggregate, not a window holding a
-column's distinct values in one task.
+once, ``groupBy(column, value)``; distinct count, top count and missing count are one hash
+aggregate of those counts, and the most common value (count desc, then smallest value) is the
+least value among the rows that reach the top count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +22,7 @@ from ..functions.names import qcol
 from ..session import checkpoint as _ckpt
 from ..functions.numbers import nan_is_missing
 from . import schema as S
-from .median import DEFAULT_MAX_GROUP_VALUES, median_of_counts
+from .median import exact_median
 
 NUMERIC_SCHEMA = ("position int, column_name string, row_count bigint, mean double, median double, "
                   "min double, max double, std double, missing bigint")
@@ -57,116 +51,39 @@ def profile_numeric(df: DataFrame, columns=None, keys=(), median: str = "exact",
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], _with_keys(df, keys, NUMERIC_SCHEMA))
-    if median != "approximate":
-        return _exact_numeric(df, cols, keys, **median_opts)
     pos = S.positions(df)
+    # Keys get working names, so that none of them clashes with a column of the result.
+    ks = [f"_k{i}" for i in range(len(keys))]
+    keyed = [qcol(k).alias(ks[i]) for i, k in enumerate(keys)]
+    values = df.select(*keyed, *[numeric_value(df, c).alias(f"_x{i}") for i, c in enumerate(cols)])
     aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        x = numeric_value(df, c)
+    for i in range(len(cols)):
+        x = F.col(f"_x{i}")
         aggs += [F.avg(x).alias(f"_avg{i}"), F.min(x).alias(f"_min{i}"), F.max(x).alias(f"_max{i}"),
-                 F.stddev_samp(x).alias(f"_std{i}"), F.count(x).alias(f"_cnt{i}"),
-                 F.percentile_approx(x, 0.5, 10_000).cast("double").alias(f"_med{i}")]
-    grouped = df.groupBy(*[qcol(k) for k in keys]) if keys else df.groupBy()
-    wide = grouped.agg(*aggs)
+                 F.stddev_samp(x).alias(f"_std{i}"), F.count(x).alias(f"_cnt{i}")]
+        if median == "approximate":
+            aggs.append(F.percentile_approx(x, 0.5, 10_000).cast("double").alias(f"_med{i}"))
+    wide = values.groupBy(*ks).agg(*aggs)
     rows = F.array(*[
         F.struct(F.lit(pos[c]).alias("position"), F.lit(c).alias("column_name"),
                  F.col("_rows").alias("row_count"), F.col(f"_avg{i}").alias("mean"),
-                 F.col(f"_med{i}").alias("median"),
-                 F.col(f"_min{i}").alias("min"), F.col(f"_max{i}").alias("max"),
-                 F.col(f"_std{i}").alias("std"),
-                 (F.col("_rows") - F.col(f"_cnt{i}")).alias("missing"))
+                 F.col(f"_min{i}").alias("min"), F.col(f"_max{i}").alias("max"), F.col(f"_std{i}").alias("std"),
+                 (F.col("_rows") - F.col(f"_cnt{i}")).alias("missing"),
+                 *([F.col(f"_med{i}").alias("median")] if median == "approximate" else []))
         for i, c in enumerate(cols)])
-    return wide.select(*[qcol(k) for k in keys], F.inline(rows))
-
-
-def _exact_numeric(df: DataFrame, cols: list[str], keys: list[str], **median_opts) -> DataFrame:
-    """Statistics and exact median of ``cols`` from one scan of ``df`` (see module notes)."""
-    pos = S.positions(df)
-    ks = [f"_k{i}" for i in range(len(keys))]
-    g = ks + ["position"]
-    args = [F.lit(len(cols))]
-    for c in cols:
-        args += [F.lit(pos[c]), numeric_value(df, c)]
-    stacked = df.select(*[qcol(k).alias(ks[i]) for i, k in enumerate(keys)],
-                        F.stack(*args).alias("position", "value"))
-    # Every row gives each column one entry (NULL when missing), so sum(n) is the row count.
-    counts = stacked.groupBy(*g, "value").agg(F.count(F.lit(1)).alias("n"))
-    # Rows bound any group's distinct values (a parquet scan counts from its footers). Within
-    # the median's one-task limit, statistics and median are one window pass over the counts;
-    # beyond it the selection takes several passes, so the counts are written once.
-    rows = df.count()
-    narrowing = rows > median_opts.get("max_group_values", DEFAULT_MAX_GROUP_VALUES)
-    if narrowing:
-        counts = _ckpt(counts)
-    stats = _stats_by_selection(counts, g, **median_opts) if narrowing else _stats_in_one_window(counts, g)
-    names = F.create_map(*[x for c in cols for x in (F.lit(pos[c]), F.lit(c))])
-    out = stats.select(
-        *[F.col(k).alias(keys[i]) for i, k in enumerate(ks)], F.col("position").cast("int").alias("position"),
-        names[F.col("position")].alias("column_name"), F.col("row_count").cast("bigint").alias("row_count"),
-        "mean", "median", "min", "max",
-        F.when(F.col("_cnt") > 1, F.sqrt(F.col("_m2") / (F.col("_cnt") - 1))).alias("std"),
-        (F.col("row_count") - F.coalesce(F.col("_cnt"), F.lit(0))).cast("bigint").alias("missing"))
-    if keys:
-        return out
-    # No keys: an empty table still lists every column (0 rows, nothing missing).
-    spark = df.sparkSession
-    listed = spark.createDataFrame([(pos[c], c) for c in cols], "position int, column_name string")
-    return (F.broadcast(listed).join(out, ["position", "column_name"], "left")
-            .select("position", "column_name", F.coalesce("row_count", F.lit(0)).cast("bigint").alias("row_count"),
-                    "mean", "median", "min", "max", "std",
-                    F.coalesce("missing", F.lit(0)).cast("bigint").alias("missing")))
-
-
-def _stats_in_one_window(counts: DataFrame, g: list[str]) -> DataFrame:
-    """(g..., row_count, _cnt, mean, min, max, _m2, median) when every group fits one task:
-    one window partition per (group, column), sorted by value once. The totals are window
-    sums over the whole partition, the squared deviations a second window over the same
-    partition and order (no new shuffle or sort), and the median the value(s) whose running
-    count covers the middle rank(s). NULL values (sorted first) weigh 0 in the selection."""
-    w_all = Window.partitionBy(*g).orderBy("value").rowsBetween(Window.unboundedPreceding,
-                                                                   Window.unboundedFollowing)
-    w_run = Window.partitionBy(*g).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pn = F.when(F.col("value").isNotNull(), F.col("n")).otherwise(F.lit(0)).cast("bigint")
-    x = (counts.withColumn("_pn", pn)
-         .withColumn("row_count", F.sum("n").over(w_all)).withColumn("_cnt", F.sum("_pn").over(w_all))
-         .withColumn("mean", F.try_divide(F.sum(F.col("value") * F.col("n")).over(w_all), F.col("_cnt")))
-         .withColumn("min", F.min("value").over(w_all)).withColumn("max", F.max("value").over(w_all))
-         .withColumn("_m2", F.sum(F.col("_pn") * F.pow(F.col("value") - F.col("mean"), 2)).over(w_all))
-         .withColumn("_end", F.sum("_pn").over(w_run))
-         .withColumn("_first", F.row_number().over(Window.partitionBy(*g).orderBy("value")) == 1))
-    start = F.col("_end") - F.col("_pn")
-    k_lo, k_hi = F.floor((F.col("_cnt") - 1) / 2), F.floor(F.col("_cnt") / 2)
-    hit_lo = (start <= k_lo) & (k_lo < F.col("_end"))
-    hit_hi = (start <= k_hi) & (k_hi < F.col("_end"))
-    # Keep the middle row(s), and one row of every group so a column with no values is listed.
-    return (x.where(hit_lo | hit_hi | F.col("_first"))
-            .groupBy(*g)
-            .agg(*[F.max(c).alias(c) for c in ("row_count", "_cnt", "mean", "min", "max", "_m2")],
-                 ((F.max(F.when(hit_lo, F.col("value"))) + F.max(F.when(hit_hi, F.col("value")))) / 2)
-                 .alias("median")))
-
-
-def _stats_by_selection(counts: DataFrame, g: list[str], **median_opts) -> DataFrame:
-    """The same columns when a group can exceed one task: aggregates of the written counts,
-    the squared deviations against the mean in a second pass, and the median by narrowing
-    rounds (``median.median_of_counts``)."""
-    present_n = F.when(F.col("value").isNotNull(), F.col("n"))
-    moments = counts.groupBy(*g).agg(
-        F.sum("n").alias("row_count"), F.sum(present_n).alias("_cnt"),
-        F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum(present_n)).alias("mean"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-
-    def on(a: str, b: str):
-        return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in g]
-
-    c, m = counts.alias("c"), moments.select(*g, "mean").alias("m")
-    m2 = (c.join(m, on("c", "m"))
-          .groupBy(*[F.col(f"c.{k}").alias(k) for k in g])
-          .agg(F.sum(F.col("c.n") * F.pow(F.col("c.value") - F.col("m.mean"), 2)).alias("_m2")))
-    med = median_of_counts(counts.where(F.col("value").isNotNull()), g, materialized=True, **median_opts)
-    a, b, d = moments.alias("a"), m2.alias("b"), med.alias("d")
-    return (a.join(b, on("a", "b"), "left").join(d, on("a", "d"), "left")
-            .select("a.*", "b._m2", "d.median"))
+    stats = wide.select(*ks, F.inline(rows))
+    if median != "approximate":
+        args = [F.lit(len(cols))]
+        for i, c in enumerate(cols):
+            args += [F.lit(pos[c]), F.col(f"_x{i}")]
+        stacked = values.select(*ks, F.stack(*args).alias("_p", "value"))
+        med = exact_median(stacked, [*ks, "_p"], **median_opts).select(*[F.col(k).alias(f"m{k}") for k in ks], "_p", "median")
+        on = (F.col("position") == F.col("_p"))
+        for k in ks:
+            on = on & F.col(k).eqNullSafe(F.col(f"m{k}"))
+        stats = stats.join(med, on, "left")
+    return stats.select(*[F.col(k).alias(keys[i]) for i, k in enumerate(ks)], "position", "column_name", "row_count",
+                        "mean", "median", "min", "max", "std", "missing")
 
 
 def _with_keys(df: DataFrame, keys, ddl: str) -> str:
@@ -176,26 +93,38 @@ def _with_keys(df: DataFrame, keys, ddl: str) -> str:
     return ", ".join(parts) + ", " + ddl
 
 
-def _long_text(df: DataFrame, cols: list[str], keys) -> DataFrame:
-    pos = S.positions(df)
-    cells = F.array(*[F.struct(F.lit(pos[c]).alias("position"), F.lit(c).alias("column_name"),
-                               qcol(c).cast("string").alias("value")) for c in cols])
-    return df.select(*[qcol(k) for k in keys], F.inline(cells))
-
-
 def value_counts(df: DataFrame, columns=None, keys=(), include_missing: bool = False) -> DataFrame:
     """(keys..., position, column_name, value, n): one hash shuffle on (column, value)."""
     keys = list(keys)
     cols = list(columns) if columns is not None else S.text_columns(df, exclude=keys)
-    vc = (_long_text(df, cols, keys)
-          .groupBy(*keys, "position", "column_name", "value")
-          .agg(F.count(F.lit(1)).alias("n")))
-    return vc if include_missing else vc.where(F.col("value").isNotNull())
-
-
-def top_value(value: Column, n: Column) -> Column:
-    """Aggregate: struct(neg_n, value) of the most frequent non-null value, ties to the smallest."""
-    return F.min(F.when(value.isNotNull(), F.struct((-n).alias("neg_n"), value.alias("value"))))
+    pos = S.positions(df)
+    ks = [f"_k{i}" for i in range(len(keys))]
+    cells = F.array(*[F.struct(F.lit(pos[c]).alias("position"), F.lit(c).alias("column_name"),
+                               qcol(c).cast("string").alias("value")) for c in cols])
+    vc = (df.select(*[qcol(k).alias(ks[i]) for i, k in enumerate(keys)], F.inline(cells))
+          .groupBy(*ks, "position", "column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+    vc = vc if include_missing else vc.where(F.col("value").isNotNull())
+    return vc.select(*[F.col(k).alias(keys[i]) for i, k in enumerate(ks)], "position", "column_name", "value", "n")
+
+
+def top_values(counts: DataFrame, g, *extra: Column) -> DataFrame:
+    """(g..., top, top_n, extra...) from ``counts`` = (g..., value, n): the most frequent non-null
+    value, ties to the smallest, and its count (0 when there is none). A hash aggregate finds the top count; the
+    values that reach it are few rows, of which a second aggregate takes the least. ``counts`` is
+    read twice: pass a written table, or one whose exchange both reads share."""
+    keys = [qcol(k) for k in g]
+    n = F.when(F.col("value").isNotNull(), F.col("n"))
+    best = counts.groupBy(*keys).agg(F.coalesce(F.max(n), F.lit(0)).alias("top_n"), *extra)
+    b = best.select(*[qcol(k).alias(f"_b{i}") for i, k in enumerate(g)], F.col("top_n").alias("_bn"))
+    on = F.col("n") == F.col("_bn")
+    for i, k in enumerate(g):
+        on = on & qcol(k).eqNullSafe(F.col(f"_b{i}"))
+    reach = counts.where(F.col("value").isNotNull()).join(b, on).select(*keys, "value")
+    least = reach.groupBy(*[qcol(k).alias(f"_t{i}") for i, k in enumerate(g)]).agg(F.min("value").alias("top"))
+    on = F.lit(True)
+    for i, k in enumerate(g):
+        on = on & qcol(k).eqNullSafe(F.col(f"_t{i}"))
+    return best.join(least, on, "left").drop(*[f"_t{i}" for i in range(len(g))])
 
 
 def profile_categorical(df: DataFrame, columns=None, keys=()) -> DataFrame:
@@ -205,21 +134,24 @@ def profile_categorical(df: DataFrame, columns=None, keys=()) -> DataFrame:
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], _with_keys(df, keys, CATEGORICAL_SCHEMA))
-    vc = value_counts(df, cols, keys, include_missing=True)
-    prof = (vc.groupBy(*keys, "position", "column_name")
-            .agg(F.count("value").alias("unique_values"),
-                 top_value(F.col("value"), F.col("n")).alias("_top"),
-                 F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"))
-            .select(*keys, "position", "column_name", "unique_values",
-                    F.col("_top.value").alias("most_common"),
-                    F.coalesce(-F.col("_top.neg_n"), F.lit(0)).alias("most_common_count"),
-                    "missing"))
+    pos = S.positions(df)
+    # Keys get working names, so that none of them clashes with a column of the result.
+    ks = [f"_k{i}" for i in range(len(keys))]
+    named = df.select(*[qcol(k).alias(ks[i]) for i, k in enumerate(keys)], *[qcol(c).cast("string").alias(f"_c{i}") for i, c in enumerate(cols)])
+    args = [F.lit(len(cols))]
+    for i, c in enumerate(cols):
+        args += [F.lit(pos[c]), F.col(f"_c{i}")]
+    vc = named.select(*ks, F.stack(*args).alias("position", "value")).groupBy(*ks, "position", "value").agg(F.count(F.lit(1)).alias("n"))
+    missing = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing")
+    prof = top_values(_ckpt(vc), [*ks, "position"], F.count("value").alias("unique_values"), missing)
+    names = F.create_map(*[x for c in cols for x in (F.lit(pos[c]), F.lit(c))])
+    prof = prof.select(*[F.col(k).alias(keys[i]) for i, k in enumerate(ks)], "position", names[F.col("position")].alias("column_name"),
+                       "unique_values", F.col("top").alias("most_common"), F.col("top_n").alias("most_common_count"), "missing")
     if keys:
         return prof
     # An empty table still lists every text column (0 distinct, no most common value).
-    pos = S.positions(df)
-    names = spark.createDataFrame([(pos[c], c) for c in cols], "position int, column_name string")
-    return (F.broadcast(names).join(prof, ["position", "column_name"], "left")
+    listed = spark.createDataFrame([(pos[c], c) for c in cols], "position int, column_name string")
+    return (listed.join(prof, ["position", "column_name"], "left")
             .select("position", "column_name",
                     F.coalesce("unique_values", F.lit(0)).cast("bigint").alias("unique_values"),
                     "most_common",

@@ -72,7 +72,7 @@ def test_long_form_numeric_paths_agree(spark):
     key = ("dataset_id", "position")
     one = {tuple(r[k] for k in key): r for r in CL.profile_cells(cells, materialize=False)[1].collect()}
     sel = {tuple(r[k] for k in key): r for r in
-           CL.profile_cells(cells, materialize=False, max_group_values=1, buckets=4)[1].collect()}
+           CL.profile_cells(cells, materialize=False, finish_rows=1, buckets=4)[1].collect()}
     assert one.keys() == sel.keys() and one
     for k, r in one.items():
         for c in ("row_count", "mean", "median", "min", "max", "std", "missing"):

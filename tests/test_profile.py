@@ -45,7 +45,7 @@ def test_exact_median_narrowing_path(spark, limit):
     groups = np.repeat([0, 1, 2], [1500, 1500, 1500])
     pdf = pd.DataFrame({"g": groups, "value": vals.astype(float)})
     df = spark.createDataFrame(pdf)
-    got = {r["g"]: r["median"] for r in exact_median(df, ["g"], max_group_values=limit, buckets=16).collect()}
+    got = {r["g"]: r["median"] for r in exact_median(df, ["g"], finish_rows=limit, buckets=16).collect()}
     for g, sub in pdf.groupby("g"):
         assert got[g] == pytest.approx(float(np.median(sub["value"])))
 
@@ -55,7 +55,7 @@ def test_grouped_profile_null_key_both_median_paths(spark, limit):
     """A NULL group key is a group of its own in the one-pass path and in the narrowing rounds."""
     rows = [(k, float(v)) for k in ("a", None) for v in range(1, 8)] + [(None, None), ("a", 100.0)]
     df = spark.createDataFrame(rows, "k string, x double")
-    got = {r["k"]: r for r in P.profile_numeric(df, ["x"], keys=["k"], max_group_values=limit).collect()}
+    got = {r["k"]: r for r in P.profile_numeric(df, ["x"], keys=["k"], finish_rows=limit, buckets=4).collect()}
     assert got["a"]["median"] == 4.5 and got["a"]["row_count"] == 8 and got["a"]["missing"] == 0
     assert got[None]["median"] == 4.0 and got[None]["row_count"] == 8 and got[None]["missing"] == 1
     assert got[None]["std"] == pytest.approx(pd.Series(range(1, 8)).std())

@@ -50,7 +50,7 @@ def test_value_counts_plus_missing_is_rows(spark, data):
 def test_exact_median_any_limit(spark, data, limit):
     pdf = pd.DataFrame(data, columns=["g", "value"])
     df = spark.createDataFrame(pdf)
-    got = {r["g"]: r["median"] for r in exact_median(df, ["g"], max_group_values=limit, buckets=8).collect()}
+    got = {r["g"]: r["median"] for r in exact_median(df, ["g"], finish_rows=limit, buckets=8).collect()}
     want = {g: float(np.median(s["value"])) for g, s in pdf.groupby("g")}
     assert got.keys() == want.keys()
     for g in want:
