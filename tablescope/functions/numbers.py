@@ -32,6 +32,15 @@ def is_integer_text(c: Column) -> Column:
     return c.rlike(INTEGER_PATTERN)
 
 
+def integer_range(c: Column) -> Column:
+    """Of integer text: 0 within signed 64 bits, 1 only within unsigned 64 bits, 2 beyond both."""
+    v = F.trim(c)
+    wide = v.try_cast("decimal(38,0)")
+    return (F.when(v.try_cast("bigint").isNotNull(), F.lit(0))
+            .when(wide.isNotNull() & (wide >= 0) & (wide <= F.lit("18446744073709551615").cast("decimal(38,0)")), F.lit(1))
+            .otherwise(F.lit(2)))
+
+
 def text_to_double(c: Column) -> Column:
     """Guarded cast: only grammar-valid text reaches the cast."""
     return F.when(is_number_text(c), c.try_cast("double"))
@@ -41,6 +50,11 @@ def text_to_long(c: Column) -> Column:
     return F.when(is_integer_text(c), c.try_cast("bigint"))
 
 
+def text_to_unsigned(c: Column) -> Column:
+    """Whole numbers beyond signed but within unsigned 64 bits."""
+    return F.when(is_integer_text(c), F.trim(c).try_cast("decimal(20,0)"))
+
+
 def blank_is_missing(c: Column) -> Column:
     """'' counts as a missing cell, not as a failed conversion."""
     return F.when(c != "", c)

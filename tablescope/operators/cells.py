@@ -5,18 +5,23 @@ scan emits, or any table stacked the same way. The first row of a dataset is its
 Every step is keyed by ``dataset_id`` (and ``position``), so a thousand workbooks are one job
 graph and no decision goes through the driver:
 
-* header names: blank → ``Unnamed: i``, repeats → ``name.1`` (window per dataset and name,
-  bounded by the header width);
-* dedup (A1/A2): a row's non-missing cells, sorted by position, form its signature;
-  ``groupBy(dataset_id, signature)`` keeps one row per distinct signature;
-* empty columns (P4) are those with no present value after dedup;
+* columns: one aggregate by (dataset, position) gives the header name, how many cells are present and how a
+  reader would type them; blank names → ``Unnamed: i``, repeats → ``name.1`` (window per dataset
+  and name, bounded by the header width);
+* dedup (A1/A2): a row is hashed over its typed cells (two 64-bit hashes combined by xor, so a row
+  needs no list buffer), and rows of one dataset with equal hashes are copies. Typing comes
+  first, as in a wide table: "12", 12 and "012" in a number column are one value, commas
+  stay text at this point. Only the numbers of the rows to drop are joined back;
+* empty columns (P4) are those with no present value;
 * types: a column is numeric when every present cell is a number or number text after
   comma → dot (read-time inference and C2 in one test), boolean / date when every cell is,
-  text otherwise (commas → dots, C1);
+  text otherwise (commas → dots, C1); whole numbers beyond 64 bits keep a column text;
 * fills (A17/A18) are not materialised: a mean fill leaves mean/min/max unchanged, adds the
   mean ``gaps`` times to the median's value counts and keeps the sum of squared deviations;
   a mode fill adds ``gaps`` to the mode's count. The profile is the profile of the cleaned
-  table, as the reference profiles cleaned data.
+  table, as the reference profiles cleaned data. ``cleaned_cells`` gives the cleaned cells themselves.
+
+Every dataset with a header is in the results, also one without rows or with empty columns only.
 """
 
 from __future__ import annotations
@@ -24,12 +29,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import NUMBER_PATTERN, markers_to_null
+from ..functions.numbers import INTEGER_PATTERN, NUMBER_PATTERN, integer_range, markers_to_null
 from ..session import checkpoint as _ckpt
 from . import schema as S
 from .median import exact_median
 from .profile import top_values
 
+#: Texts that a reader takes for booleans when a whole column has no others.
+BOOLEAN_TEXTS = ("True", "TRUE", "true", "False", "FALSE", "false")
+_BROADCAST_BYTES = 32 << 20
+
 
 def _tag_header(cells: DataFrame) -> DataFrame:
     """Cells with ``is_header``: taken from the source when it tags header cells (the workbook
@@ -41,101 +50,141 @@ def _tag_header(cells: DataFrame) -> DataFrame:
     return cells.join(first, "dataset_id").withColumn("is_header", F.col("row_no") == F.col("_hdr")).drop("_hdr")
 
 
-def assemble_rows(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(header cells, body rows). Header cells come by a filter of the input; body rows by one
-    ``groupBy(dataset_id, row_no)``: ``sig`` is the row's present cells sorted by position,
-    ``blank_pos`` the positions whose cells were missing (so a column seen only as missing
-    cells still exists)."""
-    c = _tag_header(cells).withColumn("value", markers_to_null(F.col("value")))
-    header = c.where(F.col("is_header")).select("dataset_id", "position", F.col("value").alias("raw_name"))
-    present = F.when(F.col("value").isNotNull(), F.struct("position", "kind", "value"))
-    rows = c.where(~F.col("is_header")).groupBy("dataset_id", "row_no").agg(
-        F.sort_array(F.collect_list(present)).alias("sig"),
-        F.sort_array(F.collect_set(F.when(F.col("value").isNull(), F.col("position")))).alias("blank_pos"))
-    return header, rows
-
-
-def _names(header: DataFrame, present: DataFrame, uniq: DataFrame) -> DataFrame:
-    """(dataset_id, position, column_name) for every position seen in the header or the body.
-
-    ``present``: the (dataset_id, position) groups of present cells, an aggregate the caller
-    computes anyway (so its exchange is reused, not a second pass over every cell); positions
-    seen only as missing cells come from the narrow ``blank_pos`` column."""
-    positions = (header.select("dataset_id", "position")
-                 .unionByName(present.select("dataset_id", "position"))
-                 .unionByName(uniq.select("dataset_id", F.explode("blank_pos").alias("position")))
-                 .groupBy("dataset_id", "position").agg(F.lit(1).alias("_x")).drop("_x"))
-    named = (positions.join(header.where(F.col("raw_name").isNotNull()), ["dataset_id", "position"], "left")
-             .withColumn("base", F.coalesce(F.nullif(F.col("raw_name"), F.lit("")),
-                                            F.concat(F.lit("Unnamed: "), (F.col("position") - 1).cast("string")))))
-    k = F.row_number().over(Window.partitionBy("dataset_id", "base").orderBy("position")) - 1
-    return named.select("dataset_id", "position",
-                        F.when(k == 0, F.col("base")).otherwise(F.concat(F.col("base"), F.lit("."), k.cast("string")))
-                        .alias("column_name"))
-
-
-def dedup_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(distinct rows, distinct cells, per-dataset row counts) from assembled body rows.
-
-    Missing equals missing, as in a full-row distinct; a group of copies collapses map-side.
-    Everything downstream reads the distinct rows, so they are written once to the reliable
-    checkpoint folder instead of re-running the two shuffles.
-    """
-    uniq = _ckpt(rows.groupBy("dataset_id", "sig").agg(
-        F.min("row_no").alias("row_no"), F.count(F.lit(1)).alias("copies"),
-        # A set of (sorted) patterns: copies share one, so a group of copies holding a third of
-        # all rows still collapses map-side to one entry, never a list of every copy.
-        F.array_distinct(F.flatten(F.collect_set("blank_pos"))).alias("blank_pos")))
-    counts = uniq.groupBy("dataset_id").agg(F.sum("copies").cast("bigint").alias("rows_in"),
-                                            F.count(F.lit(1)).alias("rows_out"))
-    cells = uniq.select("dataset_id", "row_no", F.inline("sig"))
-    return uniq, cells, counts
-
+def _prepare(cells: DataFrame) -> DataFrame:
+    """Cells with header tags; marker texts and error cells are missing."""
+    return _tag_header(cells).withColumn("value", F.when(F.col("kind") != "e", markers_to_null(F.col("value"))))
 
-def profile_cells(cells: DataFrame, materialize: bool = True, **median_opts):
-    """(datasets, numeric, categorical, clean_summary) for every dataset in ``cells``.
 
-    The four results have one row per dataset or per dataset column; with ``materialize``
-    they are checkpointed, so texts rendered from them plan from small leaves.
-    """
-    header, rows = assemble_rows(cells)
-    uniq, dcells, counts = dedup_rows(rows)
+def _columns(c: DataFrame) -> DataFrame:
+    """(dataset_id, position, column_name, seen, and how a reader types the column) from one aggregate."""
+    v = F.when(~F.col("is_header"), F.col("value"))
+    number = F.col("kind").isin("n", "s") & v.rlike(NUMBER_PATTERN)
+    facts = c.groupBy("dataset_id", "position").agg(
+        F.max(F.when(F.col("is_header"), F.col("value"))).alias("raw_name"), F.count(v).alias("seen"),
+        F.bool_and(number).alias("r_num"), F.bool_and(v.rlike(INTEGER_PATTERN)).alias("r_int"),
+        F.max(F.when(v.rlike(INTEGER_PATTERN), integer_range(v))).alias("r_range"))
+    named = facts.withColumn("base", F.coalesce(F.nullif(F.col("raw_name"), F.lit("")),
+                                                F.concat(F.lit("Unnamed: "), (F.col("position") - 1).cast("string"))))
+    k = F.row_number().over(Window.partitionBy("dataset_id", "base").orderBy("position")) - 1
+    return _ckpt(named.select(
+        "dataset_id", "position", "seen", "r_num", "r_int", "r_range",
+        F.when(k == 0, F.col("base")).otherwise(F.concat(F.col("base"), F.lit("."), k.cast("string"))).alias("column_name")))
+
+
+def _rows(c: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((dataset_id, rows_in, rows_out) for every dataset, (dataset_id, row_no) of the rows to drop)."""
+    body = c.where(~F.col("is_header"))
+    total = body.groupBy("dataset_id").agg(F.count_distinct("row_no").alias("n_rows"))
+    how = columns.select("dataset_id", "position", "seen", "r_num", "r_int", "r_range").join(total, "dataset_id").select(
+        "dataset_id", "position",
+        F.when(~F.coalesce("r_num", F.lit(False)) | (F.coalesce("r_range", F.lit(0)) == 2), F.lit("text"))
+        .when(F.col("r_int") & (F.col("seen") == F.col("n_rows")), F.lit("whole")).otherwise(F.lit("double")).alias("how"))
+    how = _ckpt(how)
+    if how.count() * 96 <= _BROADCAST_BYTES:  # header-sized; beyond the bound it is shuffled
+        how = F.broadcast(how)
+    v = F.col("value")
+    typed = (F.when(F.col("how") == "whole", F.coalesce(F.trim(v).try_cast("decimal(20,0)").cast("string"), v))
+             .when(F.col("how") == "double", F.coalesce(F.trim(v).try_cast("double").cast("string"), v)).otherwise(v))
+    h = lambda seed: F.bit_xor(F.when(v.isNotNull(), F.xxhash64(F.lit(seed), "position", "typed")))
+    rows = _ckpt(body.join(how, ["dataset_id", "position"]).withColumn("typed", typed).groupBy("dataset_id", "row_no").agg(
+        F.coalesce(h(1), F.lit(0)).alias("h1"), F.coalesce(h(2), F.lit(0)).alias("h2"), F.count(v).alias("n")))
+    groups = _ckpt(rows.groupBy("dataset_id", "h1", "h2", "n").agg(F.min("row_no").alias("stays"), F.count(F.lit(1)).alias("copies")))
+    copies = groups.where("copies > 1").select("dataset_id", "h1", "h2", "n", "stays")
+    drop = _ckpt(rows.join(copies, ["dataset_id", "h1", "h2", "n"]).where("row_no <> stays").select("dataset_id", "row_no"))
+    counts = groups.groupBy("dataset_id").agg(F.sum("copies").cast("bigint").alias("rows_in"), F.count(F.lit(1)).alias("rows_out"))
+    every = columns.select("dataset_id").distinct().join(counts, "dataset_id", "left")
+    return _ckpt(every.select("dataset_id", F.coalesce("rows_in", F.lit(0)).cast("bigint").alias("rows_in"),
+                              F.coalesce("rows_out", F.lit(0)).cast("bigint").alias("rows_out"))), drop
+
+
+def _summary(columns: DataFrame, counts: DataFrame) -> DataFrame:
+    empty = columns.groupBy("dataset_id").agg(F.count_if(F.col("seen") == 0).alias("empty_columns_dropped"))
+    return counts.join(empty, "dataset_id").select(
+        "dataset_id", "rows_in", "rows_out", (F.col("rows_in") - F.col("rows_out")).alias("duplicates_removed"), "empty_columns_dropped")
+
+
+def cleaning_summary(cells: DataFrame) -> DataFrame:
+    """(dataset_id, rows_in, rows_out, duplicates_removed, empty_columns_dropped), without any statistics."""
+    c = _prepare(cells)
+    columns = _columns(c)
+    counts, _ = _rows(c, columns)
+    return _summary(columns, counts)
+
+
+def _distinct_cells(c: DataFrame, drop: DataFrame) -> DataFrame:
+    body = c.where(~F.col("is_header") & F.col("value").isNotNull()).select("dataset_id", "row_no", "position", "kind", "value")
+    if drop.count() * 64 <= _BROADCAST_BYTES:
+        drop = F.broadcast(drop)
+    return _ckpt(body.join(drop, ["dataset_id", "row_no"], "left_anti"))
+
+
+def _classes(dcells: DataFrame, columns: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row per (dataset, column): its class after cleaning and its gaps. Header-sized, written once."""
     text_value = F.translate(F.col("value"), ",", ".")
-    numberish = text_value.rlike(NUMBER_PATTERN)
+    whole = text_value.rlike(INTEGER_PATTERN)
     kinds = (dcells.groupBy("dataset_id", "position")
              .agg(F.count(F.lit(1)).alias("present"),
-                  F.bool_and(F.col("kind").isin("n", "s", "e") & numberish).alias("is_num"),
-                  F.bool_and(F.col("kind") == "b").alias("is_bool"),
+                  F.bool_and(F.col("kind").isin("n", "s") & text_value.rlike(NUMBER_PATTERN)).alias("is_num"),
+                  F.max(F.when(whole, integer_range(text_value))).alias("range"),
+                  F.bool_and((F.col("kind") == "b") | F.col("value").isin(*BOOLEAN_TEXTS)).alias("is_bool"),
                   F.bool_and(F.col("kind") == "d").alias("is_date")))
-    names = _names(header, kinds, uniq)
-    cols = (names.join(kinds, ["dataset_id", "position"], "left")
+    cols = (columns.select("dataset_id", "position", "column_name").join(kinds, ["dataset_id", "position"], "left")
             .join(counts, "dataset_id")
             .withColumn("cls", F.when(F.col("present").isNull(), F.lit("empty"))
-                        .when(F.col("is_num"), F.lit("numeric")).when(F.col("is_bool"), F.lit("bool"))
+                        .when(F.col("is_num") & (F.coalesce("range", F.lit(0)) < 2), F.lit("numeric"))
+                        .when(F.col("is_bool"), F.lit("bool"))
                         .when(F.col("is_date"), F.lit("date")).otherwise(F.lit("text")))
             .withColumn("gaps", F.col("rows_out") - F.coalesce(F.col("present"), F.lit(0))))
-    # One row per (dataset, column): header-sized. Materialised once so every branch below
-    # starts from a small leaf instead of re-planning the joins above.
     types = S.detect_types(cols.where(F.col("cls") != "empty").select("dataset_id", "column_name"))
-    cols = _ckpt(cols.join(types, "dataset_id", "left"))
-    types = cols.select("dataset_id", "detected_type").where(F.col("detected_type").isNotNull()).distinct()
+    return _ckpt(cols.join(types, "dataset_id", "left").withColumn("detected_type", F.coalesce("detected_type", F.lit("unknown"))))
+
+
+def cleaned_cells(cells: DataFrame) -> DataFrame:
+    """The cleaned cells of many datasets: (dataset_id, row_no, position, column_name, cls, value), copies and empty
+    columns gone, commas as dots, gaps filled with the column's mean or most frequent value. Boolean
+    and date gaps stay missing (no row)."""
+    c = _prepare(cells)
+    columns = _columns(c)
+    counts, drop = _rows(c, columns)
+    dcells = _distinct_cells(c, drop)
+    kept = _classes(dcells, columns, counts).where(F.col("cls") != "empty").select("dataset_id", "position", "column_name", "cls", "gaps")
+    key = ["dataset_id", "position"]
+    v = F.col("value")
+    clean = dcells.join(kept, key).withColumn("value", F.when(F.col("cls").isin("numeric", "text"), F.translate(v, ",", ".")).otherwise(v))
+    gaps = kept.where((F.col("gaps") > 0) & F.col("cls").isin("numeric", "text"))
+    with_gaps = clean.join(gaps.select(*key), key, "left_semi")
+    means = with_gaps.where("cls = 'numeric'").groupBy(*key).agg(F.avg(F.trim(v).try_cast("double")).cast("string").alias("fill"))
+    modes = top_values(_ckpt(with_gaps.where("cls = 'text'").groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n"))), key).select(*key, F.col("top").alias("fill"))
+    rows = c.where(~F.col("is_header")).select("dataset_id", "row_no").distinct().join(drop, ["dataset_id", "row_no"], "left_anti")
+    holes = (rows.join(gaps.drop("gaps"), "dataset_id").join(dcells.select("dataset_id", "row_no", "position"), ["dataset_id", "row_no", "position"], "left_anti")
+             .join(means.unionByName(modes), key).select("dataset_id", "row_no", "position", "column_name", "cls", F.col("fill").alias("value")))
+    return clean.select("dataset_id", "row_no", "position", "column_name", "cls", "value").unionByName(holes)
+
+
+def profile_cells(cells: DataFrame, materialize: bool = True, **median_opts):
+    """(datasets, numeric, categorical, clean_summary) for every dataset in ``cells``.
+
+    The four results have one row per dataset or per dataset column; with ``materialize``
+    they are checkpointed, so texts rendered from them plan from small leaves.
+    """
+    c = _prepare(cells)
+    columns = _columns(c)
+    counts, drop = _rows(c, columns)
+    dcells = _distinct_cells(c, drop)
+    text_value = F.translate(F.col("value"), ",", ".")
+    cols = _classes(dcells, columns, counts)
     kept = cols.where(F.col("cls") != "empty")
-    ds = (kept.groupBy("dataset_id")
-          .agg(F.sort_array(F.collect_list(F.struct("position", "column_name"))).alias("_c"))
-          .join(kept.select("dataset_id", "rows_out", "detected_type").distinct(), "dataset_id")
+    ds = (cols.groupBy("dataset_id", "rows_out", "detected_type")
+          .agg(F.sort_array(F.collect_list(F.when(F.col("cls") != "empty", F.struct("position", "column_name")))).alias("_c"))
           .select("dataset_id", F.col("rows_out").alias("row_count"),
                   F.size("_c").cast("int").alias("column_count"),
                   F.transform("_c", lambda s: s["column_name"]).alias("columns"), "detected_type"))
-    summary = (cols.groupBy("dataset_id", "rows_in", "rows_out")
-               .agg(F.count_if(F.col("cls") == "empty").alias("empty_columns_dropped"))
-               .select("dataset_id", "rows_in", "rows_out",
-                       (F.col("rows_in") - F.col("rows_out")).alias("duplicates_removed"),
-                       "empty_columns_dropped"))
+    summary = _summary(columns, counts)
 
     # Numeric columns of the profile: identifiers are left out of student datasets.
     num_cols = (kept.where(F.col("cls") == "numeric")
                 .where(~((F.col("detected_type") == "student") & S.is_identifier_name(F.col("column_name")))))
-    x = text_value.try_cast("double")
+    x = F.trim(text_value).try_cast("double")
     nvals = dcells.join(num_cols.select("dataset_id", "position"), ["dataset_id", "position"], "left_semi") \
         .select("dataset_id", "position", x.alias("value"))
     moments = nvals.groupBy("dataset_id", "position").agg(
@@ -172,7 +221,8 @@ def profile_cells(cells: DataFrame, materialize: bool = True, **median_opts):
 
 def stack_table(df: DataFrame, dataset_col: str, row_col: str, data_cols=None) -> DataFrame:
     """A wide table as cells: one dataset per value of ``dataset_col``, a header row 0, and one
-    cell per present value (numbers as kind 'n', text as 's'). Useful to feed ``profile_cells``
+    cell per present value (numbers as kind 'n', text as 's'); the first column's cell is always
+    there, so that a row without any value is still a row. Useful to feed ``profile_cells``
     from tables instead of workbooks."""
     from ..functions.names import qcol
     from pyspark.sql import types as T
@@ -186,7 +236,7 @@ def stack_table(df: DataFrame, dataset_col: str, row_col: str, data_cols=None) -
     body = df.select(qcol(dataset_col).cast("string").alias("dataset_id"),
                      (qcol(row_col).cast("bigint") + 1).alias("row_no"), F.inline(cells),
                      F.lit(False).alias("is_header")) \
-        .where(F.col("value").isNotNull())
+        .where(F.col("value").isNotNull() | (F.col("position") == 1))
     datasets = df.groupBy(qcol(dataset_col).cast("string").alias("dataset_id")).agg(F.lit(1).alias("_x"))
     head = datasets.select("dataset_id", F.lit(0).cast("bigint").alias("row_no"), F.inline(F.array(
         *[F.struct(F.lit(i + 1).alias("position"), F.lit(c).alias("value"), F.lit("s").alias("kind"))

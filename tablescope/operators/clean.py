@@ -9,25 +9,25 @@ Two data passes decide the output schema, then one lazy plan produces the cleane
   most frequent value with ties to the smallest (A18), from one (column, value) count.
 
 Fill values are one scalar per column (bounded by the header width), applied with
-``coalesce`` — no join, no cross join. The deduplicated frame is persisted between the
-passes so the dedup shuffle runs once (lost blocks are recomputed from lineage).
+``coalesce`` — no join, no cross join. The deduplicated rows are written once to the
+checkpoint folder between the passes, so the dedup shuffle runs once and a lost executor costs nothing.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import qcol
-from ..functions.numbers import (blank_is_missing, comma_to_dot, is_integer_text, is_number_text,
-                                 nan_is_missing, text_to_double, text_to_long)
+from ..functions.numbers import (blank_is_missing, comma_to_dot, integer_range, is_integer_text, is_number_text,
+                                 nan_is_missing, text_to_double, text_to_long, text_to_unsigned)
 from . import schema as S
 from .profile import top_values, value_counts
 from ..session import checkpoint as _ckpt
+from ..session import release as _release
 
 
 @dataclass
@@ -38,13 +38,14 @@ class CleanReport:
     empty_columns: list[str]
     converted: dict[str, str] = field(default_factory=dict)
     fill_values: dict[str, object] = field(default_factory=dict)
-    cached: DataFrame | None = field(default=None, repr=False)
+    written: DataFrame | None = field(default=None, repr=False)
 
     def release(self) -> None:
-        """Drop the persisted dedup result once the cleaned table has been written."""
-        if self.cached is not None:
-            self.cached.unpersist()
-            self.cached = None
+        """Delete the written dedup result once the cleaned table has been written or is not needed.
+        (It goes with the application otherwise.)"""
+        if self.written is not None:
+            _release(self.written)
+            self.written = None
 
     def to_df(self, spark, dataset_id: str | None = None) -> DataFrame:
         return spark.createDataFrame(
@@ -88,8 +89,9 @@ def _text_flags(c: str, i: int) -> list:
     """Per-row values of a text column's checks, computed once in a projection below the
     aggregate (the aggregate reads them several times)."""
     present = blank_is_missing(comma_to_dot(qcol(c)))
-    return [present.alias(f"_tp{i}"), is_number_text(present).alias(f"_tn{i}"),
-            is_integer_text(present).alias(f"_ti{i}")]
+    whole = is_integer_text(present)
+    return [present.alias(f"_tp{i}"), is_number_text(present).alias(f"_tn{i}"), whole.alias(f"_ti{i}"),
+            F.when(whole, integer_range(present)).alias(f"_tr{i}")]
 
 
 def _text_checks(i: int) -> list:
@@ -98,6 +100,7 @@ def _text_checks(i: int) -> list:
         F.bool_and(p.isNull() | n).alias(f"_num{i}"),
         F.bool_and(p.isNotNull() & k).alias(f"_int{i}"),
         F.count_if(p.isNull()).alias(f"_blank{i}"),
+        F.max(f"_tr{i}").alias(f"_range{i}"),
     ]
 
 
@@ -134,8 +137,9 @@ def conversion_plan(df: DataFrame, extra=(), source: DataFrame | None = None) ->
     targets, gaps = {}, {}
     for i, c in enumerate(df.columns):
         if c in texts:
-            if nonnull[c] > 0 and r[f"_num{i}"]:
-                targets[c] = "bigint" if r[f"_int{i}"] else "double"
+            # Whole numbers beyond 64 bits are refused: the column stays text and loses nothing.
+            if nonnull[c] > 0 and r[f"_num{i}"] and r[f"_range{i}"] != 2:
+                targets[c] = "double" if not r[f"_int{i}"] else "bigint" if r[f"_range{i}"] == 0 else "decimal(20,0)"
                 gaps[c] = r[f"_blank{i}"]
             else:
                 gaps[c] = rows - nonnull[c]
@@ -151,7 +155,8 @@ def coerce(df: DataFrame, targets: dict[str, str], rewrite_text: bool = True) ->
     for c in df.columns:
         if c in targets:
             v = blank_is_missing(comma_to_dot(qcol(c)))
-            out.append((text_to_long(v) if targets[c] == "bigint" else text_to_double(v)).alias(c))
+            to = {"bigint": text_to_long, "double": text_to_double}.get(targets[c], text_to_unsigned)
+            out.append(to(v).alias(c))
         elif c in texts and rewrite_text:
             out.append(comma_to_dot(qcol(c)).alias(c))
         else:
@@ -227,20 +232,33 @@ def fill_mode(df: DataFrame, columns=None, modes: dict | None = None) -> DataFra
                        else qcol(c) for c in df.columns])
 
 
-def clean(df: DataFrame, rewrite_text: bool = True, persist: bool = True) -> tuple[DataFrame, CleanReport]:
-    """The reference's clean step, Spark-first. Returns (cleaned lazy DataFrame, report).
+def _grouped(df: DataFrame) -> DataFrame:
+    return df.groupBy(*[qcol(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__copies"))
+
+
+def _plan(df: DataFrame, grouped: DataFrame) -> tuple[DataFrame, ConversionPlan, list[str]]:
+    deduped = grouped.select(*[qcol(c) for c in df.columns])
+    plan = conversion_plan(deduped, extra=[F.sum(grouped["__copies"]).alias("_rows_in")], source=grouped)
+    return deduped, plan, [c for c in deduped.columns if plan.nonnull[c] == 0]
+
+
+def cleaning_summary(df: DataFrame) -> CleanReport:
+    """What ``clean`` would remove and convert, from one pass: no fill values, nothing written."""
+    _, plan, empty = _plan(df, _grouped(df))
+    rows_in = plan.rows_in or 0
+    return CleanReport(rows_in, plan.rows, rows_in - plan.rows, empty,
+                       {c: t for c, t in plan.targets.items() if c not in empty})
+
+
+def clean(df: DataFrame, rewrite_text: bool = True) -> tuple[DataFrame, CleanReport]:
+    """The whole clean step. Returns (cleaned lazy DataFrame, report).
 
     The dedup is a grouped count over all columns, so the input row count is ``sum(copies)``
     of the same aggregate — exact even when stages are re-run after an executor loss.
     """
-    cols = list(df.columns)
-    grouped = df.groupBy(*[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("__copies"))
-    if persist:
-        grouped = grouped.persist(StorageLevel.MEMORY_AND_DISK)
-    deduped = grouped.select(*[qcol(c) for c in cols])
-    plan = conversion_plan(deduped, extra=[F.sum(grouped["__copies"]).alias("_rows_in")], source=grouped)
-    rows_in = plan.rows_in
-    empty = [c for c in deduped.columns if plan.nonnull[c] == 0]
+    grouped = _ckpt(_grouped(df))
+    deduped, plan, empty = _plan(df, grouped)
+    rows_in = plan.rows_in or 0
     kept = deduped.drop(*empty) if empty else deduped
     targets = {c: t for c, t in plan.targets.items() if c not in empty}
     coerced = coerce(kept, targets, rewrite_text)
@@ -249,6 +267,5 @@ def clean(df: DataFrame, rewrite_text: bool = True, persist: bool = True) -> tup
     values = fill_values(coerced, num_fill, text_fill)
     out = fill_mode(fill_mean(coerced, num_fill, values), text_fill, values)
     report = CleanReport(rows_in=rows_in, rows_out=plan.rows, duplicates_removed=rows_in - plan.rows,
-                         empty_columns=empty, converted=targets, fill_values=values,
-                         cached=grouped if persist else None)
+                         empty_columns=empty, converted=targets, fill_values=values, written=grouped)
     return out, report

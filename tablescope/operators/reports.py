@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 STUDENT_DIR = "student_reports"
 FINANCE_DIR = "finance_reports"
 ROOT_DIR = ""
-GENERATOR_NAME = "University AI Report Generator"
+GENERATOR_NAME = "Report Generator"
 LABEL_PASS = "✓ Pass"
 LABEL_ISSUES = "⚠ Issues detected"
 FILE_TS_FORMAT = "yyyyMMdd_HHmmss"
@@ -41,14 +41,16 @@ def report_kind(report_type: Column) -> Column:
             .otherwise(F.lit(ROOT_DIR)))
 
 
-def file_name(report_type: Column, ts: Column) -> Column:
-    """``{type}_{yyyyMMdd_HHmmss}.md``."""
-    return F.concat(report_type, F.lit("_"), F.date_format(ts, FILE_TS_FORMAT), F.lit(".md"))
+def file_name(report_type: Column, ts: Column, report_id: Column) -> Column:
+    """``{type}_{yyyyMMdd_HHmmss}_{report_id}.md``; the id keeps reports of one type and second apart
+    (characters beyond letters, digits, dot and dash become ``_``)."""
+    return F.concat(report_type, F.lit("_"), F.date_format(ts, FILE_TS_FORMAT), F.lit("_"),
+                    F.regexp_replace(report_id.cast("string"), r"[^A-Za-z0-9.-]", "_"), F.lit(".md"))
 
 
 def metadata_file_name(name: Column) -> Column:
     """``.md`` → ``_metadata.json``."""
-    return F.regexp_replace(name, r"\.md", "_metadata.json")
+    return F.regexp_replace(name, r"\.md$", "_metadata.json")
 
 
 def relative_path(kind: Column, name: Column) -> Column:
@@ -105,7 +107,7 @@ def report_documents(reports: DataFrame, ts, generator_name: str = GENERATOR_NAM
     if usage_cols and all(c in cols for c in usage_cols):
         usage = usage_struct(*[F.col(c) for c in usage_cols])
     kind = report_kind(F.col(type_col))
-    name = file_name(F.col(type_col), ts_col)
+    name = file_name(F.col(type_col), ts_col, F.col(id_col))
     return reports.select(
         id_col,
         kind.alias("report_kind"),
@@ -128,7 +130,7 @@ def metadata_json(source: Column, analysis: Column | None, validation: Column |
         "struct<prompt_tokens:bigint,output_tokens:bigint,total_tokens:bigint>")).alias("token_usage"))
     fields += [F.date_format(wall_clock(timestamp), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
                F.date_format(wall_clock(saved_at), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("saved_at")]
-    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false", "pretty": "true"})
 
 
 def list_reports(documents: DataFrame, report_type: str | None = None) -> DataFrame:
@@ -147,5 +149,7 @@ def list_reports(documents: DataFrame, report_type: str | None = None) -> DataFr
 
 
 def reports_produced(documents: DataFrame) -> DataFrame:
-    """Reports per folder (the path list itself is ``list_reports``)."""
-    return documents.groupBy("report_kind").agg(F.count(F.lit(1)).alias("n_reports"))
+    """The produced paths as sorted rows, each with how many reports its folder got. (Rows, not
+    one list per folder, which would grow with the folder.)"""
+    n = documents.groupBy("report_kind").agg(F.count(F.lit(1)).alias("n_reports"))
+    return documents.select("report_kind", "path").join(n, "report_kind").orderBy("report_kind", "path")

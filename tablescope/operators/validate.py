@@ -44,8 +44,9 @@ def has_placeholder(text: Column, phrases=PLACEHOLDER_PHRASES) -> Column:
 
 
 def claimed_total(text: Column) -> Column:
-    """C14: first ``mahasiswa = N`` claim as a number, NULL when absent."""
-    return F.nullif(F.regexp_extract(text, CLAIM_PATTERN, 1), F.lit("")).try_cast("bigint")
+    """C14: first ``mahasiswa = N`` claim as its digits (of any number, without leading zeros), NULL when absent."""
+    digits = F.nullif(F.regexp_extract(text, CLAIM_PATTERN, 1), F.lit(""))
+    return F.when(digits.isNotNull(), F.coalesce(F.nullif(F.ltrim(digits, F.lit("0")), F.lit("")), F.lit("0")))
 
 
 def claim_off(claim: Column, total: Column, tolerance: float = CLAIM_TOLERANCE) -> Column:

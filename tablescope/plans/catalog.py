@@ -81,42 +81,44 @@ def _sql_union(parts) -> str:
 
 def q_numeric_profile(spark: SparkSession, sf: str) -> DataFrame:
     out = []
-    for t in ("lineitem", "part"):
-        prof = P.profile_numeric(I.load(spark, sf, t))
+    for t, df in (("lineitem", I.run(spark, sf, I.LINEITEM_GAPS)), ("part", I.load(spark, sf, "part"))):
+        prof = P.profile_numeric(df)
         out.append(prof.select(F.lit(t).alias("dataset"), "position", "column_name", "row_count",
                                *[_r4(F.col(c)).alias(c) for c in ("mean", "median", "min", "max", "std")],
                                "missing"))
     return _union(out)
 
 
-def _o_numeric(t: str, c: str, group: str | None = None) -> str:
-    x = f"CAST({c} AS DOUBLE)"
+def _o_numeric(t: str, c: str, group: str | None = None, src: str | None = None) -> str:
+    x = f"CASE WHEN NOT isnan(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) END"
     g_sel = f"{group}, " if group else ""
     g_by = f" GROUP BY {group}" if group else ""
     ds = "" if group else f"'{t}' AS dataset, "
     return (f"SELECT {ds}{g_sel}{_pos(t, c)} AS position, '{c}' AS column_name, count(*) AS row_count, "
             f"round(avg({x}), 4) AS mean, round(median({x}), 4) AS median, round(min({x}), 4) AS \"min\", "
             f"round(max({x}), 4) AS \"max\", round(stddev_samp({x}), 4) AS std, "
-            f"count(*) - count({c}) AS missing FROM {t}{g_by}")
+            f"count(*) - count({x}) AS missing FROM {src or t}{g_by}")
 
 
-O_NUMERIC_PROFILE = _sql_union([_o_numeric(t, c) for t in ("lineitem", "part") for c in NUMERIC[t]])
+_O_GAPS = f"({I.duck(I.LINEITEM_GAPS)}) gaps"
+O_NUMERIC_PROFILE = _sql_union([_o_numeric("lineitem", c, src=_O_GAPS) for c in NUMERIC["lineitem"]]
+                               + [_o_numeric("part", c) for c in NUMERIC["part"]])
 
 
 def q_numeric_profile_grouped(spark: SparkSession, sf: str) -> DataFrame:
-    prof = P.profile_numeric(I.load(spark, sf, "lineitem"), keys=["l_returnflag"])
+    prof = P.profile_numeric(I.run(spark, sf, I.LINEITEM_GAPS), keys=["l_returnflag"])
     return prof.select("l_returnflag", "position", "column_name", "row_count",
                        *[_r4(F.col(c)).alias(c) for c in ("mean", "median", "min", "max", "std")], "missing")
 
 
-O_NUMERIC_PROFILE_GROUPED = _sql_union([_o_numeric("lineitem", c, "l_returnflag") for c in NUMERIC["lineitem"]])
+O_NUMERIC_PROFILE_GROUPED = _sql_union([_o_numeric("lineitem", c, "l_returnflag", _O_GAPS) for c in NUMERIC["lineitem"]])
 
 CATEGORICAL_TABLES = ("orders", "lineitem", "events", "part", "customer", "documents")
 
 
 def q_categorical_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return _union([P.profile_categorical(I.load(spark, sf, t)).select(F.lit(t).alias("dataset"), "*")
-                   for t in CATEGORICAL_TABLES])
+    tables = {t: I.load(spark, sf, t) for t in CATEGORICAL_TABLES} | {"lineitem": I.run(spark, sf, I.LINEITEM_GAPS)}
+    return _union([P.profile_categorical(df).select(F.lit(t).alias("dataset"), "*") for t, df in tables.items()])
 
 
 def _o_top(t: str, c: str, what: str) -> str:
@@ -127,7 +129,8 @@ def _o_top(t: str, c: str, what: str) -> str:
 
 
 def _o_categorical(t: str, c: str) -> str:
-    return (f"SELECT '{t}' AS dataset, {_pos(t, c)} AS position, '{c}' AS column_name, "
+    table, t = t, _O_GAPS if t == "lineitem" else t
+    return (f"SELECT '{table}' AS dataset, {_pos(table, c)} AS position, '{c}' AS column_name, "
             f"count(DISTINCT {c}) AS unique_values, {_o_top(t, c, 'value')} AS most_common, "
             f"{_o_top(t, c, 'count')} AS most_common_count, count(*) - count({c}) AS missing FROM {t}")
 
@@ -148,7 +151,7 @@ def q_missing_by_column(spark: SparkSession, sf: str) -> DataFrame:
     return P.missing_counts(I.run(spark, sf, I.ORDERS_MISSING))
 
 
-_OM_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+_OM_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 O_MISSING_BY_COLUMN = _sql_union([
     f"SELECT {i + 1} AS position, '{c}' AS column_name, count(*) - count({c}) AS missing "
     f"FROM ({I.duck(I.ORDERS_MISSING)}) om" for i, c in enumerate(_OM_COLS)])
@@ -216,7 +219,7 @@ def q_drop_empty_columns(spark: SparkSession, sf: str) -> DataFrame:
     return C.drop_empty_columns(I.run(spark, sf, I.ORDERS_WITH_EMPTY))
 
 
-O_DROP_EMPTY_COLUMNS = (f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority "
+O_DROP_EMPTY_COLUMNS = (f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority "
                         f"FROM ({I.duck(I.ORDERS_WITH_EMPTY)}) x")
 
 
@@ -227,7 +230,7 @@ def q_coerce_comma_decimals(spark: SparkSession, sf: str) -> DataFrame:
 O_COERCE_COMMA_DECIMALS = (
     f"SELECT o_orderkey, CAST(replace(price_text, ',', '.') AS DOUBLE) AS price_text, "
     f"CAST(trim(cust_text) AS BIGINT) AS cust_text, replace(mixed_text, ',', '.') AS mixed_text, "
-    f"CAST(nullif(key_text, '') AS DOUBLE) AS key_text, o_orderstatus "
+    f"CAST(nullif(key_text, '') AS DOUBLE) AS key_text, long_text, o_orderdate, o_orderstatus "
     f"FROM ({I.duck(I.ORDERS_AS_TEXT)}) x")
 
 
@@ -238,7 +241,7 @@ def q_fill_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 O_FILL_MEAN = (
     f"SELECT o_orderkey, o_custkey, o_orderstatus, "
-    f"round(coalesce(o_totalprice, avg(o_totalprice) OVER ()), 4) AS o_totalprice, o_orderpriority "
+    f"round(coalesce(o_totalprice, avg(o_totalprice) OVER ()), 4) AS o_totalprice, o_orderdate, o_orderpriority "
     f"FROM ({I.duck(I.ORDERS_MISSING)}) om")
 
 
@@ -253,7 +256,7 @@ def _o_mode(src: str, c: str) -> str:
 
 O_FILL_MODE = (
     f"WITH om AS ({I.duck(I.ORDERS_MISSING)}) "
-    f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, "
+    f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, "
     f"coalesce(o_orderpriority, {_o_mode('om', 'o_orderpriority')}) AS o_orderpriority FROM om")
 
 
@@ -268,22 +271,21 @@ O_CLEAN_TABLE = (
     f"c AS (SELECT o_orderkey, o_custkey, replace(o_orderstatus, ',', '.') AS o_orderstatus, o_totalprice, "
     f"replace(o_orderpriority, ',', '.') AS o_orderpriority, "
     f"CAST(replace(price_text, ',', '.') AS DOUBLE) AS price_text, CAST(trim(cust_text) AS BIGINT) AS cust_text, "
-    f"replace(mixed_text, ',', '.') AS mixed_text FROM d) "
+    f"replace(mixed_text, ',', '.') AS mixed_text, long_text, o_orderdate FROM d) "
     f"SELECT o_orderkey, o_custkey, o_orderstatus, "
     f"round(coalesce(o_totalprice, (SELECT avg(o_totalprice) FROM c)), 4) AS o_totalprice, "
     f"coalesce(o_orderpriority, {_o_mode('c', 'o_orderpriority')}) AS o_orderpriority, "
     f"round(coalesce(price_text, (SELECT avg(price_text) FROM c)), 4) AS price_text, cust_text, "
-    f"coalesce(mixed_text, {_o_mode('c', 'mixed_text')}) AS mixed_text FROM c")
+    f"coalesce(mixed_text, {_o_mode('c', 'mixed_text')}) AS mixed_text, long_text, o_orderdate FROM c")
 
 
 def q_cleaning_summary(spark: SparkSession, sf: str) -> DataFrame:
-    _, report = C.clean(I.run(spark, sf, I.ORDERS_DIRTY))
-    report.release()  # the summary is plain numbers; the cached rows are not read again
+    report = C.cleaning_summary(I.run(spark, sf, I.ORDERS_DIRTY))
     return report.to_df(spark).select("rows_in", "rows_out", "duplicates_removed", "empty_columns_dropped")
 
 
 _DIRTY_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_note",
-               "price_text", "cust_text", "mixed_text"]
+               "price_text", "cust_text", "mixed_text", "long_text", "o_orderdate"]
 O_CLEANING_SUMMARY = (
     f"WITH x AS ({I.duck(I.ORDERS_DIRTY)}) "
     f"SELECT rows_in, rows_out, rows_in - rows_out AS duplicates_removed, empty_columns_dropped FROM "
@@ -385,23 +387,31 @@ def q_validate_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 _O_DEPT = r"'Departemen\s+([A-Za-z]+)'"
 _O_CLAIM = r"'mahasiswa\s*[=:]?\s*(\d+)'"
-_O_CLAIMED = f"TRY_CAST(nullif(regexp_extract(r.report_text, {_O_CLAIM}, 1), '') AS BIGINT)"
+_O_DIGITS = f"regexp_extract(r.report_text, {_O_CLAIM}, 1)"
+_O_CLAIMED = f"(CASE WHEN {_O_DIGITS} <> '' THEN coalesce(nullif(ltrim({_O_DIGITS}, '0'), ''), '0') END)"
 _O_REPORTS_JOINED = (
     f"(SELECT r.report_id, r.report_text, k.known, t.total_students, {_O_CLAIMED} AS claimed "
     f"FROM ({I.duck(I.CUSTOMER_REPORTS)}) r "
     f"LEFT JOIN (SELECT dataset_id, list(department) AS known FROM ({I.duck(I.DEPARTMENTS)}) d "
     f"GROUP BY dataset_id) k ON r.dataset_id = k.dataset_id "
     f"LEFT JOIN ({I.duck(I.TOTALS)}) t ON r.dataset_id = t.dataset_id) j")
+
+
+def _o_message(message: str, *values: str) -> str:
+    """A message with its gaps filled, as a SQL expression."""
+    parts = ["'" + p.replace("'", "''") + "'" for p in message.split("{}")]
+    return " || ".join(x for pair in zip(parts, [*values, None]) for x in pair if x)
+
+
 _O_ENTITY_ISSUES = (
     f"CASE WHEN known IS NULL THEN []::VARCHAR[] ELSE list_transform(list_filter("
     f"regexp_extract_all(report_text, {_O_DEPT}, 1), lambda x: NOT list_contains(known, x)), "
-    f"lambda x: 'Departemen ''' || x || ''' disebut dalam teks, tapi tidak ada di data') END")
+    f"lambda x: {_o_message(V.MSG_UNKNOWN_DEPARTMENT, 'x')}) END")
 _O_CLAIM_ISSUE = (
     "CASE WHEN claimed IS NOT NULL AND total_students IS NOT NULL AND "
     "abs(CAST(claimed AS DOUBLE) - CAST(total_students AS DOUBLE)) > "
     "greatest(1.0, 0.05 * CAST(total_students AS DOUBLE)) THEN "
-    "['Isi narasi menyebut total mahasiswa = ' || CAST(claimed AS VARCHAR) || "
-    "', tetapi data menyebut ' || CAST(total_students AS VARCHAR)] ELSE []::VARCHAR[] END")
+    f"[{_o_message(V.MSG_CLAIM, 'claimed', 'CAST(total_students AS VARCHAR)')}] ELSE []::VARCHAR[] END")
 O_VALIDATE_REPORTS = _o_validation(_O_REPORTS_JOINED, "report_text",
                                    f"list_concat({_O_ENTITY_ISSUES}, {_O_CLAIM_ISSUE})")
 
@@ -447,7 +457,7 @@ _O_TS_FILE = REPORT_TS.strftime("%Y%m%d_%H%M%S")
 _O_TS_HEAD = REPORT_TS.strftime("%Y-%m-%d %H:%M:%S")
 _O_KIND = ("CASE WHEN contains(lower(report_type), 'student') THEN 'student_reports' "
            "WHEN contains(lower(report_type), 'finance') THEN 'finance_reports' ELSE '' END")
-_O_FILE = f"report_type || '_{_O_TS_FILE}.md'"
+_O_FILE = f"report_type || '_{_O_TS_FILE}_' || CAST(report_id AS VARCHAR) || '.md'"
 _O_DOCS = (
     f"SELECT report_id, {_O_KIND} AS report_kind, {_O_FILE} AS file_name, "
     f"CASE WHEN {_O_KIND} = '' THEN {_O_FILE} ELSE {_O_KIND} || '/' || {_O_FILE} END AS path, "
@@ -475,7 +485,50 @@ def q_reports_produced(spark: SparkSession, sf: str) -> DataFrame:
     return RP.reports_produced(_customer_documents(spark, sf))
 
 
-O_REPORTS_PRODUCED = f"SELECT report_kind, count(*) AS n_reports FROM ({_O_DOCS}) x GROUP BY report_kind"
+O_REPORTS_PRODUCED = (f"SELECT report_kind, path, count(*) OVER (PARTITION BY report_kind) AS n_reports "
+                      f"FROM ({_O_DOCS}) x")
+
+
+def q_report_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata records (C27, S9) of all customer reports, read back from their JSON."""
+    reports = I.run(spark, sf, I.CUSTOMER_REPORTS)
+    meta = reports.select("report_id", RP.metadata_json(
+        F.col("source_file"), None,
+        V.validation_struct(F.size(V.local_issues(F.col("report_text"))) == 0, V.local_issues(F.col("report_text")),
+                            V.number_count(F.col("report_text"))),
+        RP.usage_struct(F.col("prompt_tokens"), F.col("output_tokens"), F.col("total_tokens")),
+        F.lit(REPORT_TS), F.lit(REPORT_TS)).alias("j"))
+    field = lambda path: F.get_json_object("j", f"$.{path}")
+    return meta.select("report_id", field("source_file").alias("source_file"), field("validation.is_valid").alias("is_valid"),
+                       field("validation.num_extracted").alias("num_extracted"), field("token_usage.prompt_tokens").alias("prompt_tokens"),
+                       field("token_usage.total_tokens").alias("total_tokens"), field("saved_at").alias("saved_at"))
+
+
+O_REPORT_METADATA = (
+    f"SELECT report_id, source_file, CASE WHEN length(report_text) >= {V.MIN_CHARS} AND NOT ("
+    + " OR ".join(f"contains(lower(report_text), '{p}')" for p in V.PLACEHOLDER_PHRASES) +
+    f") THEN 'true' ELSE 'false' END AS is_valid, CAST(len(regexp_extract_all(report_text, {_O_NUM})) AS VARCHAR) AS num_extracted, "
+    f"CAST(prompt_tokens AS VARCHAR) AS prompt_tokens, CAST(total_tokens AS VARCHAR) AS total_tokens, "
+    f"'{REPORT_TS.strftime('%Y-%m-%dT%H:%M:%S.%f')}' AS saved_at FROM ({I.duck(I.CUSTOMER_REPORTS)}) r")
+
+
+def q_chosen_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Segment reports whose kind the caller chooses for some (a type column beside the dataset's id)."""
+    from .report_job import reports_from_summaries
+    summaries = _segment_summaries(spark, sf).withColumns({
+        "detected_type": F.lit("unknown"), "analysis": F.lit(None).cast("struct<row_count:bigint>")})
+    chosen = I.run(spark, sf, I.SEGMENT_CHOICES)
+    return reports_from_summaries(summaries, ts=REPORT_TS, report_types=chosen).select(
+        "report_id", "report_type", "report_kind", "path", F.col("report_text").alias("report_text"))
+
+
+O_CHOSEN_REPORTS = (
+    f"SELECT f.dataset_id AS report_id, t.report_type, t.report_kind, CASE WHEN t.report_kind = '' THEN '' ELSE t.report_kind || '/' END "
+    f"|| t.report_type || '_{_O_TS_FILE}_' || f.dataset_id || '.md' AS path, f.report_text "
+    f"FROM ({TEXT_ORACLES['fallback_text']}) f JOIN (SELECT DISTINCT c_mktsegment AS dataset_id, "
+    f"CASE c_mktsegment WHEN 'BUILDING' THEN 'student_report' WHEN 'MACHINERY' THEN 'finance_report' ELSE 'general_report' END AS report_type, "
+    f"CASE c_mktsegment WHEN 'BUILDING' THEN 'student_reports' WHEN 'MACHINERY' THEN 'finance_reports' ELSE '' END AS report_kind "
+    f"FROM customer) t ON f.dataset_id = t.dataset_id")
 
 
 # ---------------------------------------------------------------- generated tables and arithmetic
@@ -614,21 +667,20 @@ def q_cells_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CELL_COLS = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_note", "price_text", "cust_text",
-              "mixed_text"]
+              "mixed_text", "long_text", "o_orderdate"]
 
 
 def _dirty_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Dirty orders as cells: one dataset per order status."""
-    return CL.stack_table(I.run(spark, sf, I.ORDERS_DIRTY_ROWS), "o_orderstatus", "row_id", _CELL_COLS)
+    return CL.stack_table(I.run(spark, sf, I.ORDERS_BLANK_ROWS), "o_orderstatus", "row_id", _CELL_COLS)
 
 
 def q_cells_cleaning_summary(spark: SparkSession, sf: str) -> DataFrame:
-    _, _, _, summary = CL.profile_cells(_dirty_cells(spark, sf), materialize=False)
-    return summary
+    return CL.cleaning_summary(_dirty_cells(spark, sf))
 
 
 O_CELLS_CLEANING_SUMMARY = (
-    f"WITH x AS ({I.duck(I.ORDERS_DIRTY)}), d AS (SELECT DISTINCT * FROM x) "
+    f"WITH x AS (SELECT * EXCLUDE (row_id) FROM ({I.duck(I.ORDERS_BLANK_ROWS)}) r), d AS (SELECT DISTINCT * FROM x) "
     f"SELECT a.dataset_id, a.rows_in, b.rows_out, a.rows_in - b.rows_out AS duplicates_removed, "
     f"a.empty_columns_dropped FROM (SELECT o_orderstatus AS dataset_id, count(*) AS rows_in, "
     + " + ".join(f"CAST(count({'nullif(mixed_text, ' + chr(39) + 'n/a' + chr(39) + ')' if c == 'mixed_text' else c})"
@@ -663,7 +715,7 @@ def _o_cells_numeric(c: str) -> str:
             f"avg({expr}) OVER (PARTITION BY o_orderstatus) AS m FROM d) q GROUP BY dataset_id")
 
 
-O_CELLS_NUMERIC_PROFILE = (f"WITH d AS (SELECT DISTINCT * FROM ({I.duck(I.ORDERS_DIRTY)}) x) "
+O_CELLS_NUMERIC_PROFILE = (f"WITH d AS (SELECT DISTINCT * EXCLUDE (row_id) FROM ({I.duck(I.ORDERS_BLANK_ROWS)}) x) "
                            + _sql_union([_o_cells_numeric(c) for c in _CELL_NUMERIC]))
 
 
@@ -699,6 +751,8 @@ QUERIES = {
     "report_documents": q_report_documents,
     "list_reports": q_list_reports,
     "reports_produced": q_reports_produced,
+    "report_metadata": q_report_metadata,
+    "chosen_reports": q_chosen_reports,
     "balance": q_balance,
     "weighted_score": q_weighted_score,
     "banding": q_banding,
@@ -734,6 +788,8 @@ ORACLES = {
     "report_documents": O_REPORT_DOCUMENTS,
     "list_reports": O_LIST_REPORTS,
     "reports_produced": O_REPORTS_PRODUCED,
+    "report_metadata": O_REPORT_METADATA,
+    "chosen_reports": O_CHOSEN_REPORTS,
     "balance": O_BALANCE,
     "weighted_score": O_WEIGHTED_SCORE,
     "banding": O_BANDING,

@@ -61,22 +61,29 @@ def dataset_summaries(tables: dict[str, DataFrame], max_parallel: int = 4) -> Da
 
 
 def reports_from_summaries(summaries: DataFrame, generated: DataFrame | None = None,
-                           ts: dt.datetime = DEFAULT_TS, source_prefix: str = "") -> DataFrame:
+                           ts: dt.datetime = DEFAULT_TS, source_prefix: str = "", source_suffix: str = ".parquet",
+                           report_types: DataFrame | None = None) -> DataFrame:
+    """One report row per dataset. ``report_types`` (dataset_id, report_type: student, finance or other): the kind the
+    caller asks for; a dataset without one gets the kind of its detected type."""
     spark = summaries.sparkSession
     # One row per dataset, used by several joins below: materialise it once.
     summaries = checkpoint(summaries)
     if generated is None:
         generated = spark.createDataFrame(
             [], "dataset_id string, text string, prompt_tokens bigint, output_tokens bigint, total_tokens bigint")
-    req = summaries.select(
+    asked = summaries.withColumn("_type", F.col("detected_type"))
+    if report_types is not None:
+        asked = asked.join(report_types.select("dataset_id", F.col("report_type").alias("_asked")), "dataset_id", "left") \
+            .withColumn("_type", F.coalesce("_asked", "detected_type"))
+    req = asked.select(
         "dataset_id", "summary_text",
-        _map(F.col("detected_type"), PROMPT_TYPE, DEFAULT_PROMPT_TYPE).alias("prompt_type"),
-        _map(F.col("detected_type"), SAVE_TYPE, DEFAULT_SAVE_TYPE).alias("report_type"))
+        _map(F.col("_type"), PROMPT_TYPE, DEFAULT_PROMPT_TYPE).alias("prompt_type"),
+        _map(F.col("_type"), SAVE_TYPE, DEFAULT_SAVE_TYPE).alias("report_type"))
     req = req.withColumn("prompt", R.prompt_expr(F.col("summary_text"), F.col("prompt_type")))
     rep = R.attach_generated(req, generated).join(summaries.select("dataset_id", "analysis"), "dataset_id")
     checked = V.validate_reports(rep.withColumnRenamed("dataset_id", "report_id"))
     rows = (rep.withColumnRenamed("dataset_id", "report_id").join(checked, "report_id")
-            .withColumn("source_file", F.concat(F.lit(source_prefix), F.col("report_id"), F.lit(".parquet"))))
+            .withColumn("source_file", F.concat(F.lit(source_prefix), F.col("report_id"), F.lit(source_suffix))))
     docs = RP.report_documents(rows, ts)
     meta = rows.select("report_id", RP.metadata_json(
         F.col("source_file"), F.col("analysis"),
@@ -91,3 +98,21 @@ def report_job(spark: SparkSession, sf_dir: str, table_names, generated: DataFra
                ts: dt.datetime = DEFAULT_TS) -> DataFrame:
     tables = {t: I.load(spark, sf_dir, t) for t in table_names}
     return reports_from_summaries(dataset_summaries(tables), generated, ts, source_prefix=sf_dir.rstrip("/") + "/")
+
+
+def workbook_report_job(spark: SparkSession, folder: str, target: str, report_types: DataFrame | None = None,
+                        generated: DataFrame | None = None, ts: dt.datetime = DEFAULT_TS, expected=None):
+    """Workbooks → reports in one flow: read a folder, clean and profile every workbook in long form, render, check
+    and save. Saves ``reports/``, ``metadata/`` and ``rejects/`` under ``target`` (appending) and
+    returns (reports, rejects)."""
+    from ..operators import cells as CL
+    from ..sources import sinks, workbook as W
+    cells, rejects = W.read_workbooks(spark, folder, expected=expected)
+    ds, num, cat, _ = CL.profile_cells(cells)
+    summaries = (ds.select("dataset_id", "detected_type", "row_count").join(R.summary_text(ds, num, cat), "dataset_id")
+                 .join(P.analysis_record(ds, num, cat), "dataset_id"))
+    reports = checkpoint(reports_from_summaries(summaries, generated, ts, source_suffix="", report_types=report_types))
+    sinks.write_reports(reports, f"{target.rstrip('/')}/reports")
+    sinks.write_metadata(reports, f"{target.rstrip('/')}/metadata")
+    rejects.write.mode("append").parquet(f"{target.rstrip('/')}/rejects")
+    return reports, rejects

@@ -25,6 +25,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.caseSensitive", "true")  # headers that differ only in case are two columns
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("TABLESCOPE_DRIVER_MEMORY", "16g"))
@@ -78,8 +79,37 @@ def checkpoint(df):
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    _delete_at_end(spark, path)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._written_at = path
+    return out
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Checkpoint tables are plain folders, which Spark's own checkpoint cleaner leaves alone: the file
+    system deletes the folder that holds them when the application ends."""
+    fs, folder = _hadoop(spark, path.rsplit("/", 1)[0])
+    fs.deleteOnExit(folder)
+
+
+def release(df) -> None:
+    """Delete the table that ``checkpoint`` wrote for ``df``; nothing may read it afterwards."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        fs, p = _hadoop(df.sparkSession, path)
+        fs.delete(p, True)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every checkpoint table of this application (for example once a job's results are saved)."""
+    fs, p = _hadoop(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables")
+    fs.delete(p, True)
 
 
 def scale_conf(input_bytes: int, executors: int, cores_per_executor: int,

@@ -15,28 +15,46 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def write_reports(documents: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """One text file per report under ``kind=…/report_id=…/``.
+def _kind(documents: DataFrame):
+    return F.when(F.col("report_kind") == "", F.lit(ROOT_PARTITION)).otherwise(F.col("report_kind")).alias("report_kind")
 
-    Spark picks part-file names, so the reference-style ``file_name`` stays a column.
-    Reports at the root level go to ``report_kind=_root``.
+
+def write_reports(documents: DataFrame, path: str, mode: str = "append", one_file_per_report: bool = False) -> str:
+    """Reports under ``report_kind=…/`` (root-level ones under ``report_kind=_root``). Saving appends,
+    so a save never removes another report.
+
+    By default rows (report_id, file_name, path, content) in parquet: millions of reports are a
+    few files. ``one_file_per_report``: a text file under ``report_id=…/`` for each.
     """
-    (documents
-     .select(F.when(F.col("report_kind") == "", F.lit(ROOT_PARTITION)).otherwise(F.col("report_kind"))
-             .alias("report_kind"), "report_id", "content")
-     .write.mode(mode).partitionBy("report_kind", "report_id").text(path))
+    if one_file_per_report:
+        documents.select(_kind(documents), "report_id", "content").write.mode(mode) \
+            .partitionBy("report_kind", "report_id").text(path)
+    else:
+        documents.select(_kind(documents), "report_id", "file_name", "path", "content").write.mode(mode) \
+            .partitionBy("report_kind").parquet(path)
     return path
 
 
-def write_metadata(records: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """One JSON record per report (``metadata_json`` column) under ``report_id=…/``."""
-    records.select("report_id", F.col("metadata_json").alias("value")).write.mode(mode) \
-        .partitionBy("report_id").text(path)
+def write_metadata(records: DataFrame, path: str, mode: str = "append", one_file_per_report: bool = False) -> str:
+    """One indented JSON record per report: rows (report_id, metadata_json) in parquet, or a text file
+    under ``report_id=…/`` for each. Appends, as ``write_reports`` does."""
+    if one_file_per_report:
+        records.select("report_id", F.col("metadata_json").alias("value")).write.mode(mode) \
+            .partitionBy("report_id").text(path)
+    else:
+        records.select("report_id", "metadata_json").write.mode(mode).parquet(path)
     return path
 
 
+def list_saved_reports(spark: SparkSession, path: str, report_type: str | None = None) -> DataFrame:
+    """S10 over saved rows: (report_id, path, report_kind), path descending; no content is read."""
+    from ..operators.reports import list_reports
+    saved = spark.read.parquet(path).select("report_id", "path", "report_kind")
+    return list_reports(saved, report_type)
+
+
 def list_report_files(spark: SparkSession, path: str, report_type: str | None = None) -> DataFrame:
-    """S10 over files: (path, report_kind) of written reports, newest-name first.
+    """S10 over one-file-per-report folders: (path, report_kind), path descending.
 
     Only file paths are selected, so file contents are never read.
     """

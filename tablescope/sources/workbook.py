@@ -29,10 +29,14 @@ from pyspark.sql import functions as F
 
 from ..functions.names import qcol
 from ..session import checkpoint as _ckpt
-from ..functions.numbers import INTEGER_PATTERN, MISSING_MARKERS, NUMBER_PATTERN
+from ..functions.numbers import INTEGER_PATTERN, MISSING_MARKERS, NUMBER_PATTERN, integer_range
+from ..operators.cells import BOOLEAN_TEXTS
 
 CELL_SCHEMA = ("dataset_id string, row_no bigint, position int, value string, kind string, is_header boolean, "
                "error string")
+# Why a file is rejected.
+MSG_NOT_EXCEL = "File must be an Excel file (.xlsx or .xls)"
+MSG_NOT_FOUND = "File not found"
 _CHUNK = 100_000  # cells per Arrow batch handed back to Spark
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -141,7 +145,7 @@ def parse_xlsx(content: bytes) -> Iterator[tuple[int, int, str | None, str]]:
                 elif t == "b":
                     yield row_no, pos, None if raw is None else ("True" if raw.strip() == "1" else "False"), "b"
                 elif t == "e":
-                    yield row_no, pos, raw, "e"
+                    yield row_no, pos, None, "e"  # an error cell is missing, as a reader has it
                 elif t == "d":
                     yield row_no, pos, raw, "d"
                 elif raw is not None:
@@ -159,12 +163,18 @@ def _cells_of_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content in zip(pdf["path"], pdf["content"]):
             try:
                 if not re.search(r"\.xlsx?$", path):
-                    raise ValueError("File must be an Excel file (.xlsx or .xls)")
+                    raise ValueError(MSG_NOT_EXCEL)
                 if path.endswith(".xls"):
                     raise ValueError("legacy .xls workbooks are not supported")
-                header_row, chunk = None, []
+                header_row, last, chunk = None, 0, []
                 for r, p, v, k in parse_xlsx(bytes(content)):
                     header_row = r if header_row is None else header_row  # rows arrive in sheet order
+                    if v is not None:  # blank rows above a row with a value are rows too
+                        for blank in range(max(last, header_row) + 1, r):
+                            chunk.append((path, blank, 1, None, "s", False, None))
+                        last = max(last, r)
+                    elif r > header_row:
+                        continue
                     chunk.append((path, r, p, v, k, r == header_row, None))
                     if len(chunk) >= _CHUNK:
                         yield pd.DataFrame(chunk, columns=cols)
@@ -200,13 +210,13 @@ def read_workbooks(spark: SparkSession, path: str, expected=None, glob: str = "*
     others = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
               .select(F.col("path").alias("dataset_id"))
               .where(~F.col("dataset_id").rlike(r"\.xls[x]?$"))
-              .select("dataset_id", F.lit("File must be an Excel file (.xlsx or .xls)").alias("reason")))
+              .select("dataset_id", F.lit(MSG_NOT_EXCEL).alias("reason")))
     rejects = rejects.unionByName(others)
     if expected:
         want = spark.createDataFrame([(p,) for p in expected], "dataset_id string")
         found = scanned.select("dataset_id").distinct()
         missing = (want.join(found, "dataset_id", "left_anti")
-                   .select("dataset_id", F.lit("File not found").alias("reason")))
+                   .select("dataset_id", F.lit(MSG_NOT_FOUND).alias("reason")))
         rejects = rejects.unionByName(missing)
     return cells, rejects
 
@@ -237,9 +247,10 @@ def workbook_frame(cells: DataFrame, dataset_id: str | None = None) -> DataFrame
     """
     if dataset_id is not None:
         cells = cells.where(F.col("dataset_id") == dataset_id)
-    cells = cells.withColumn("value", F.when(~F.col("value").isin(*MISSING_MARKERS), F.col("value")))
+    cells = cells.withColumn("value", F.when((F.col("kind") != "e") & ~F.col("value").isin(*MISSING_MARKERS), F.col("value")))
     header = cells.where(F.col("is_header"))
-    body = cells.where(~F.col("is_header")).where(F.col("value").isNotNull())
+    every = cells.where(~F.col("is_header"))
+    body = every.where(F.col("value").isNotNull())
     width = (cells.agg(F.max("position")).first()[0]) or 0
     names_by_pos = {r["position"]: r["value"] for r in
                     header.groupBy("position").agg(F.first("value", ignorenulls=True).alias("value")).collect()}
@@ -249,21 +260,22 @@ def workbook_frame(cells: DataFrame, dataset_id: str | None = None) -> DataFrame
         F.bool_and((F.col("kind") == "n") | ((F.col("kind") == "s") & F.col("value").rlike(NUMBER_PATTERN)))
         .alias("num"),
         F.bool_and(F.col("value").rlike(INTEGER_PATTERN)).alias("int"),
-        F.bool_and(F.col("kind") == "b").alias("bool"),
+        F.max(F.when(F.col("value").rlike(INTEGER_PATTERN), integer_range(F.col("value")))).alias("range"),
+        F.bool_and((F.col("kind") == "b") | F.col("value").isin(*BOOLEAN_TEXTS)).alias("bool"),
         F.bool_and(F.col("kind") == "d").alias("date")).collect()}
-    rows = (body.groupBy("dataset_id", "row_no").pivot("position", list(range(1, width + 1)))
-            .agg(F.first("value")))
+    rows = (every.groupBy("dataset_id", "row_no").pivot("position", list(range(1, width + 1)))
+            .agg(F.first("value", ignorenulls=True)))
     n_rows = rows.count() if any(k["num"] and k["int"] for k in kinds.values()) else None
     out = [F.col("dataset_id"), F.col("row_no")]
     for p, name in zip(range(1, width + 1), names):
         c, k = F.col(f"`{p}`"), kinds.get(p)
         if k is None:
             out.append(c.cast("string").alias(name))
-        elif k["num"]:
+        elif k["num"] and k["range"] != 2:  # whole numbers beyond 64 bits keep the column text
             whole = k["int"] and n_rows is not None and k["n"] == n_rows
-            out.append(c.try_cast("bigint" if whole else "double").alias(name))
+            out.append(F.trim(c).try_cast("double" if not whole else "bigint" if not k["range"] else "decimal(20,0)").alias(name))
         elif k["bool"]:
-            out.append((c == "True").alias(name))
+            out.append((F.lower(c) == "true").alias(name))
         elif k["date"]:
             out.append(c.try_cast("timestamp").alias(name))
         else:
