@@ -15,14 +15,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import checkpoint, read
+from tablescope.llm.common import BROADCAST_BYTES, checkpoint, let, read
 
 WINDOW = 3
 _LAST = (1 << 63) - 1
 
 
-def _windows(lines):
+def _windows(text):
     """An array of (h1, h2) for each window start; null for windows of white space only."""
+    return let(F.split(text, "\n"), _hashes)
+
+
+def _hashes(lines):
     n = F.size(lines) - (WINDOW - 1)
 
     def one(i):
@@ -38,7 +42,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumns({
         "o": F.coalesce("doc_id", F.lit(_LAST)), "k": F.xxhash64("text")})
     lines = F.split("text", "\n")
-    wins = checkpoint(base.select("o", "k", F.posexplode(_windows(lines)).alias("pos", "w"))
+    wins = checkpoint(base.select("o", "k", F.posexplode(_windows(F.col("text"))).alias("pos", "w"))
                       .filter("w IS NOT NULL").select("o", "k", "pos", "w.h1", "w.h2"))
     # A third of all rows may share a window: it is counted by partial aggregates, and the joins
     # below deal out both sides afresh, so that AQE can split a hot window.
@@ -50,6 +54,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     within = wins.join(inside, ["h1", "h2", "o", "k"]).filter("pos <> at").select("o", "k", "pos")
     starts = checkpoint(later.unionByName(within).groupBy("o", "k").agg(F.collect_set("pos").alias("starts")))
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (WINDOW - 1)))))
+    # Every place counts once in the size; beyond the bound the texts are shuffled to their places.
+    places = starts.agg(F.sum(F.size("starts"))).first()[0] or 0
+    if places * 64 <= BROADCAST_BYTES:
+        starts = F.broadcast(starts)
     rows = base.join(starts, ["o", "k"], "left").withColumns({"lines": lines, "covered": covered})
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("covered"))
     shorter = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
