@@ -17,33 +17,35 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import reports as RP
 from ..operators import validate as V
-from ..session import checkpoint_root
+from ..session import checkpoint, checkpoint_root, release
 
 REPORT_SCHEMA = ("report_id bigint, dataset_id bigint, report_type string, report_text string, "
                  "source_file string, prompt_tokens bigint, output_tokens bigint, total_tokens bigint")
 
 
 def check_batch(batch: DataFrame, departments: DataFrame | None, totals: DataFrame | None,
-                ts: dt.datetime | None) -> DataFrame:
+                ts: dt.datetime) -> DataFrame:
     """Validation + documents for one batch of report rows."""
     checked = V.validate_reports(batch, departments, totals)
     rows = batch.join(checked, "report_id")
-    docs = RP.report_documents(rows, ts or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
+    docs = RP.report_documents(rows, ts)
     return docs.join(checked.select("report_id", "is_valid", "issues", "num_extracted"), "report_id")
 
 
-def start_report_stream(spark: SparkSession, source_dir: str, sink_dir: str, name: str = "reports",
-                        departments: DataFrame | None = None, totals: DataFrame | None = None,
-                        ts: dt.datetime | None = None, schema: str = REPORT_SCHEMA,
+def start_report_stream(spark: SparkSession, source_dir: str, sink_dir: str, ts: dt.datetime, name: str = "reports",
+                        departments: DataFrame | None = None, totals: DataFrame | None = None, schema: str = REPORT_SCHEMA,
                         available_now: bool = True, checkpoint_location: str | None = None) -> StreamingQuery:
-    """Watch ``source_dir`` (parquet files of report rows); write documents as parquet."""
+    """Watch ``source_dir`` (parquet files of report rows); write documents as parquet. ``ts`` is the save time
+    written into the documents: it is given, not read from a clock, so a replayed batch writes the same rows."""
     ckpt = checkpoint_location or f"{checkpoint_root(spark)}/streams/{name}"
     stream = spark.readStream.schema(schema).parquet(source_dir)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        (check_batch(batch, departments, totals, ts)
+        written = checkpoint(batch)  # read once from the source, however many joins use it
+        (check_batch(written, departments, totals, ts)
          .withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/batch_id={batch_id}"))
+        release(written)
 
     writer = stream.writeStream.queryName(name).option("checkpointLocation", ckpt).foreachBatch(handle)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
