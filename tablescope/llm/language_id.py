@@ -28,6 +28,7 @@ from tablescope.llm.common import packed, read, unpacked
 
 TRAIN_ROWS = 300   # of each language, about
 BUCKETS = 4096
+BLOCK = 1 << 18    # bytes of a text whose grams are counted at once
 EPOCHS = 120
 MARGIN = 0.02      # in mean loss: codewords closer than this are ambiguous
 UNKNOWN = "und"
@@ -39,11 +40,16 @@ _PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 def features(text: str) -> np.ndarray:
     """The square roots of the shares of hashed 2- and 3-grams, over the whole lower-cased text."""
     raw = np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(_PLAIN) + b" ", dtype=np.uint8)
-    raw = raw[np.concatenate(([True], (raw[1:] != 32) | (raw[:-1] != 32)))].astype(np.uint32)  # a run of spaces is one
-    two = raw[:-1] * np.uint32(257) + raw[1:]
-    three = two[:-1] * np.uint32(263) + raw[2:]
-    at = np.concatenate((two * np.uint32(2654435761) >> np.uint32(20), (three + np.uint32(1 << 25)) * np.uint32(2246822519) >> np.uint32(20)))
-    n = np.bincount(at, minlength=BUCKETS).astype(np.float32)
+    raw = raw[np.concatenate(([True], (raw[1:] != 32) | (raw[:-1] != 32)))]  # a run of spaces is one
+    n = np.zeros(BUCKETS, np.int64)
+    for at in range(0, max(1, len(raw) - 1), BLOCK):  # blocks share two bytes, so that no gram is lost or counted twice
+        part = raw[at:at + BLOCK + 2].astype(np.uint32)
+        two = part[:-1] * np.uint32(257) + part[1:]
+        three = two[:-1] * np.uint32(263) + part[2:]
+        two = two[:BLOCK]
+        n += np.bincount(two * np.uint32(2654435761) >> np.uint32(20), minlength=BUCKETS)
+        n += np.bincount((three + np.uint32(1 << 25)) * np.uint32(2246822519) >> np.uint32(20), minlength=BUCKETS)
+    n = n.astype(np.float32)
     return np.sqrt(n / max(1.0, n.sum()))
 
 

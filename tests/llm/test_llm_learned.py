@@ -52,6 +52,15 @@ def test_language_awkward_rows(spark):
     assert {(r["lang_pred"], r["score"]) for r in one} == {("zz", 1.0)}
 
 
+def test_blocks_count_every_gram_once(monkeypatch):
+    import numpy as np
+    text = speak("cc", 1, 500) + " Ünïcode 日本 &&& 12"
+    whole = L.features(text)
+    for block in (1, 2, 7, 64, 1000):
+        monkeypatch.setattr(L, "BLOCK", block)
+        assert np.allclose(L.features(text), whole)
+
+
 def test_held_out_rows_teach_nothing(spark):
     import zlib
     held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5 == 0]
