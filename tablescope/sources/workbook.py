@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import qcol
 from ..session import checkpoint as _ckpt
+from ..session import ship_package
 from ..functions.numbers import INTEGER_PATTERN, MISSING_MARKERS, NUMBER_PATTERN, integer_range
 from ..operators.cells import BOOLEAN_TEXTS
 
@@ -188,6 +189,7 @@ def _cells_of_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def scan_workbooks(spark: SparkSession, path: str, glob: str = "*.xls*", recursive: bool = True) -> DataFrame:
     """All workbooks under ``path`` as cells (with an ``error`` column for bad files)."""
+    ship_package(spark)
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", str(recursive).lower()).load(path)
              .select("path", "content"))
