@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.session import checkpoint  # noqa: F401  (re-exported for the operators)
+from tablescope.session import checkpoint, ship_package  # noqa: F401  (checkpoint: for the operators)
 
 #: White space that separates words: space and the five control characters tab..CR.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -15,6 +15,7 @@ BROADCAST_BYTES = 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
