@@ -12,13 +12,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tablescope.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id
-from tablescope.llm.common import read
-from tablescope.session import ensure_checkpoint_dir, ship_package
+from tablescope.llm.common import prepare, read
+from tablescope.session import ensure_checkpoint_dir
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is unknown (null text, or no letter) go."""
-    ship_package(spark)
+    prepare(spark)
     return language_id.keep_identified(docs)
 
 
@@ -39,7 +39,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded bytes."""
-    ship_package(spark)
+    prepare(spark)
     return byte_bpe.token_digests(docs)
 
 

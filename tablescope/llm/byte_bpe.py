@@ -33,8 +33,8 @@ LEAF_CHARS, LEAF_IDS = 4096, 4096
 LOOK = 2             # characters past a match's end that the pattern may look at
 SEAM_CHARS = 32      # first window over a seam, right of it
 NONE = 1 << 30       # above every rank
-MEMO_WORDS = 800_000  # distinct matches whose ids a worker remembers
-BATCH_BYTES = 8 << 20
+MEMO_WORDS = 150_000  # distinct matches whose ids a worker remembers: about 40 MB
+BATCH_BYTES = 4 << 20
 
 
 #: What the public pattern matches in ASCII text, for the quicker engine of the standard library. The

@@ -12,10 +12,20 @@ SPACE = r"[\x20\x09-\x0D]+"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table is broadcast only when its estimated size stays below this many bytes.
 BROADCAST_BYTES = 32 << 20
+BATCH_ROWS = 1000
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Before Python tasks run: executors get the package, and documents travel in batches of BATCH_ROWS rows
+    (Spark's own 10,000 hold tens of megabytes of text, twice, in every task). A smaller setting stays."""
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
