@@ -1,15 +1,18 @@
 """Operator 7, secret scans: fixed patterns plus a linear-chain conditional random field.
 
-Base spans come from three fixed patterns. The CRF adds spans of kind ``crf``: tokens are tagged
-begin, inside or outside from their shape, their neighbours' words and file features, and the best
-tagging is decoded by Viterbi. Only a token with a digit and at least MIN_SECRET characters of
-a secret's alphabet may be tagged begin (a hard constraint of the model), so a chain
-of plain words is outside by definition and only the surroundings of such tokens are decoded:
-TOKENS_AROUND tokens on either side, chains that meet are one chain.
+Base spans come from three fixed patterns. The CRF adds spans of kind ``crf``: every token of every
+text is tagged begin, inside or outside from its shape, its neighbours' words and file features, and the
+best tagging of the whole text is decoded by Viterbi. Tokens are cut once, over the whole text. Any token
+may begin a secret; the only hard constraint is that inside follows begin or inside.
+
+Decoding takes the steps of Viterbi only where they can matter: a secret over tokens i to j changes the score
+of all-outside by at most the sum of their gains (``Tagger.tags``), so a token in no stretch whose gains
+can reach zero is outside in every best tagging. The result is that of Viterbi over all tokens.
 
 The CRF is trained here, by log-likelihood, with the base spans as its labels, on the texts of at
-most about TRAIN_DOCS documents (chosen by a hash of doc_id) and at most TRAIN_CHAINS chains of
-each kind. Keywords and separators in training chains are hidden at random, so that shape counts too.
+most about TRAIN_DOCS documents (chosen by a hash of doc_id) and at most TRAIN_CHAINS chains of each kind:
+tokens around secrets, around other long tokens (``looks_secret``), and at a place of each text drawn by hash.
+Keywords and separators in training chains are hidden at random, so that shape counts too.
 
 Defined results: a null text is empty and has no spans. Positions are code points, end exclusive;
 a base span is its pattern's whole match. CRF spans never overlap base spans.
@@ -18,6 +21,8 @@ a base span is its pattern's whole match. CRF spans never overlap base spans.
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import read, text_of
+from tablescope.llm.common import checkpoint, read, text_of
 
 KINDS = ("assign", "access", "hex", "crf")
 # The base patterns and the lengths their matches must reach.
@@ -38,11 +43,10 @@ _HEX_RUN = re.compile(rf"[0-9a-f]{{{LEAST_HEX},}}")  # whole runs of HEX that ar
 KEYWORDS = ("password", "passwd", "secret", "token", "key", "auth", "credential", "bearer")
 HIDDEN = frozenset(["KEY", "=", ":", '"', "'"])
 TRAIN_DOCS, TRAIN_CHAINS, EPOCHS, RATE = 20_000, 1500, 4, 0.2
-MIN_SECRET, TOKENS_AROUND, CHARS_AROUND = 8, 3, 64
+MIN_SECRET, TOKENS_AROUND, TOKENS_PLAIN = 8, 3, 12  # of training chains
+KNOWN, KNOWN_CHARS = 1 << 17, 32  # tokens whose kind a task remembers
 TAGS = 3  # outside, begin, inside
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
-_DIGITS = re.compile(r"[0-9][A-Za-z0-9+/_-]*")
-_BODY = re.compile(r"[A-Za-z0-9+/_-]*\Z")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -57,33 +61,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def chains(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans around every token that may begin a secret; overlapping surroundings are one chain."""
-    out: list[list[tuple[int, int]]] = []
-    upto = 0
-    for m in _DIGITS.finditer(text):
-        if m.end() <= upto:
-            continue
-        start = m.start() - len(_BODY.search(text, max(0, m.start() - 4096), m.start()).group())
-        if m.end() - start < MIN_SECRET:
-            continue
-        left = [t.span() for t in _TOKEN.finditer(text, max(upto, start - CHARS_AROUND), start)][-TOKENS_AROUND:]
-        right, n = [(start, m.end())], 0
-        for t in _TOKEN.finditer(text, m.end(), min(len(text), m.end() + CHARS_AROUND)):
-            right.append(t.span())
-            n += 1
-            if n == TOKENS_AROUND:
-                break
-        if out and left and out[-1][-1][1] == left[0][0] or out and start - upto < 2 and not left:
-            out[-1] += left + right
-        else:
-            out.append(left + right)
-        upto = right[-1][1]
-    return out
+def tokens_of(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _TOKEN.finditer(text)]
 
 
-def may_begin(token: str) -> bool:
-    return len(token) >= MIN_SECRET and any(c.isdigit() for c in token)
+def looks_secret(token: str) -> bool:
+    """Whether training takes the token as a likely mistake: long, and with a digit or an upper-case letter inside."""
+    return len(token) >= MIN_SECRET and re.search("[0-9]|.[A-Z]", token) is not None
 
 
 def shape(token: str) -> str:
@@ -95,6 +79,13 @@ def shape(token: str) -> str:
     return f"{kinds}{length}m{min(4, mixed)}" + ("x" if re.fullmatch("[0-9a-f]+", token) else "")
 
 
+def letters(token: str) -> str:
+    """How often the case changes, and the longest run of ASCII consonants."""
+    turns = len(re.findall("[a-z](?=[A-Z])|[A-Z](?=[a-z])", token))
+    run = max(map(len, re.findall("[b-df-hj-np-tv-z]+", token, re.I | re.A)), default=0)
+    return f"{min(4, turns)}v{min(6, run)}"
+
+
 def word_class(token: str) -> str:
     low = token.lower()
     for k in KEYWORDS:
@@ -113,7 +104,7 @@ def chain_features(text: str, spans: list[tuple[int, int]], file: list[str], hid
     out = []
     for k in range(len(tokens)):
         at = lambda i: classes[i] if 0 <= i < len(tokens) else "edge"
-        names = [f"s:{shapes[k]}", f"w:{classes[k]}", f"p:{at(k - 1)}", f"n:{at(k + 1)}", f"pp:{at(k - 2)}|{at(k - 1)}",
+        names = [f"s:{shapes[k]}", f"c:{letters(tokens[k])}", f"w:{classes[k]}", f"p:{at(k - 1)}", f"n:{at(k + 1)}", f"pp:{at(k - 2)}|{at(k - 1)}",
                  f"sp:{shapes[k][:3]}|{at(k - 1)}", "glued" if k and spans[k - 1][1] == spans[k][0] and not hide else "apart"]
         out.append(names + file)
     return out
@@ -134,12 +125,7 @@ class Crf:
 
     @staticmethod
     def allowed(token: str, prev: str | None) -> np.ndarray:
-        mask = np.array([0.0, 0.0, 0.0])
-        if not may_begin(token):
-            mask[1] = -np.inf
-        if prev is None:
-            mask[2] = -np.inf
-        return mask
+        return np.array([0.0, 0.0, -np.inf if prev is None else 0.0])
 
     #: Inside never follows outside.
     PAIRS = np.array([[0.0, 0.0, -np.inf], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
@@ -149,13 +135,17 @@ class Crf:
                          for k, (t, row) in enumerate(zip(tokens, names))])
 
     def viterbi(self, tokens: list[str], names: list[list[str]]) -> list[int]:
-        s, pair = self.scores(tokens, names), self.t + self.PAIRS
-        best, back = s[0], []
+        return self.path(self.scores(tokens, names))
+
+    def path(self, s: np.ndarray, after: bool = False, before: bool = False) -> list[int]:
+        """The best tagging of a stretch; ``after`` and ``before``: of one whose neighbour on that side is outside."""
+        pair = self.t + self.PAIRS
+        best, back = s[0] + pair[0] if after else s[0], []
         for row in s[1:]:
             step = best[:, None] + pair
             back.append(step.argmax(axis=0))
             best = step.max(axis=0) + row
-        tags = [int(best.argmax())]
+        tags = [int((best + pair[:, 0] if before else best).argmax())]
         for b in reversed(back):
             tags.append(int(b[tags[-1]]))
         return tags[::-1]
@@ -184,23 +174,123 @@ class Crf:
                     self.t += rate * e
 
 
-def gold_tags(spans: list[tuple[int, int]], secrets: list[tuple[int, int]], text: str) -> list[int] | None:
-    """Tags by the base spans; None where a secret starts on a token that may not begin one."""
-    tags, on = [], None
+class Tagger:
+    """The weights of a model as tables by kind of token and class of neighbour, to score a whole text at once."""
+
+    def __init__(self, model: Crf) -> None:
+        self.model, w, zero = model, model.w, model.zero
+        parted = {"p": [], "n": [], "pp": [], "sp": []}
+        for name in w:
+            part, value = name.split(":", 1) if ":" in name else (name, "")
+            if part in parted:
+                at = 1 if value[0] == "|" else value.find("|")
+                parted[part].append((value[:at], value[at + 1:]) if part in ("pp", "sp") else (value,))
+        seen = {c for part in ("p", "n", "pp") for row in parted[part] for c in row} | {b for _, b in parted["sp"]}
+        self.classes = {c: k for k, c in enumerate(["", "edge", *sorted(seen - {"edge"})])}  # "": any other
+        self.starts = {c: k for k, c in enumerate(["", *sorted({a for a, _ in parted["sp"]})])}
+        n, at = len(self.classes), self.classes
+        self.prev, self.next = np.zeros((n, TAGS)), np.zeros((n, TAGS))
+        self.two, self.after = np.zeros((n, n, TAGS)), np.zeros((len(self.starts), n, TAGS))
+        for part, table in (("p", self.prev), ("n", self.next)):
+            for (c,) in parted[part]:
+                table[at[c]] = w[f"{part}:{c}"]
+        for a, b in parted["pp"]:
+            self.two[at[a], at[b]] = w[f"pp:{a}|{b}"]
+        for a, b in parted["sp"]:
+            self.after[self.starts[a], at[b]] = w[f"sp:{a}|{b}"]
+        self.joint = np.array([w.get("apart", zero), w.get("glued", zero)])
+        self.known: dict[str, int] = {}
+        self.kinds: dict[tuple[str, str, str], int] = {}
+        self.rows: list[np.ndarray] = []
+        self.places: list[tuple[int, int]] = []
+        self.own, self.place = np.zeros((0, TAGS)), np.zeros((0, 2), dtype=np.int64)
+
+    def kind(self, token: str) -> int:
+        got = self.known.get(token)
+        if got is None:
+            key = shape(token), letters(token), word_class(token)
+            got = self.kinds.setdefault(key, len(self.kinds))
+            if got == len(self.rows):
+                w, zero = self.model.w, self.model.zero
+                self.rows.append(w.get(f"s:{key[0]}", zero) + w.get(f"c:{key[1]}", zero) + w.get(f"w:{key[2]}", zero))
+                self.places.append((self.classes.get(key[2], 0), self.starts.get(key[0][:3], 0)))
+            if len(token) <= KNOWN_CHARS:
+                if len(self.known) >= KNOWN:
+                    self.known.clear()
+                self.known[token] = got
+        return got
+
+    def scores(self, text: str) -> tuple[array, array, np.ndarray]:
+        """Starts, ends and scores of all tokens of a text."""
+        starts, ends, kinds, kind = array("q"), array("q"), array("q"), self.kind
+        for m in _TOKEN.finditer(text):
+            a, b = m.span()
+            starts.append(a)
+            ends.append(b)
+            kinds.append(kind(m.group()))
+        if not starts:
+            return starts, ends, np.zeros((0, TAGS))
+        if len(self.own) < len(self.rows):
+            self.own, self.place = np.array(self.rows), np.array(self.places)
+        k, n = np.frombuffer(kinds, dtype=np.int64), len(starts)
+        cls, first = self.place[k].T
+        around = np.ones(n + 3, dtype=np.int64)  # the class of text edges is 1
+        around[2:-1] = cls
+        glued = np.zeros(n, dtype=np.int64)
+        glued[1:] = np.frombuffer(starts, dtype=np.int64)[1:] == np.frombuffer(ends, dtype=np.int64)[:-1]
+        s = self.own[k] + self.prev[around[1:-2]] + self.next[around[3:]] + self.two[around[:-3], around[1:-2]]
+        s += self.after[first, around[1:-2]]
+        s += self.joint[glued] + sum(self.model.w.get(f, self.model.zero) for f in file_features(text))
+        s[0, 2] = -np.inf
+        return starts, ends, s
+
+    def tags(self, s: np.ndarray) -> list[tuple[int, list[int]]]:
+        """(place, tags) of the stretches that may hold a secret; all other tokens are outside."""
+        t, n = self.model.t, len(s)
+        enter, leave, stay = t[0, 1] - t[0, 0], t[1:, 0].max() - t[0, 0], t[1:, 1:].max() - t[0, 0]
+        total = np.concatenate([[0.0], (s[:, 1:].max(axis=1) - s[:, 0] + stay).cumsum()])
+        most = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
+        live = np.flatnonzero(most + max(enter, 0.0) + max(leave, 0.0) - stay >= -1e-3)
+        if not len(live):
+            return []
+        cut = np.flatnonzero(np.diff(live) > 1)
+        bounds = zip(live[np.r_[0, cut + 1]].tolist(), live[np.r_[cut, len(live) - 1]].tolist())
+        return [(i, self.model.path(s[i:j + 1], after=i > 0, before=j < n - 1)) for i, j in bounds]
+
+
+def gold_tags(spans: list[tuple[int, int]], secrets: list[tuple[int, int]]) -> list[int]:
+    """Tags by the base spans, sorted."""
+    tags, on, lo = [], None, 0
     for a, b in spans:
-        hit = next((s for s in secrets if s[0] < b and a < s[1]), None)
-        if hit is None:
-            tags.append(0)
-        elif hit is on:
-            tags.append(2)
-        elif may_begin(text[a:b]):
-            tags.append(1)
-        else:
-            return None
+        while lo < len(secrets) and secrets[lo][1] <= a:
+            lo += 1
+        at, hit = lo, None
+        while at < len(secrets) and secrets[at][0] < b and hit is None:
+            hit, at = secrets[at] if a < secrets[at][1] else None, at + 1
+        tags.append(0 if hit is None else 2 if hit is on else 1)
         on = hit
     return tags
 
 
+def training_chains(text: str) -> list[tuple[int, int, list[int], int]]:
+    """(first token, end, tags, kind) of the stretches to learn from: 0 with a secret, 1 with a token like one, 2 plain.
+    Stretches that meet are one, so no secret is cut."""
+    spans = tokens_of(text)
+    if not spans:
+        return []
+    tags = gold_tags(spans, sorted(secret_parts(text)))
+    near = [(k, TOKENS_AROUND) for k, (a, b) in enumerate(spans) if tags[k] or looks_secret(text[a:b])]
+    near.append((zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(spans), TOKENS_PLAIN))
+    out: list[list[int]] = []
+    for lo, hi in sorted((max(0, k - r), min(len(spans), k + r + 1)) for k, r in near):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(hi, out[-1][1])
+        else:
+            out.append([lo, hi])
+    like = lambda lo, hi: any(looks_secret(text[a:b]) for a, b in spans[lo:hi])
+    return [(lo, hi, tags[lo:hi], 0 if any(tags[lo:hi]) else 1 if like(lo, hi) else 2) for lo, hi in out]
+
+
 def secret_parts(text: str) -> list[tuple[int, int]]:
     """The secrets themselves (for an assignment its value), to learn from."""
     out = []
@@ -221,20 +311,18 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> Crf:
         for b in batches:
             found = []
             for text in b["text"]:
-                secrets, file = secret_parts(text), None
-                for c in chains(text):
-                    tags = gold_tags(c, secrets, text)
-                    if tags is None:
-                        continue
-                    file = file or file_features(text)
-                    lo = max(0, c[0][0] - 1)
-                    found.append((text[lo:c[-1][1] + 1], [x - lo for s in c for x in s], tags, file, any(tags)))
-            yield pd.DataFrame(found, columns=["text", "spans", "tags", "file", "secret"])
-
-    found = sample.mapInPandas(collect, "text string, spans array<int>, tags array<int>, file array<string>, secret boolean")
+                spans, file = tokens_of(text), file_features(text)
+                for lo, hi, tags, kind in training_chains(text):
+                    left = min(lo, 2)  # neighbours that the features look at
+                    c = spans[lo - left:hi + 1]
+                    at = max(0, c[0][0] - 1)
+                    found.append((text[at:c[-1][1] + 1], [x - at for s in c for x in s], left, tags, file, kind))
+            yield pd.DataFrame(found, columns=["text", "spans", "left", "tags", "file", "kind"])
+
+    found = checkpoint(sample.mapInPandas(collect, "text string, spans array<int>, left int, tags array<int>, file array<string>, kind int"))
     order = F.xxhash64("text", "spans")
-    got = [r for s in (True, False) for r in found.filter(F.col("secret") == s).orderBy(order, "text").limit(TRAIN_CHAINS).collect()]
-    if not any(r["secret"] for r in got):
+    got = [r for k in range(3) for r in found.filter(F.col("kind") == k).orderBy(order, "text").limit(TRAIN_CHAINS).collect()]
+    if not any(r["kind"] == 0 for r in got):
         return model
     turn = np.random.default_rng(11)
     for epoch in range(EPOCHS):
@@ -242,24 +330,24 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> Crf:
             r = got[k]
             spans = list(zip(r["spans"][::2], r["spans"][1::2]))
             names = chain_features(r["text"], spans, r["file"], hide=turn.random() < 0.3)
-            model.learn([r["text"][a:b] for a, b in spans], names, list(r["tags"]), RATE / (1 + epoch))
+            inner = slice(r["left"], r["left"] + len(r["tags"]))
+            model.learn([r["text"][a:b] for a, b in spans[inner]], names[inner], list(r["tags"]), RATE / (1 + epoch))
     return model
 
 
-def crf_spans(text: str, model: Crf, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out, file = [], None
-    for c in chains(text):
-        file = file or file_features(text)
-        tags = model.viterbi([text[a:b] for a, b in c], chain_features(text, c, file))
+def crf_spans(text: str, tagger: Tagger, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    starts, ends, s = tagger.scores(text)
+    out = []
+    for at, tags in tagger.tags(s) if starts else []:
         k = 0
-        while k < len(c):
+        while k < len(tags):
             if tags[k] != 1:
                 k += 1
                 continue
             end = k + 1
-            while end < len(c) and tags[end] == 2:
+            while end < len(tags) and tags[end] == 2:
                 end += 1
-            a, b = c[k][0], c[end - 1][1]
+            a, b = starts[at + k], ends[at + end - 1]
             if not any(s < b and a < e for s, _, e in base):
                 out.append((a, 3, b))
             k = end
@@ -273,11 +361,12 @@ def scan(docs: DataFrame, model: Crf | None = None) -> DataFrame:
 
     @F.pandas_udf(f"array<{span}>")
     def find(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tagger = Tagger(model)
         for texts in parts:
             found = []
             for text in texts:
                 base = base_spans(text)
-                both = sorted(base + (crf_spans(text, model, base) if model.w else []))
+                both = sorted(base + (crf_spans(text, tagger, base) if model.w else []))
                 found.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in both])
             yield pd.Series(found, dtype=object)
 
