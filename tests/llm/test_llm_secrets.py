@@ -70,3 +70,18 @@ def test_training_chains_keep_every_labelled_secret():
     c = S.tokens_of(text)
     marked = [text[c[lo + k][0]:c[lo + k][1]] for lo, _, tags, _ in S.training_chains(text) for k, t in enumerate(tags) if t]
     assert marked == ["correcthorse", "abc", ".", "def+gh"]
+
+
+def test_long_and_dotted_secrets_after_a_number(spark):
+    r = random.Random(21)
+    full = LETTERS + "0123456789"
+    jwt = lambda *sizes: ".".join(code(r, n, full) for n in sizes)
+    kinds = [lambda: code(r, 200, full), lambda: code(r, 200), lambda: jwt(36, 90, 43), lambda: jwt(20, 20, 20, 20, 20), lambda: code(r, 5000) + code(r, 30, full)]
+    rows = [(k, f"{plain(k, 12)} id {r.randrange(10**7, 10**8)} {r.choice(['password=', 'token: '])}{kinds[k % 5]()} {plain(k + 1, 12)}.") for k in range(400)]
+    model = S.train(frame(spark, rows))
+    held, want = [], {}
+    for k in range(50):
+        head, secret = f"{plain(k, 9)} id {r.randrange(10**7, 10**8)} ", kinds[k % 5]()
+        held.append((k, f"{head}{secret} {plain(k + 3, 12)}"))
+        want[k] = [("crf", len(head), len(head) + len(secret))]
+    assert spans(spark, held, model) == want
