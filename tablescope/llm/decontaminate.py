@@ -5,12 +5,14 @@ shingles falls: a window without any shingle of an item has similarity 0 with it
 is left out, and the corpus is read once against the items' shingles. Each window and each item
 gets a 64-bit SimHash of its weighted shingles. Fingerprints are compared by multi-index Hamming
 blocks: RADIUS + 1 blocks, so that two fingerprints within RADIUS bits agree on at least one
-block, and every such pair is found. Candidates are verified exactly on the shingles'
-text: similarity is the sum of the lesser weights over the sum of the greater ones, where a shingle's
+block, and every such pair is found. A fingerprint may lie further off than that at any similarity below 1
+(repeated shingles weigh more, and ties give bit 0), so the pairs of a window and the item whose shingle laid it
+are candidates at any distance. All candidates are verified exactly on the shingles' text: similarity is the sum of the lesser weights over the sum of the greater ones, where a shingle's
 weight is how often it occurs; a hit needs SIMILARITY or more.
 
-At similarity 0.8 two windows of one size share 8 of 9 shingles, so a bit differs with
-probability 0.15 (9.7 of 64 expected, deviation 2.9); RADIUS 19 is over three deviations away.
+At similarity 0.8 two windows of one size without repeated shingles share 8 of 9, so a bit differs with
+probability 0.15 (9.7 of 64 expected, deviation 2.9); RADIUS 19 is over three deviations away. The radius
+decides only on pairs of a window and an item that did not lay it.
 
 Defined results: null and empty texts and items have no words and no hits; an item of fewer than
 five words is one shingle of all its words; a window is clipped to its document. Words are
@@ -65,26 +67,27 @@ def _similarity(a: Column, b: Column) -> Column:
 
 
 def find_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, k, start, nw, words): windows where a shingle of an item of ``nw`` words falls."""
+    """(doc_id, k, start, nw, words, named): windows where a shingle of an item of ``nw`` words falls, and the keys of those items."""
     sizes = sorted(r["n"] for r in items.select(F.least("nw", F.lit(N)).alias("n")).distinct().collect())  # within 1 to N
     found = None
     base = docs.select("doc_id", text_key().alias("k"), words_of(text_of()).alias("words"))
     for n in sizes:
         hashed = lambda words, n=n: _shingles(words, n, lambda s: F.xxhash64(*s))
         own = items.filter((F.col("nw") == n) if n < N else (F.col("nw") >= N))
-        index = checkpoint(own.select("nw", F.posexplode(hashed(F.col("words"))).alias("off", "h")).distinct())
+        index = checkpoint(own.select("ik", "nw", F.posexplode(hashed(F.col("words"))).alias("off", "h")))
         at = base.select("doc_id", "k", F.size("words").alias("size"), F.posexplode(hashed(F.col("words"))).alias("pos", "h"))
         at = at.join(if_small(index, 64), "h").select(
-            "doc_id", "k", "nw", F.greatest(F.lit(0), F.col("pos") - F.col("off")).alias("start"))
+            "doc_id", "k", "nw", F.greatest(F.lit(0), F.col("pos") - F.col("off")).alias("start"), "ik")
         found = at if found is None else found.unionByName(at)
     if found is None:
-        return base.limit(0).select("doc_id", "k", F.lit(0).alias("start"), F.lit(0).alias("nw"), "words")
-    places = checkpoint(found.distinct().groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "nw")).alias("at")))
-    p = if_small(places.select(F.col("doc_id").alias("p_id"), F.col("k").alias("p_k"), "at"), 256)
+        return base.limit(0).select("doc_id", "k", F.lit(0).alias("start"), F.lit(0).alias("nw"), "words", F.array().cast("array<long>").alias("named"))
+    found = found.groupBy("doc_id", "k", "start", "nw").agg(F.collect_set("ik").alias("named"))
+    places = checkpoint(found.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "nw", "named")).alias("at")))
+    p = if_small(places.select(F.col("doc_id").alias("p_id"), F.col("k").alias("p_k"), "at"), 512)
     rows = base.join(p, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("k") == F.col("p_k")))
     rows = rows.dropDuplicates(["doc_id", "k"]) if _repeats(docs, places) else rows
     rows = rows.select("doc_id", "k", "words", F.explode("at").alias("w"))
-    return rows.select("doc_id", "k", "w.start", "w.nw", F.slice("words", F.col("w.start") + 1, F.col("w.nw")).alias("words"))
+    return rows.select("doc_id", "k", "w.start", "w.nw", F.slice("words", F.col("w.start") + 1, F.col("w.nw")).alias("words"), "w.named")
 
 
 def _repeats(docs: DataFrame, places: DataFrame) -> bool:
@@ -99,18 +102,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     """One row per document (doc_id, k) and item with a window of that similarity:
     doc_id, k, item_id, start_word, n_words, hamming, similarity (of its best window, the first of equals)."""
     items = benchmark.select("item_id", words_of(text_of()).alias("words")).withColumn("nw", F.size("words")).filter("nw > 0")
+    items = items.withColumn("ik", F.monotonically_increasing_id())  # a key of the row, fixed by the checkpoint
     items = items.withColumn("shingles", _texts(F.col("words")))
     items = checkpoint(items.withColumn("fp", fingerprint(F.col("shingles"))))
     wins = find_windows(docs, items).withColumn("shingles", _texts(F.col("words"))).drop("words")
     wins = checkpoint(wins.withColumn("fp", fingerprint(F.col("shingles"))))
     # A passage that many documents share gives one fingerprint, compared once.
     mine = wins.select("nw", "fp").distinct().select("nw", "fp", F.posexplode(blocks(F.col("fp"), radius)).alias("block", "value"))
-    theirs = checkpoint(items.select("nw", F.col("fp").alias("ifp"), "item_id", F.posexplode(blocks(F.col("fp"), radius)).alias("block", "value")))
+    theirs = checkpoint(items.select("nw", F.col("fp").alias("ifp"), "ik", F.posexplode(blocks(F.col("fp"), radius)).alias("block", "value")))
     far = F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp")))
     pairs = mine.join(if_small(theirs, 96), ["nw", "block", "value"]).filter(far <= radius)
-    pairs = checkpoint(pairs.select("nw", "fp", "item_id", far.alias("hamming")).distinct())
-    about = items.select("item_id", F.col("shingles").alias("wanted"))
-    checked = (wins.join(if_small(pairs, 64), ["nw", "fp"]).join(about, "item_id")
+    near = checkpoint(pairs.groupBy("nw", "fp").agg(F.collect_set("ik").alias("near")))
+    about = items.select("ik", "item_id", F.col("fp").alias("ifp"), F.col("shingles").alias("wanted"))
+    either = F.array_union("named", F.coalesce("near", F.array().cast("array<long>")))
+    checked = (wins.join(if_small(near, 128), ["nw", "fp"], "left").withColumn("ik", F.explode(either)).join(about, "ik")
+               .withColumn("hamming", far)
                .withColumn("similarity", _similarity(F.col("shingles"), F.col("wanted")))
                .filter(F.col("similarity") >= similarity))
     first = F.struct(-F.col("similarity"), "start")

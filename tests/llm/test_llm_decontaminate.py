@@ -71,3 +71,17 @@ def test_clean_awkward_and_empty_tables(spark):
     kept = D.drop_contaminated(docs, bench(spark, items))
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r in awkward())
+
+
+def test_repetitive_items_are_found_at_any_distance(spark):
+    items, rows = [], []
+    for k in range(48):
+        unit = [f"r{k}x{j}" for j in range(2 + k % 2)]
+        size = 14 + k % 3
+        items.append((k, " ".join((unit * size)[:size])))
+        head = prose(4000 + k, 6) + " "
+        rows += [(3 * k, head + " ".join((unit * size)[:size - 1])), (3 * k + 1, head + " ".join((unit * size)[:size - 1]) + " " + prose(k, 5)),
+                 (3 * k + 2, head + " ".join((unit * size)[:7]) + " " + prose(k, 9))]
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.decontaminate(frame(spark, rows), bench(spark, items)).collect()}
+    assert got == brute(rows, items)
+    assert len(got) >= 48
