@@ -85,3 +85,12 @@ def test_repetitive_items_are_found_at_any_distance(spark):
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.decontaminate(frame(spark, rows), bench(spark, items)).collect()}
     assert got == brute(rows, items)
     assert len(got) >= 48
+
+
+def test_items_with_null_and_repeated_ids(spark):
+    one, two, three = prose(8001, 20), prose(8002, 25), prose(8003, 30)
+    items = [(None, one), (4, two), (4, three)]
+    rows = [(1, "x " + one), (2, "y " + two), (3, three + " z"), (4, prose(8004, 40))]
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.decontaminate(frame(spark, rows), bench(spark, items)).collect()}
+    assert got == {(1, None): 1.0, (2, 4): 1.0, (3, 4): 1.0}
+    assert [r["doc_id"] for r in D.drop_contaminated(frame(spark, rows), bench(spark, items)).collect()] == [4]
