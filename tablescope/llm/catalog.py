@@ -5,6 +5,7 @@ from __future__ import annotations
 from tablescope.llm.byte_bpe import op5_byte_bpe
 from tablescope.llm.decontaminate import op8_decontaminate
 from tablescope.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from tablescope.llm.filter_audit import OP12_SQL, op12_filter_audit
 from tablescope.llm.html_extract import op1_html_extract
 from tablescope.llm.jaccard_join import op6_jaccard_join
 from tablescope.llm.language_id import op2_language_id
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op12_filter_audit": op12_filter_audit,
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op12_filter_audit": OP12_SQL}
