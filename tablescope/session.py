@@ -87,6 +87,13 @@ def checkpoint(df):
     return out
 
 
+def checkpoint_folder(spark: SparkSession, name: str) -> str:
+    """The URI of a new folder for files that a job writes and reads back; deleted with the checkpoint tables."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    _delete_at_end(spark, path)
+    return path
+
+
 def _hadoop(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
