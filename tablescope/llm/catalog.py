@@ -13,6 +13,7 @@ from tablescope.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tablescope.llm.quality import op9_quality
 from tablescope.llm.secret_scan import op7_secret_scan
 from tablescope.llm.sharding import op10_sharding
+from tablescope.llm.warc_index import OP13_SQL, op13_warc_index
 
 QUERIES = {
     "op1_html_extract": op1_html_extract,
@@ -26,5 +27,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
     "op12_filter_audit": op12_filter_audit,
+    "op13_warc_index": op13_warc_index,
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op12_filter_audit": OP12_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op12_filter_audit": OP12_SQL,
+           "op13_warc_index": OP13_SQL}
