@@ -13,6 +13,7 @@ from tablescope.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tablescope.llm.quality import op9_quality
 from tablescope.llm.secret_scan import op7_secret_scan
 from tablescope.llm.sharding import op10_sharding
+from tablescope.llm.spelling import OP11_SQL, op11_spelling_variants
 from tablescope.llm.warc_index import OP13_SQL, op13_warc_index
 
 QUERIES = {
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_filter_audit": op12_filter_audit,
     "op13_warc_index": op13_warc_index,
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op12_filter_audit": OP12_SQL,
-           "op13_warc_index": OP13_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op11_spelling_variants": OP11_SQL,
+           "op12_filter_audit": OP12_SQL, "op13_warc_index": OP13_SQL}
