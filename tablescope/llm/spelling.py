@@ -130,8 +130,8 @@ near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b
 best AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word),
 forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN top END AS form_n,
   CASE WHEN top >= 5 * w.n THEN (SELECT min(other) FROM near WHERE near.word = w.word AND near.other_n = top) END AS form FROM w LEFT JOIN best ON w.word = best.word),
-walk AS (SELECT word, word AS at, 0 AS step FROM forms
-  UNION ALL SELECT walk.word, forms.form, step + 1 FROM walk JOIN forms ON walk.at = forms.word WHERE forms.form IS NOT NULL)
+walk AS (SELECT word, word AS reached, 0 AS step FROM forms
+  UNION ALL SELECT walk.word, forms.form, step + 1 FROM walk JOIN forms ON walk.reached = forms.word WHERE forms.form IS NOT NULL)
 SELECT f.word, f.form, r.root, CAST(f.n AS BIGINT) AS n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
-FROM forms f JOIN (SELECT word, arg_max(at, step) AS root FROM walk GROUP BY word) r ON f.word = r.word
+FROM forms f JOIN (SELECT word, arg_max(reached, step) AS root FROM walk GROUP BY word) r ON f.word = r.word
 """
