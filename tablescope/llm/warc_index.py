@@ -312,7 +312,7 @@ _RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("p
 
 
 def read_captures(places: DataFrame, folder: str) -> DataFrame:
-    """Read the records at ``places`` (file, at, size) and parse them; one row per place."""
+    """Read the records at ``places`` (file, at, size), a written table, and parse them; one row per place."""
     prepare(places.sparkSession)
 
     def fetch(batches):
@@ -328,7 +328,10 @@ def read_captures(places: DataFrame, folder: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_RECORD)
 
-    return places.select("file", "at", "size").repartition("file").sortWithinPartitions("file", "at").mapInArrow(fetch, RECORD)
+    # Places are small rows of much work: as many tasks as the archives hold files, which no coalescing of small shuffles reduces.
+    total = places.agg(F.sum("size")).first()[0] or 0
+    tasks = max(places.sparkSession.sparkContext.defaultParallelism, -(-total // FILE_BYTES))
+    return places.select("file", "at", "size").repartition(tasks, "file").sortWithinPartitions("file", "at").mapInArrow(fetch, RECORD)
 
 
 def archive_and_read(pages: DataFrame, folder: str, **options) -> DataFrame:
