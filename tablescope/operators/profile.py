@@ -6,10 +6,10 @@ median counts bucketed rows in narrowing rounds (``median.exact_median``): no ex
 rows × columns, and the plan is the same at every size. ``median="approximate"`` takes
 ``percentile_approx`` in the wide aggregate instead.
 
-Text (A12–A16, O1–O3): the text columns are stacked into (column, value) and counted
-once, ``groupBy(column, value)``; distinct count, top count and missing count are one hash
-aggregate of those counts, and the most common value (count desc, then smallest value) is the
-least value among the rows that reach the top count.
+Text (A12–A16, O3): the text columns are stacked into (column, value) and counted by hash
+(``top.most_common``): distinct count, top count and missing count come from those counts, and only texts that
+may be a column's most common value (count desc, then smallest value) are looked up. ``value_counts`` (O1, O2) lists
+the values themselves.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from ..session import checkpoint as _ckpt
 from ..functions.numbers import nan_is_missing
 from . import schema as S
 from .median import exact_median
+from .top import most_common
 
 NUMERIC_SCHEMA = ("position int, column_name string, row_count bigint, mean double, median double, "
                   "min double, max double, std double, missing bigint")
@@ -107,26 +108,6 @@ def value_counts(df: DataFrame, columns=None, keys=(), include_missing: bool = F
     return vc.select(*[F.col(k).alias(keys[i]) for i, k in enumerate(ks)], "position", "column_name", "value", "n")
 
 
-def top_values(counts: DataFrame, g, *extra: Column) -> DataFrame:
-    """(g..., top, top_n, extra...) from ``counts`` = (g..., value, n): the most frequent non-null
-    value, ties to the smallest, and its count (0 when there is none). A hash aggregate finds the top count; the
-    values that reach it are few rows, of which a second aggregate takes the least. ``counts`` is
-    read twice: pass a written table, or one whose exchange both reads share."""
-    keys = [qcol(k) for k in g]
-    n = F.when(F.col("value").isNotNull(), F.col("n"))
-    best = counts.groupBy(*keys).agg(F.coalesce(F.max(n), F.lit(0)).alias("top_n"), *extra)
-    b = best.select(*[qcol(k).alias(f"_b{i}") for i, k in enumerate(g)], F.col("top_n").alias("_bn"))
-    on = F.col("n") == F.col("_bn")
-    for i, k in enumerate(g):
-        on = on & qcol(k).eqNullSafe(F.col(f"_b{i}"))
-    reach = counts.where(F.col("value").isNotNull()).join(b, on).select(*keys, "value")
-    least = reach.groupBy(*[qcol(k).alias(f"_t{i}") for i, k in enumerate(g)]).agg(F.min("value").alias("top"))
-    on = F.lit(True)
-    for i, k in enumerate(g):
-        on = on & qcol(k).eqNullSafe(F.col(f"_t{i}"))
-    return best.join(least, on, "left").drop(*[f"_t{i}" for i in range(len(g))])
-
-
 def profile_categorical(df: DataFrame, columns=None, keys=()) -> DataFrame:
     """(keys..., position, column_name, unique_values, most_common, most_common_count, missing)."""
     keys = list(keys)
@@ -141,9 +122,7 @@ def profile_categorical(df: DataFrame, columns=None, keys=()) -> DataFrame:
     args = [F.lit(len(cols))]
     for i, c in enumerate(cols):
         args += [F.lit(pos[c]), F.col(f"_c{i}")]
-    vc = named.select(*ks, F.stack(*args).alias("position", "value")).groupBy(*ks, "position", "value").agg(F.count(F.lit(1)).alias("n"))
-    missing = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing")
-    prof = top_values(_ckpt(vc), [*ks, "position"], F.count("value").alias("unique_values"), missing)
+    prof = most_common(named.select(*ks, F.stack(*args).alias("position", "value")), [*ks, "position"])
     names = F.create_map(*[x for c in cols for x in (F.lit(pos[c]), F.lit(c))])
     prof = prof.select(*[F.col(k).alias(keys[i]) for i, k in enumerate(ks)], "position", names[F.col("position")].alias("column_name"),
                        "unique_values", F.col("top").alias("most_common"), F.col("top_n").alias("most_common_count"), "missing")
