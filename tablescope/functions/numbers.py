@@ -21,7 +21,7 @@ MISSING_MARKERS = (
 
 def comma_to_dot(c: Column) -> Column:
     """Every ',' becomes '.', also in text that stays text."""
-    return F.translate(c, ",", ".")
+    return F.replace(c, F.lit(","), F.lit("."))
 
 
 def is_number_text(c: Column) -> Column:

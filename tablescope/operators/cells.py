@@ -5,6 +5,7 @@ scan emits, or any table stacked the same way. The first row of a dataset is its
 Every step is keyed by ``dataset_id`` (and ``position``), so a thousand workbooks are one job
 graph and no decision goes through the driver:
 
+* cells are written once with a type vote each (``votes``); votes merge by column, before and after copies go;
 * columns: one aggregate by (dataset, position) gives the header name, how many cells are present and how a
   reader would type them; blank names → ``Unnamed: i``, repeats → ``name.1`` (window per dataset
   and name, bounded by the header width);
@@ -29,14 +30,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import INTEGER_PATTERN, NUMBER_PATTERN, integer_range, markers_to_null
+from ..functions.numbers import comma_to_dot, markers_to_null
 from ..session import checkpoint as _ckpt
 from . import schema as S
+from . import votes as VT
 from .median import exact_median
-from .profile import top_values
+from .top import most_common
 
-#: Texts that a reader takes for booleans when a whole column has no others.
-BOOLEAN_TEXTS = ("True", "TRUE", "true", "False", "FALSE", "false")
 _BROADCAST_BYTES = 32 << 20
 
 
@@ -51,50 +51,54 @@ def _tag_header(cells: DataFrame) -> DataFrame:
 
 
 def _prepare(cells: DataFrame) -> DataFrame:
-    """Cells with header tags; marker texts and error cells are missing."""
-    return _tag_header(cells).withColumn("value", F.when(F.col("kind") != "e", markers_to_null(F.col("value"))))
+    """Cells with header tags and type votes, written once; marker texts and error cells are missing."""
+    tagged = _tag_header(cells).withColumn("value", F.when(F.col("kind") != "e", markers_to_null(F.col("value"))))
+    return _ckpt(tagged.select("dataset_id", "row_no", "position", "value", "is_header",
+                               F.when(~F.col("is_header"), VT.vote(F.col("value"), F.col("kind"))).alias("vote")))
 
 
 def _columns(c: DataFrame) -> DataFrame:
-    """(dataset_id, position, column_name, seen, and how a reader types the column) from one aggregate."""
-    v = F.when(~F.col("is_header"), F.col("value"))
-    number = F.col("kind").isin("n", "s") & v.rlike(NUMBER_PATTERN)
+    """(dataset_id, position, column_name, seen, every, some) from one aggregate."""
     facts = c.groupBy("dataset_id", "position").agg(
-        F.max(F.when(F.col("is_header"), F.col("value"))).alias("raw_name"), F.count(v).alias("seen"),
-        F.bool_and(number).alias("r_num"), F.bool_and(v.rlike(INTEGER_PATTERN)).alias("r_int"),
-        F.max(F.when(v.rlike(INTEGER_PATTERN), integer_range(v))).alias("r_range"))
+        F.max(F.when(F.col("is_header"), F.col("value"))).alias("raw_name"), F.count("vote").alias("seen"), *VT.tally(F.col("vote"), "every", "some"))
     named = facts.withColumn("base", F.coalesce(F.nullif(F.col("raw_name"), F.lit("")),
                                                 F.concat(F.lit("Unnamed: "), (F.col("position") - 1).cast("string"))))
     k = F.row_number().over(Window.partitionBy("dataset_id", "base").orderBy("position")) - 1
     return _ckpt(named.select(
-        "dataset_id", "position", "seen", "r_num", "r_int", "r_range",
+        "dataset_id", "position", "seen", "every", "some",
         F.when(k == 0, F.col("base")).otherwise(F.concat(F.col("base"), F.lit("."), k.cast("string"))).alias("column_name")))
 
 
+def _header_sized(df: DataFrame, written: DataFrame) -> DataFrame:
+    """``df``, with at most the rows of ``written``, marked for broadcast if those are few; beyond the bound it is shuffled."""
+    return F.broadcast(df) if written.count() * 96 <= _BROADCAST_BYTES else df
+
+
 def _rows(c: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((dataset_id, rows_in, rows_out) for every dataset, (dataset_id, row_no) of the rows to drop)."""
     body = c.where(~F.col("is_header"))
-    total = body.groupBy("dataset_id").agg(F.count_distinct("row_no").alias("n_rows"))
-    how = columns.select("dataset_id", "position", "seen", "r_num", "r_int", "r_range").join(total, "dataset_id").select(
-        "dataset_id", "position",
-        F.when(~F.coalesce("r_num", F.lit(False)) | (F.coalesce("r_range", F.lit(0)) == 2), F.lit("text"))
-        .when(F.col("r_int") & (F.col("seen") == F.col("n_rows")), F.lit("whole")).otherwise(F.lit("double")).alias("how"))
-    how = _ckpt(how)
-    if how.count() * 96 <= _BROADCAST_BYTES:  # header-sized; beyond the bound it is shuffled
-        how = F.broadcast(how)
+    every, some = F.col("every"), F.col("some")
+    number, whole = VT.is_number(every, some, as_read=True), VT.has(every, VT.INTEGER)
+    how = columns.select("dataset_id", "position", "seen", "every", "some")
+    if columns.where(number & whole & VT.has(some, VT.INEXACT)).isEmpty():
+        full = F.lit(True)  # every whole number is the same value read as a whole or as a double
+    else:
+        how = how.join(body.groupBy("dataset_id").agg(F.count_distinct("row_no").alias("n_rows")), "dataset_id")
+        full = F.col("seen") == F.col("n_rows")
+    how = how.select("dataset_id", "position", F.when(~number, F.lit("text")).when(whole & full, F.lit("whole")).otherwise(F.lit("double")).alias("how"))
     v = F.col("value")
     typed = (F.when(F.col("how") == "whole", F.coalesce(F.trim(v).try_cast("decimal(20,0)").cast("string"), v))
              .when(F.col("how") == "double", F.coalesce(F.trim(v).try_cast("double").cast("string"), v)).otherwise(v))
     h = lambda seed: F.bit_xor(F.when(v.isNotNull(), F.xxhash64(F.lit(seed), "position", "typed")))
-    rows = _ckpt(body.join(how, ["dataset_id", "position"]).withColumn("typed", typed).groupBy("dataset_id", "row_no").agg(
+    rows = _ckpt(body.join(_header_sized(how, columns), ["dataset_id", "position"]).withColumn("typed", typed).groupBy("dataset_id", "row_no").agg(
         F.coalesce(h(1), F.lit(0)).alias("h1"), F.coalesce(h(2), F.lit(0)).alias("h2"), F.count(v).alias("n")))
     groups = _ckpt(rows.groupBy("dataset_id", "h1", "h2", "n").agg(F.min("row_no").alias("stays"), F.count(F.lit(1)).alias("copies")))
     copies = groups.where("copies > 1").select("dataset_id", "h1", "h2", "n", "stays")
     drop = _ckpt(rows.join(copies, ["dataset_id", "h1", "h2", "n"]).where("row_no <> stays").select("dataset_id", "row_no"))
     counts = groups.groupBy("dataset_id").agg(F.sum("copies").cast("bigint").alias("rows_in"), F.count(F.lit(1)).alias("rows_out"))
-    every = columns.select("dataset_id").distinct().join(counts, "dataset_id", "left")
-    return _ckpt(every.select("dataset_id", F.coalesce("rows_in", F.lit(0)).cast("bigint").alias("rows_in"),
-                              F.coalesce("rows_out", F.lit(0)).cast("bigint").alias("rows_out"))), drop
+    every_one = columns.select("dataset_id").distinct().join(counts, "dataset_id", "left")
+    return _ckpt(every_one.select("dataset_id", F.coalesce("rows_in", F.lit(0)).cast("bigint").alias("rows_in"),
+                                  F.coalesce("rows_out", F.lit(0)).cast("bigint").alias("rows_out"))), drop
 
 
 def _summary(columns: DataFrame, counts: DataFrame) -> DataFrame:
@@ -112,37 +116,55 @@ def cleaning_summary(cells: DataFrame) -> DataFrame:
 
 
 def _distinct_cells(c: DataFrame, drop: DataFrame) -> DataFrame:
-    body = c.where(~F.col("is_header") & F.col("value").isNotNull()).select("dataset_id", "row_no", "position", "kind", "value")
+    """The present cells of the rows that stay. Without rows to drop that are too many to broadcast, nothing is written."""
+    body = c.where(~F.col("is_header") & F.col("value").isNotNull()).select("dataset_id", "row_no", "position", "value", "vote")
     if drop.count() * 64 <= _BROADCAST_BYTES:
-        drop = F.broadcast(drop)
+        return body.join(F.broadcast(drop), ["dataset_id", "row_no"], "left_anti")
     return _ckpt(body.join(drop, ["dataset_id", "row_no"], "left_anti"))
 
 
 def _classes(dcells: DataFrame, columns: DataFrame, counts: DataFrame) -> DataFrame:
     """One row per (dataset, column): its class after cleaning and its gaps. Header-sized, written once."""
-    text_value = F.translate(F.col("value"), ",", ".")
-    whole = text_value.rlike(INTEGER_PATTERN)
-    kinds = (dcells.groupBy("dataset_id", "position")
-             .agg(F.count(F.lit(1)).alias("present"),
-                  F.bool_and(F.col("kind").isin("n", "s") & text_value.rlike(NUMBER_PATTERN)).alias("is_num"),
-                  F.max(F.when(whole, integer_range(text_value))).alias("range"),
-                  F.bool_and((F.col("kind") == "b") | F.col("value").isin(*BOOLEAN_TEXTS)).alias("is_bool"),
-                  F.bool_and(F.col("kind") == "d").alias("is_date")))
+    kinds = dcells.groupBy("dataset_id", "position").agg(F.count(F.lit(1)).alias("present"), *VT.tally(F.col("vote"), "every", "some"))
     cols = (columns.select("dataset_id", "position", "column_name").join(kinds, ["dataset_id", "position"], "left")
             .join(counts, "dataset_id")
-            .withColumn("cls", F.when(F.col("present").isNull(), F.lit("empty"))
-                        .when(F.col("is_num") & (F.coalesce("range", F.lit(0)) < 2), F.lit("numeric"))
-                        .when(F.col("is_bool"), F.lit("bool"))
-                        .when(F.col("is_date"), F.lit("date")).otherwise(F.lit("text")))
-            .withColumn("gaps", F.col("rows_out") - F.coalesce(F.col("present"), F.lit(0))))
+            .withColumn("cls", VT.cleaned_class(F.col("every"), F.col("some")))
+            .withColumn("gaps", F.col("rows_out") - F.coalesce(F.col("present"), F.lit(0)))
+            .drop("every", "some"))
     types = S.detect_types(cols.where(F.col("cls") != "empty").select("dataset_id", "column_name"))
     return _ckpt(cols.join(types, "dataset_id", "left").withColumn("detected_type", F.coalesce("detected_type", F.lit("unknown"))))
 
 
+def _numeric_cells(dcells: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((dataset_id, position, value) of the present cells of the numeric columns ``classes``, written, as the median reads
+    them in several passes; and their moments before any fill)."""
+    key = ["dataset_id", "position"]
+    x = F.trim(comma_to_dot(F.col("value"))).try_cast("double")
+    values = _ckpt(dcells.join(classes.select(*key), key, "left_semi").select(*key, x.alias("value")))
+    moments = values.groupBy(*key).agg(
+        F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.var_samp("value").alias("_var"), F.count("value").alias("_n"))
+    return values, moments
+
+
+def _text_cells(dcells: DataFrame, classes: DataFrame) -> DataFrame:
+    key = ["dataset_id", "position"]
+    return dcells.join(classes.select(*key), key, "left_semi").select(*key, comma_to_dot(F.col("value")).alias("value"))
+
+
+#: Shares into which a dataset's rows are dealt when they meet the dataset's gap columns.
+_SHARES = 64
+
+
 def cleaned_cells(cells: DataFrame) -> DataFrame:
     """The cleaned cells of many datasets: (dataset_id, row_no, position, column_name, cls, value), copies and empty
     columns gone, commas as dots, gaps filled with the column's mean or most frequent value. Boolean
-    and date gaps stay missing (no row)."""
+    and date gaps stay missing (no row).
+
+    A row's gaps come from the set of its present positions (at most a header's width): those of its dataset's gap
+    columns that the set lacks. The gap columns with their fills are one row per dataset, laid out once for each of
+    ``_SHARES`` shares of rows, so that a dataset with a third of all rows is dealt evenly.
+    """
     c = _prepare(cells)
     columns = _columns(c)
     counts, drop = _rows(c, columns)
@@ -150,17 +172,50 @@ def cleaned_cells(cells: DataFrame) -> DataFrame:
     kept = _classes(dcells, columns, counts).where(F.col("cls") != "empty").select("dataset_id", "position", "column_name", "cls", "gaps")
     key = ["dataset_id", "position"]
     v = F.col("value")
-    clean = dcells.join(kept, key).withColumn("value", F.when(F.col("cls").isin("numeric", "text"), F.translate(v, ",", ".")).otherwise(v))
-    gaps = kept.where((F.col("gaps") > 0) & F.col("cls").isin("numeric", "text"))
-    with_gaps = clean.join(gaps.select(*key), key, "left_semi")
-    means = with_gaps.where("cls = 'numeric'").groupBy(*key).agg(F.avg(F.trim(v).try_cast("double")).cast("string").alias("fill"))
-    modes = top_values(_ckpt(with_gaps.where("cls = 'text'").groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n"))), key).select(*key, F.col("top").alias("fill"))
-    rows = c.where(~F.col("is_header")).select("dataset_id", "row_no").distinct().join(drop, ["dataset_id", "row_no"], "left_anti")
-    holes = (rows.join(gaps.drop("gaps"), "dataset_id").join(dcells.select("dataset_id", "row_no", "position"), ["dataset_id", "row_no", "position"], "left_anti")
-             .join(means.unionByName(modes), key).select("dataset_id", "row_no", "position", "column_name", "cls", F.col("fill").alias("value")))
+    clean = dcells.join(_header_sized(kept.drop("gaps"), columns), key).withColumn("value", F.when(F.col("cls").isin("numeric", "text"), comma_to_dot(v)).otherwise(v))
+    gaps = kept.where(F.col("gaps") > 0)
+    _, moments = _numeric_cells(dcells, gaps.where("cls = 'numeric'"))
+    modes = most_common(_ckpt(_text_cells(dcells, gaps.where("cls = 'text'"))), key)
+    fills = moments.select(*key, F.col("mean").cast("string").alias("fill")).unionByName(modes.select(*key, F.col("top").alias("fill")))
+    fills = (gaps.join(fills, key).groupBy("dataset_id").agg(F.collect_list(F.struct("position", "column_name", "cls", "fill")).alias("_fills"))
+             .withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1)))))
+    rows = (c.where(~F.col("is_header")).groupBy("dataset_id", "row_no").agg(F.collect_set(F.when(v.isNotNull(), F.col("position"))).alias("_present"))
+            .join(F.broadcast(drop) if drop.count() * 64 <= _BROADCAST_BYTES else drop, ["dataset_id", "row_no"], "left_anti")
+            .withColumn("_share", F.pmod(F.xxhash64("row_no"), F.lit(_SHARES)).cast("int")))
+    lacking = F.filter("_fills", lambda f: ~F.array_contains(F.col("_present"), f["position"]))
+    holes = (rows.join(fills, ["dataset_id", "_share"]).select("dataset_id", "row_no", F.explode(lacking).alias("f"))
+             .select("dataset_id", "row_no", "f.position", "f.column_name", "f.cls", F.col("f.fill").alias("value")))
     return clean.select("dataset_id", "row_no", "position", "column_name", "cls", "value").unionByName(holes)
 
 
+def _numeric_profile(dcells: DataFrame, kept: DataFrame, **median_opts) -> DataFrame:
+    """Statistics of the numeric columns after the mean fill. Identifiers are left out of student datasets."""
+    key = ["dataset_id", "position"]
+    num_cols = (kept.where(F.col("cls") == "numeric")
+                .where(~((F.col("detected_type") == "student") & S.is_identifier_name(F.col("column_name")))))
+    values, moments = _numeric_cells(dcells, num_cols)
+    stats = num_cols.select(*key, "column_name", "rows_out", "gaps").join(moments, key)
+    # After the mean fill: same mean/min/max; squared deviations unchanged, spread over all rows.
+    m2 = F.coalesce(F.col("_var") * (F.col("_n") - 1), F.lit(0.0))
+    stats = _ckpt(stats.withColumn("std", F.when(F.col("rows_out") > 1, F.sqrt(m2 / (F.col("rows_out") - 1)))))
+    fill_rows = stats.where(F.col("gaps") > 0).select(*key, F.col("mean").alias("value"), F.col("gaps").alias("w"))
+    weighted = values.select(*key, "value", F.lit(1).cast("bigint").alias("w")).unionByName(fill_rows)
+    med = exact_median(weighted, key, weight_col="w", **median_opts)
+    return stats.join(med, key, "left").select(
+        *key, "column_name", F.col("rows_out").alias("row_count"), "mean", "median",
+        "min", "max", "std", F.lit(0).cast("bigint").alias("missing"))
+
+
+def _categorical_profile(dcells: DataFrame, kept: DataFrame) -> DataFrame:
+    """Text columns: values counted once, by hash; the mode fill adds the gaps to the mode."""
+    key = ["dataset_id", "position"]
+    txt_cols = kept.where(F.col("cls") == "text").select(*key, "column_name", "gaps")
+    top = most_common(_text_cells(dcells, txt_cols), key)
+    return txt_cols.join(top, key).select(
+        *key, "column_name", "unique_values", F.col("top").alias("most_common"),
+        (F.col("top_n") + F.col("gaps")).alias("most_common_count"), F.lit(0).cast("bigint").alias("missing"))
+
+
 def profile_cells(cells: DataFrame, materialize: bool = True, **median_opts):
     """(datasets, numeric, categorical, clean_summary) for every dataset in ``cells``.
 
@@ -171,7 +226,6 @@ def profile_cells(cells: DataFrame, materialize: bool = True, **median_opts):
     columns = _columns(c)
     counts, drop = _rows(c, columns)
     dcells = _distinct_cells(c, drop)
-    text_value = F.translate(F.col("value"), ",", ".")
     cols = _classes(dcells, columns, counts)
     kept = cols.where(F.col("cls") != "empty")
     ds = (cols.groupBy("dataset_id", "rows_out", "detected_type")
@@ -180,45 +234,22 @@ def profile_cells(cells: DataFrame, materialize: bool = True, **median_opts):
                   F.size("_c").cast("int").alias("column_count"),
                   F.transform("_c", lambda s: s["column_name"]).alias("columns"), "detected_type"))
     summary = _summary(columns, counts)
-
-    # Numeric columns of the profile: identifiers are left out of student datasets.
-    num_cols = (kept.where(F.col("cls") == "numeric")
-                .where(~((F.col("detected_type") == "student") & S.is_identifier_name(F.col("column_name")))))
-    x = F.trim(text_value).try_cast("double")
-    nvals = dcells.join(num_cols.select("dataset_id", "position"), ["dataset_id", "position"], "left_semi") \
-        .select("dataset_id", "position", x.alias("value"))
-    moments = nvals.groupBy("dataset_id", "position").agg(
-        F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.var_samp("value").alias("_var"), F.count("value").alias("_n"))
-    stats = num_cols.select("dataset_id", "position", "column_name", "rows_out", "gaps").join(
-        moments, ["dataset_id", "position"])
-    # After the mean fill: same mean/min/max; squared deviations unchanged, spread over all rows.
-    m2 = F.coalesce(F.col("_var") * (F.col("_n") - 1), F.lit(0.0))
-    stats = stats.withColumn("std", F.when(F.col("rows_out") > 1, F.sqrt(m2 / (F.col("rows_out") - 1))))
-    fill_rows = stats.where(F.col("gaps") > 0).select("dataset_id", "position", F.col("mean").alias("value"),
-                                                      F.col("gaps").alias("w"))
-    weighted = nvals.select("dataset_id", "position", "value", F.lit(1).cast("bigint").alias("w")) \
-        .unionByName(fill_rows)
-    med = exact_median(weighted, ["dataset_id", "position"], weight_col="w", **median_opts)
-    num = stats.join(med, ["dataset_id", "position"], "left").select(
-        "dataset_id", "position", "column_name", F.col("rows_out").alias("row_count"), "mean", "median",
-        "min", "max", "std", F.lit(0).cast("bigint").alias("missing"))
-
-    # Text columns: value counts once; the mode fill adds the gaps to the mode.
-    txt_cols = kept.where(F.col("cls") == "text").select("dataset_id", "position", "column_name", "gaps")
-    vc = (dcells.join(txt_cols.select("dataset_id", "position"), ["dataset_id", "position"], "left_semi")
-          .groupBy("dataset_id", "position", text_value.alias("value")).agg(F.count(F.lit(1)).alias("n")))
-    top = top_values(_ckpt(vc), ["dataset_id", "position"], F.count(F.lit(1)).alias("unique_values"))
-    cat = txt_cols.join(top, ["dataset_id", "position"]).select(
-        "dataset_id", "position", "column_name", "unique_values",
-        F.col("top").alias("most_common"),
-        (F.col("top_n") + F.col("gaps")).alias("most_common_count"),
-        F.lit(0).cast("bigint").alias("missing"))
+    num = _numeric_profile(dcells, kept, **median_opts)
+    cat = _categorical_profile(dcells, kept)
     if materialize:
         ds, num, cat, summary = (_ckpt(d) for d in (ds, num, cat, summary))
     return ds, num, cat, summary
 
 
+def numeric_profile_cells(cells: DataFrame, **median_opts) -> DataFrame:
+    """The numeric part of ``profile_cells`` alone."""
+    c = _prepare(cells)
+    columns = _columns(c)
+    counts, drop = _rows(c, columns)
+    dcells = _distinct_cells(c, drop)
+    return _numeric_profile(dcells, _classes(dcells, columns, counts).where(F.col("cls") != "empty"), **median_opts)
+
+
 def stack_table(df: DataFrame, dataset_col: str, row_col: str, data_cols=None) -> DataFrame:
     """A wide table as cells: one dataset per value of ``dataset_col``, a header row 0, and one
     cell per present value (numbers as kind 'n', text as 's'); the first column's cell is always
@@ -229,7 +260,7 @@ def stack_table(df: DataFrame, dataset_col: str, row_col: str, data_cols=None) -
     cols = list(data_cols) if data_cols is not None else [c for c in df.columns if c not in (dataset_col, row_col)]
     kind = {f.name: ("n" if isinstance(f.dataType, S.NUMERIC_TYPES) else
                      "b" if isinstance(f.dataType, T.BooleanType) else
-                     "d" if isinstance(f.dataType, (T.DateType, T.TimestampType)) else "s")
+                     "d" if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "s")
             for f in df.schema.fields}
     cells = F.array(*[F.struct(F.lit(i + 1).alias("position"), qcol(c).cast("string").alias("value"),
                                F.lit(kind[c]).alias("kind")) for i, c in enumerate(cols)])

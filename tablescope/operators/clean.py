@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import qcol
-from ..functions.numbers import (blank_is_missing, comma_to_dot, integer_range, is_integer_text, is_number_text,
-                                 nan_is_missing, text_to_double, text_to_long, text_to_unsigned)
+from ..functions.numbers import (blank_is_missing, comma_to_dot, nan_is_missing, text_to_double, text_to_long,
+                                 text_to_unsigned)
 from . import schema as S
-from .profile import top_values, value_counts
+from . import votes as VT
+from .top import most_common
 from ..session import checkpoint as _ckpt
 from ..session import release as _release
 
@@ -85,23 +86,9 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     return df.drop(*empty_columns(df)) if df.columns else df
 
 
-def _text_flags(c: str, i: int) -> list:
-    """Per-row values of a text column's checks, computed once in a projection below the
-    aggregate (the aggregate reads them several times)."""
-    present = blank_is_missing(comma_to_dot(qcol(c)))
-    whole = is_integer_text(present)
-    return [present.alias(f"_tp{i}"), is_number_text(present).alias(f"_tn{i}"), whole.alias(f"_ti{i}"),
-            F.when(whole, integer_range(present)).alias(f"_tr{i}")]
-
-
 def _text_checks(i: int) -> list:
-    p, n, k = F.col(f"_tp{i}"), F.col(f"_tn{i}"), F.col(f"_ti{i}")
-    return [
-        F.bool_and(p.isNull() | n).alias(f"_num{i}"),
-        F.bool_and(p.isNotNull() & k).alias(f"_int{i}"),
-        F.count_if(p.isNull()).alias(f"_blank{i}"),
-        F.max(f"_tr{i}").alias(f"_range{i}"),
-    ]
+    """Aggregates of a text column's votes, computed once per row in a projection below (``_v{i}``; null: a gap)."""
+    return [*VT.tally(F.col(f"_v{i}"), f"_every{i}", f"_some{i}"), F.count(f"_v{i}").alias(f"_seen{i}")]
 
 
 @dataclass
@@ -123,24 +110,26 @@ def conversion_plan(df: DataFrame, extra=(), source: DataFrame | None = None) ->
     texts = set(S.text_columns(df))
     nums = set(S.numeric_columns(df))
     aggs = [F.count(F.lit(1)).alias("_rows"), *extra]
-    flags = []
+    votes, types = [], []
     for i, c in enumerate(df.columns):
         aggs.append(F.count(_present(df, c)).alias(f"_nn{i}"))
         if c in texts:
-            flags += _text_flags(c, i)
+            votes.append(VT.vote(blank_is_missing(qcol(c))).alias(f"_v{i}"))
             aggs += _text_checks(i)
+            every, some = F.col(f"_every{i}"), F.col(f"_some{i}")
+            # Whole numbers beyond 64 bits are refused: the column stays text and loses nothing.
+            types.append(F.when((F.col(f"_nn{i}") > 0) & (VT.is_number(every, some) | (F.col(f"_seen{i}") == 0)),
+                                VT.number_type(every, some, F.col(f"_seen{i}") == F.col("_rows"))).alias(f"_type{i}"))
         elif c in nums:
             aggs.append(F.count_if(_num(df, c).isNull()).alias(f"_gap{i}"))
-    r = (source if source is not None else df).select("*", *flags).agg(*aggs).first()
+    r = (source if source is not None else df).select("*", *votes).agg(*aggs).select("*", *types).first()
     rows = r["_rows"]
     nonnull = {c: r[f"_nn{i}"] for i, c in enumerate(df.columns)}
     targets, gaps = {}, {}
     for i, c in enumerate(df.columns):
         if c in texts:
-            # Whole numbers beyond 64 bits are refused: the column stays text and loses nothing.
-            if nonnull[c] > 0 and r[f"_num{i}"] and r[f"_range{i}"] != 2:
-                targets[c] = "double" if not r[f"_int{i}"] else "bigint" if r[f"_range{i}"] == 0 else "decimal(20,0)"
-                gaps[c] = r[f"_blank{i}"]
+            if r[f"_type{i}"]:
+                targets[c], gaps[c] = r[f"_type{i}"], rows - r[f"_seen{i}"]
             else:
                 gaps[c] = rows - nonnull[c]
         elif c in nums:
@@ -176,10 +165,9 @@ def fill_values(df: DataFrame, numeric_cols: list[str], text_cols: list[str]) ->
         r = df.agg(*[F.avg(_num(df, c)).alias(f"_m{i}") for i, c in enumerate(numeric_cols)]).first()
         values.update({c: r[f"_m{i}"] for i, c in enumerate(numeric_cols)})
     if text_cols:
-        vc = _ckpt(value_counts(df, text_cols).select("position", "value", "n"))
-        pos = S.positions(df)
-        found = {r["position"]: r["top"] for r in top_values(vc, ["position"]).collect()}  # one row per column
-        found = {c: found.get(pos[c]) for c in text_cols}
+        cells = F.array(*[F.struct(F.lit(i).alias("position"), qcol(c).alias("value")) for i, c in enumerate(text_cols)])
+        tops = {r["position"]: r["top"] for r in most_common(df.select(F.inline(cells)), ["position"]).collect()}  # one row per column
+        found = {c: tops.get(i) for i, c in enumerate(text_cols)}
         values.update({c: found.get(c) if found.get(c) is not None else "" for c in text_cols})
     return values
 

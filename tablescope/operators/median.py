@@ -11,16 +11,19 @@ the rows themselves:
 2. The bucket that holds the middle ranks, by running counts, is the next bracket, with the least
    and greatest value found in it as its ends. Ranks that fall in two buckets, or a bracket of one
    value, end the group's search.
-3. Once no open bracket holds more than ``finish_rows`` rows, the values inside the brackets are
-   counted and the middle ones picked in value order.
+3. A group leaves the rounds as soon as its bracket holds at most ``finish_rows`` rows (a small group at once).
+   After the last round one pass counts the values inside the brackets of all these groups, and the middle ones are
+   picked in value order.
 
-The plan is the same at every size; only the number of rounds grows, by the logarithm of a
-group's rows. State is one row per open group: it is broadcast when its size is small and
+The plan is the same at every size; only the number of rounds grows, by the logarithm of the largest
+group's rows, and only groups above ``finish_rows`` take part in a round. State is one row per open group: it is broadcast when its size is small and
 shuffled by group otherwise. The result is exact (mean of the two middle values for an even count).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,22 +85,18 @@ def exact_median(long_df: DataFrame, group_cols, value_col: str = "value", weigh
         *keys, "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.floor((F.col("_n") - 1) / 2).alias("r1"),
         F.floor(F.col("_n") / 2).alias("r2"), F.col("_n").alias("inside"),
         F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("median")))
-    results, first = [], True
+    results, waiting, first = [], [], True
     while True:
         results.append(state.where(F.col("median").isNotNull()).select(*keys, "median"))
         left = state.where(F.col("median").isNull())
-        n_open, most = left.agg(F.count(F.lit(1)), F.max("inside")).first()
+        n_small, n_open = left.agg(F.count_if(F.col("inside") <= finish_rows), F.count_if(F.col("inside") > finish_rows)).first()
+        if n_small:
+            # Their brackets hold few rows: they wait for the one pass that finishes all such groups.
+            waiting.append((left.where(F.col("inside") <= finish_rows).select(*keys, "lo", "hi", "below", "r1", "r2"), n_small))
         if not n_open:
             break
-        inside = _inside(rows, left, g, n_open)
-        if not first and most <= finish_rows:
-            counts = inside.groupBy(*keys, "_x", "below", "r1", "r2").agg(F.sum("_w").alias("_n"))
-            ranked, one, two = _select(counts, g, "_x")
-            picked = ranked.where(one | two).groupBy(*keys).agg(
-                ((F.max(F.when(one, F.col("_x"))) + F.max(F.when(two, F.col("_x")))) / 2).alias("median"))
-            results.append(picked)
-            break
-        hist = (inside.withColumn("_b", _bucket(F.col("_x"), first, buckets))
+        left = left.where(F.col("inside") > finish_rows)
+        hist = (_inside(rows, left, g, n_open).withColumn("_b", _bucket(F.col("_x"), first, buckets))
                 .groupBy(*keys, "_b", "below", "r1", "r2")
                 .agg(F.sum("_w").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")))
         ranked, one, two = _select(hist, g, "_b")
@@ -109,6 +108,12 @@ def exact_median(long_df: DataFrame, group_cols, value_col: str = "value", weigh
             F.when(F.col("lo") != F.col("_lo2"), (F.col("hi") + F.col("_lo2")) / 2)
             .when(F.col("lo") == F.col("hi"), F.col("lo")).alias("median")))
         first = False
+    if waiting:
+        brackets = reduce(DataFrame.unionByName, [w for w, _ in waiting])
+        counts = _inside(rows, brackets, g, sum(n for _, n in waiting)).groupBy(*keys, "_x", "below", "r1", "r2").agg(F.sum("_w").alias("_n"))
+        ranked, one, two = _select(counts, g, "_x")
+        results.append(ranked.where(one | two).groupBy(*keys).agg(
+            ((F.max(F.when(one, F.col("_x"))) + F.max(F.when(two, F.col("_x")))) / 2).alias("median")))
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)

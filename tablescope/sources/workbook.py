@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from ..functions.names import qcol
 from ..session import checkpoint as _ckpt
 from ..session import ship_package
-from ..functions.numbers import INTEGER_PATTERN, MISSING_MARKERS, NUMBER_PATTERN, integer_range
-from ..operators.cells import BOOLEAN_TEXTS
+from ..functions.numbers import MISSING_MARKERS
+from ..operators import votes as VT
 
 CELL_SCHEMA = ("dataset_id string, row_no bigint, position int, value string, kind string, is_header boolean, "
                "error string")
@@ -257,31 +257,16 @@ def workbook_frame(cells: DataFrame, dataset_id: str | None = None) -> DataFrame
     names_by_pos = {r["position"]: r["value"] for r in
                     header.groupBy("position").agg(F.first("value", ignorenulls=True).alias("value")).collect()}
     names = _unique_names([names_by_pos.get(p) for p in range(1, width + 1)])
-    kinds = {r["position"]: r for r in body.groupBy("position").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.bool_and((F.col("kind") == "n") | ((F.col("kind") == "s") & F.col("value").rlike(NUMBER_PATTERN)))
-        .alias("num"),
-        F.bool_and(F.col("value").rlike(INTEGER_PATTERN)).alias("int"),
-        F.max(F.when(F.col("value").rlike(INTEGER_PATTERN), integer_range(F.col("value")))).alias("range"),
-        F.bool_and((F.col("kind") == "b") | F.col("value").isin(*BOOLEAN_TEXTS)).alias("bool"),
-        F.bool_and(F.col("kind") == "d").alias("date")).collect()}
     rows = (every.groupBy("dataset_id", "row_no").pivot("position", list(range(1, width + 1)))
             .agg(F.first("value", ignorenulls=True)))
-    n_rows = rows.count() if any(k["num"] and k["int"] for k in kinds.values()) else None
+    n_rows = rows.count()
+    kinds = {r["position"]: r["type"] for r in body.groupBy("position").agg(
+        F.count(F.lit(1)).alias("n"), *VT.tally(VT.vote(F.col("value"), F.col("kind")), "every", "some"))
+        .select("position", VT.read_type(F.col("every"), F.col("some"), F.col("n") == n_rows).alias("type")).collect()}
     out = [F.col("dataset_id"), F.col("row_no")]
     for p, name in zip(range(1, width + 1), names):
-        c, k = F.col(f"`{p}`"), kinds.get(p)
-        if k is None:
-            out.append(c.cast("string").alias(name))
-        elif k["num"] and k["range"] != 2:  # whole numbers beyond 64 bits keep the column text
-            whole = k["int"] and n_rows is not None and k["n"] == n_rows
-            out.append(F.trim(c).try_cast("double" if not whole else "bigint" if not k["range"] else "decimal(20,0)").alias(name))
-        elif k["bool"]:
-            out.append((F.lower(c) == "true").alias(name))
-        elif k["date"]:
-            out.append(c.try_cast("timestamp").alias(name))
-        else:
-            out.append(c.alias(name))
+        c, to = F.col(f"`{p}`"), kinds.get(p, "string")
+        out.append((F.lower(c) == "true" if to == "boolean" else c if to == "string" else F.trim(c).try_cast(to)).alias(name))
     return rows.select(*out)
 
 
