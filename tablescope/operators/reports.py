@@ -42,10 +42,23 @@ def report_kind(report_type: Column) -> Column:
 
 
 def file_name(report_type: Column, ts: Column, report_id: Column) -> Column:
-    """``{type}_{yyyyMMdd_HHmmss}_{report_id}.md``; the id keeps reports of one type and second apart
-    (characters beyond letters, digits, dot and dash become ``_``)."""
+    """``{type}_{yyyyMMdd_HHmmss}_{report_id}.md``; the id keeps reports of one type and second apart. Two ids never
+    give one name: characters beyond letters, digits and ``. - _`` are percent-encoded (``report_id_of`` reads them back),
+    and a null id is ``%``, which no encoded id is."""
     return F.concat(report_type, F.lit("_"), F.date_format(ts, FILE_TS_FORMAT), F.lit("_"),
-                    F.regexp_replace(report_id.cast("string"), r"[^A-Za-z0-9.-]", "_"), F.lit(".md"))
+                    F.coalesce(encoded_id(report_id), F.lit("%")), F.lit(".md"))
+
+
+def encoded_id(report_id: Column) -> Column:
+    """Percent-encoding that ``url_decode`` undoes, without the characters a file system gives a meaning (``*``)."""
+    return F.replace(F.replace(F.url_encode(report_id.cast("string")), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+
+
+def report_id_of(name: Column, report_type: Column) -> Column:
+    """The report id in a ``file_name`` of the given type; null for a null id."""
+    part = F.substring(name, F.length(report_type) + len("_yyyyMMdd_HHmmss_") + 1, F.length(name))
+    part = F.substring(part, F.lit(1), F.length(part) - len(".md"))
+    return F.when(part != "%", F.url_decode(part))
 
 
 def metadata_file_name(name: Column) -> Column:
@@ -94,8 +107,8 @@ def usage_struct(prompt_tokens: Column, output_tokens: Column, total_tokens: Col
 def report_documents(reports: DataFrame, ts, generator_name: str = GENERATOR_NAME,
                      id_col: str = "report_id", type_col: str = "report_type", text_col: str = "report_text",
                      source_col: str | None = "source_file", valid_col: str | None = "is_valid",
-                     usage_cols=("prompt_tokens", "output_tokens", "total_tokens")) -> DataFrame:
-    """(report_id, report_kind, file_name, path, metadata_file, content) per report.
+                     usage_cols=("prompt_tokens", "output_tokens", "total_tokens"), keep=()) -> DataFrame:
+    """(report_id, report_kind, file_name, path, metadata_file, content) per report, then the columns ``keep``.
 
     ``ts`` is a ``datetime`` or a timestamp column: the save time written into names and headers.
     """
@@ -115,6 +128,7 @@ def report_documents(reports: DataFrame, ts, generator_name: str = GENERATOR_NAM
         relative_path(kind, name).alias("path"),
         F.concat(F.lit("metadata/"), metadata_file_name(name)).alias("metadata_file"),
         F.concat(header_expr(ts_col, src, valid, usage, generator_name), F.col(text_col)).alias("content"),
+        *keep,
     )
 
 

@@ -389,12 +389,16 @@ _O_DEPT = r"'Departemen\s+([A-Za-z]+)'"
 _O_CLAIM = r"'mahasiswa\s*[=:]?\s*(\d+)'"
 _O_DIGITS = f"regexp_extract(r.report_text, {_O_CLAIM}, 1)"
 _O_CLAIMED = f"(CASE WHEN {_O_DIGITS} <> '' THEN coalesce(nullif(ltrim({_O_DIGITS}, '0'), ''), '0') END)"
-_O_REPORTS_JOINED = (
-    f"(SELECT r.report_id, r.report_text, k.known, t.total_students, {_O_CLAIMED} AS claimed "
-    f"FROM ({I.duck(I.CUSTOMER_REPORTS)}) r "
-    f"LEFT JOIN (SELECT dataset_id, list(department) AS known FROM ({I.duck(I.DEPARTMENTS)}) d "
-    f"GROUP BY dataset_id) k ON r.dataset_id = k.dataset_id "
-    f"LEFT JOIN ({I.duck(I.TOTALS)}) t ON r.dataset_id = t.dataset_id) j")
+
+
+def _o_reports_joined(reports: str) -> str:
+    return (f"(SELECT r.report_id, r.report_text, k.known, t.total_students, {_O_CLAIMED} AS claimed "
+            f"FROM ({I.duck(reports)}) r "
+            f"LEFT JOIN (SELECT dataset_id, list(department) AS known FROM ({I.duck(I.DEPARTMENTS)}) d "
+            f"GROUP BY dataset_id) k ON r.dataset_id = k.dataset_id "
+            f"LEFT JOIN ({I.duck(I.TOTALS)}) t ON r.dataset_id = t.dataset_id) j")
+
+
 
 
 def _o_message(message: str, *values: str) -> str:
@@ -412,8 +416,17 @@ _O_CLAIM_ISSUE = (
     "abs(CAST(claimed AS DOUBLE) - CAST(total_students AS DOUBLE)) > "
     "greatest(1.0, 0.05 * CAST(total_students AS DOUBLE)) THEN "
     f"[{_o_message(V.MSG_CLAIM, 'claimed', 'CAST(total_students AS VARCHAR)')}] ELSE []::VARCHAR[] END")
-O_VALIDATE_REPORTS = _o_validation(_O_REPORTS_JOINED, "report_text",
-                                   f"list_concat({_O_ENTITY_ISSUES}, {_O_CLAIM_ISSUE})")
+_O_ISSUES = f"list_concat({_O_ENTITY_ISSUES}, {_O_CLAIM_ISSUE})"
+O_VALIDATE_REPORTS = _o_validation(_o_reports_joined(I.CUSTOMER_REPORTS), "report_text", _O_ISSUES)
+
+
+def q_validate_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Checks by row: ids are null or shared, every row keeps its own issues."""
+    return _flat_validation(V.validate_reports(I.run(spark, sf, I.SHARED_ID_REPORTS), departments=I.run(spark, sf, I.DEPARTMENTS),
+                                               totals=I.run(spark, sf, I.TOTALS)))
+
+
+O_VALIDATE_ROWS = _o_validation(_o_reports_joined(I.SHARED_ID_REPORTS), "report_text", _O_ISSUES)
 
 
 def q_validate_entities(spark: SparkSession, sf: str) -> DataFrame:
@@ -490,26 +503,55 @@ O_REPORTS_PRODUCED = (f"SELECT report_kind, path, count(*) OVER (PARTITION BY re
 
 
 def q_report_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    """Metadata records (C27, S9) of all customer reports, read back from their JSON."""
+    """Metadata records (C27, S9) of all customer reports with the analysis of their nation's customers, read back from
+    their JSON."""
     reports = I.run(spark, sf, I.CUSTOMER_REPORTS)
-    meta = reports.select("report_id", RP.metadata_json(
-        F.col("source_file"), None,
+    customers = I.load(spark, sf, "customer").withColumnRenamed("c_nationkey", "dataset_id")
+    analysis = P.analysis_record(*P.analyze_by_key(customers, "dataset_id"))
+    meta = reports.join(analysis, "dataset_id").select("report_id", RP.metadata_json(
+        F.col("source_file"), F.col("analysis"),
         V.validation_struct(F.size(V.local_issues(F.col("report_text"))) == 0, V.local_issues(F.col("report_text")),
                             V.number_count(F.col("report_text"))),
         RP.usage_struct(F.col("prompt_tokens"), F.col("output_tokens"), F.col("total_tokens")),
         F.lit(REPORT_TS), F.lit(REPORT_TS)).alias("j"))
     field = lambda path: F.get_json_object("j", f"$.{path}")
+    whole = lambda path: field(path).cast("bigint")
+    numbers = [_r4(field(f"analysis.statistics.{c}.{k}").cast("double")).alias(f"{c}_{k}")
+               for c in ("c_acctbal", "c_custkey") for k in ("mean", "median", "min", "max", "std")]
     return meta.select("report_id", field("source_file").alias("source_file"), field("validation.is_valid").alias("is_valid"),
                        field("validation.num_extracted").alias("num_extracted"), field("token_usage.prompt_tokens").alias("prompt_tokens"),
-                       field("token_usage.total_tokens").alias("total_tokens"), field("saved_at").alias("saved_at"))
+                       field("token_usage.total_tokens").alias("total_tokens"), field("saved_at").alias("saved_at"),
+                       whole("analysis.row_count").alias("row_count"), whole("analysis.column_count").alias("column_count"),
+                       F.array_join(F.from_json(field("analysis.columns"), "array<string>"), ", ").alias("columns"),
+                       field("analysis.detected_type").alias("detected_type"), *numbers,
+                       whole("analysis.statistics.c_acctbal.missing").alias("c_acctbal_missing"),
+                       *[whole(f"analysis.summary.{c}.{k}").alias(f"{c}_{k}") for c in ("c_name", "c_mktsegment") for k in ("unique_values", "most_common_count", "missing")],
+                       *[field(f"analysis.summary.{c}.most_common").alias(f"{c}_most_common") for c in ("c_name", "c_mktsegment")])
+
 
+def _o_nation_top(c: str) -> str:
+    return (f"(SELECT c_nationkey, arg_min(v, (-n, v)) AS top, max(n) AS top_n FROM (SELECT c_nationkey, {c} AS v, count(*) AS n "
+            f"FROM customer WHERE {c} IS NOT NULL GROUP BY 1, 2) q GROUP BY 1)")
 
+
+_O_NATION_STATS = ", ".join(
+    f"round({f}, 4) AS {c}_{k}" for c in ("c_acctbal", "c_custkey")
+    for k, f in (("mean", f"avg({c})"), ("median", f"median(CAST({c} AS DOUBLE))"), ("min", f"CAST(min({c}) AS DOUBLE)"),
+                 ("max", f"CAST(max({c}) AS DOUBLE)"), ("std", f"stddev_samp({c})")))
 O_REPORT_METADATA = (
     f"SELECT report_id, source_file, CASE WHEN length(report_text) >= {V.MIN_CHARS} AND NOT ("
     + " OR ".join(f"contains(lower(report_text), '{p}')" for p in V.PLACEHOLDER_PHRASES) +
     f") THEN 'true' ELSE 'false' END AS is_valid, CAST(len(regexp_extract_all(report_text, {_O_NUM})) AS VARCHAR) AS num_extracted, "
     f"CAST(prompt_tokens AS VARCHAR) AS prompt_tokens, CAST(total_tokens AS VARCHAR) AS total_tokens, "
-    f"'{REPORT_TS.strftime('%Y-%m-%dT%H:%M:%S.%f')}' AS saved_at FROM ({I.duck(I.CUSTOMER_REPORTS)}) r")
+    f"'{REPORT_TS.strftime('%Y-%m-%dT%H:%M:%S.%f')}' AS saved_at, a.* EXCLUDE (c_nationkey), "
+    f"n.top_n AS c_name_most_common_count, m.top_n AS c_mktsegment_most_common_count, n.top AS c_name_most_common, m.top AS c_mktsegment_most_common "
+    f"FROM ({I.duck(I.CUSTOMER_REPORTS)}) r JOIN (SELECT c_nationkey, count(*) AS row_count, CAST(4 AS BIGINT) AS column_count, "
+    f"'c_custkey, c_name, c_acctbal, c_mktsegment' AS columns, 'unknown' AS detected_type, {_O_NATION_STATS}, "
+    f"count(*) - count(c_acctbal) AS c_acctbal_missing, "
+    f"count(DISTINCT c_name) AS c_name_unique_values, count(*) - count(c_name) AS c_name_missing, "
+    f"count(DISTINCT c_mktsegment) AS c_mktsegment_unique_values, count(*) - count(c_mktsegment) AS c_mktsegment_missing "
+    f"FROM customer GROUP BY c_nationkey) a ON a.c_nationkey = r.dataset_id "
+    f"LEFT JOIN {_o_nation_top('c_name')} n ON n.c_nationkey = r.dataset_id LEFT JOIN {_o_nation_top('c_mktsegment')} m ON m.c_nationkey = r.dataset_id")
 
 
 def q_chosen_reports(spark: SparkSession, sf: str) -> DataFrame:
@@ -691,7 +733,7 @@ O_CELLS_CLEANING_SUMMARY = (
 
 
 def q_cells_numeric_profile(spark: SparkSession, sf: str) -> DataFrame:
-    _, num, _, _ = CL.profile_cells(_dirty_cells(spark, sf), materialize=False)
+    num = CL.numeric_profile_cells(_dirty_cells(spark, sf))
     return num.select("dataset_id", "position", "column_name", "row_count",
                       *[_r4(F.col(c)).alias(c) for c in ("mean", "median", "min", "max", "std")], "missing")
 
@@ -719,6 +761,36 @@ O_CELLS_NUMERIC_PROFILE = (f"WITH d AS (SELECT DISTINCT * EXCLUDE (row_id) FROM
                            + _sql_union([_o_cells_numeric(c) for c in _CELL_NUMERIC]))
 
 
+def q_cells_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cell of the cleaned datasets; numbers as numbers, all else as text."""
+    out = CL.cleaned_cells(_dirty_cells(spark, sf))
+    number = F.col("cls") == "numeric"
+    return out.select("dataset_id", "row_no", "position", "column_name", "cls",
+                      F.when(number, _r4(F.trim("value").try_cast("double"))).alias("number"), F.when(~number, F.col("value")).alias("text_value"))
+
+
+_CELL_TEXT = {"o_orderpriority": "replace(o_orderpriority, ',', '.')", "long_text": "long_text", "o_orderdate": "CAST(o_orderdate AS VARCHAR)"}
+
+
+def _o_cells_cleaned(c: str) -> str:
+    base = f"SELECT o_orderstatus AS dataset_id, row_no, {_CELL_COLS.index(c) + 1} AS position, '{c}' AS column_name, "
+    if c in _CELL_NUMERIC:
+        x = _CELL_NUMERIC[c]
+        return (f"{base}'numeric' AS cls, round(coalesce({x}, avg({x}) OVER (PARTITION BY o_orderstatus)), 4) AS number, "
+                f"CAST(NULL AS VARCHAR) AS text_value FROM d")
+    x = _CELL_TEXT[c]
+    if c == "o_orderdate":  # dates are not filled: a gap has no row
+        return f"{base}'date' AS cls, CAST(NULL AS DOUBLE) AS number, {x} AS text_value FROM d WHERE {x} IS NOT NULL"
+    mode = (f"(SELECT o_orderstatus, arg_min(v, (-n, v)) AS top FROM (SELECT o_orderstatus, {x} AS v, count(*) AS n FROM d "
+            f"WHERE {x} IS NOT NULL GROUP BY 1, 2) q GROUP BY 1)")
+    return (f"SELECT d.o_orderstatus AS dataset_id, row_no, {_CELL_COLS.index(c) + 1} AS position, '{c}' AS column_name, 'text' AS cls, "
+            f"CAST(NULL AS DOUBLE) AS number, coalesce({x}, m.top) AS text_value FROM d LEFT JOIN {mode} m ON m.o_orderstatus = d.o_orderstatus")
+
+
+O_CELLS_CLEANED = (f"WITH d AS (SELECT CAST(min(row_id) + 1 AS BIGINT) AS row_no, * EXCLUDE (row_id) FROM ({I.duck(I.ORDERS_BLANK_ROWS)}) x GROUP BY ALL) "
+                   + _sql_union([_o_cells_cleaned(c) for c in _CELL_COLS if c != "o_note"]))
+
+
 # ---------------------------------------------------------------- registry
 
 QUERIES = {
@@ -746,6 +818,7 @@ QUERIES = {
     "count_numbers": q_count_numbers,
     "validate_short_placeholder": q_validate_short_placeholder,
     "validate_reports": q_validate_reports,
+    "validate_rows": q_validate_rows,
     "validate_entities": q_validate_entities,
     "validate_claims": q_validate_claims,
     "report_documents": q_report_documents,
@@ -761,6 +834,7 @@ QUERIES = {
     "cells_summary": q_cells_summary,
     "cells_cleaning_summary": q_cells_cleaning_summary,
     "cells_numeric_profile": q_cells_numeric_profile,
+    "cells_cleaned": q_cells_cleaned,
 }
 
 ORACLES = {
@@ -783,6 +857,7 @@ ORACLES = {
     "count_numbers": O_COUNT_NUMBERS,
     "validate_short_placeholder": O_VALIDATE_SHORT_PLACEHOLDER,
     "validate_reports": O_VALIDATE_REPORTS,
+    "validate_rows": O_VALIDATE_ROWS,
     "validate_entities": O_VALIDATE_ENTITIES,
     "validate_claims": O_VALIDATE_CLAIMS,
     "report_documents": O_REPORT_DOCUMENTS,
@@ -797,5 +872,6 @@ ORACLES = {
     "synth_finance": O_SYNTH_FINANCE,
     "cells_cleaning_summary": O_CELLS_CLEANING_SUMMARY,
     "cells_numeric_profile": O_CELLS_NUMERIC_PROFILE,
+    "cells_cleaned": O_CELLS_CLEANED,
 }
 ORACLES.update(TEXT_ORACLES)

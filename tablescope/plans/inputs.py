@@ -134,6 +134,10 @@ LEFT JOIN (SELECT o_custkey, count(*) AS n_orders FROM {orders} GROUP BY o_custk
        ON c.c_custkey = n.o_custkey
 """
 
+# The same reports under ids that are null or shared by many reports.
+SHARED_ID_REPORTS = ("SELECT CASE WHEN report_id % 10 = 0 THEN NULL ELSE report_id % 50 END AS report_id, dataset_id, report_text FROM ("
+                     + CUSTOMER_REPORTS + ") s")
+
 # Known department names by nation, from all customers: a customer's balance decides which of a few names
 # it stands for, and every sixth nation's list is filed under a key that no report has, so that
 # its reports are not checked.

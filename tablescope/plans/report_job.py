@@ -101,10 +101,10 @@ def report_job(spark: SparkSession, sf_dir: str, table_names, generated: DataFra
 
 
 def workbook_report_job(spark: SparkSession, folder: str, target: str, report_types: DataFrame | None = None,
-                        generated: DataFrame | None = None, ts: dt.datetime = DEFAULT_TS, expected=None):
+                        generated: DataFrame | None = None, ts: dt.datetime = DEFAULT_TS, expected=None, save_id: str | None = None):
     """Workbooks → reports in one flow: read a folder, clean and profile every workbook in long form, render, check
-    and save. Saves ``reports/``, ``metadata/`` and ``rejects/`` under ``target`` (appending) and
-    returns (reports, rejects)."""
+    and save; returns (reports, rejects). With ``save_id`` the save may be repeated (``sinks.save_reports``); without one it
+    appends to ``reports/`` and ``metadata/`` under ``target``. Rejects are appended to ``rejects/``."""
     from ..operators import cells as CL
     from ..sources import sinks, workbook as W
     cells, rejects = W.read_workbooks(spark, folder, expected=expected)
@@ -112,7 +112,10 @@ def workbook_report_job(spark: SparkSession, folder: str, target: str, report_ty
     summaries = (ds.select("dataset_id", "detected_type", "row_count").join(R.summary_text(ds, num, cat), "dataset_id")
                  .join(P.analysis_record(ds, num, cat), "dataset_id"))
     reports = checkpoint(reports_from_summaries(summaries, generated, ts, source_suffix="", report_types=report_types))
-    sinks.write_reports(reports, f"{target.rstrip('/')}/reports")
-    sinks.write_metadata(reports, f"{target.rstrip('/')}/metadata")
+    if save_id is not None:
+        sinks.save_reports(reports, target, save_id)
+    else:
+        sinks.write_reports(reports, f"{target.rstrip('/')}/reports")
+        sinks.write_metadata(reports, f"{target.rstrip('/')}/metadata")
     rejects.write.mode("append").parquet(f"{target.rstrip('/')}/rejects")
     return reports, rejects

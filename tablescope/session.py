@@ -94,7 +94,8 @@ def checkpoint_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) in the store that holds ``path``."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
@@ -102,7 +103,7 @@ def _hadoop(spark: SparkSession, path: str):
 def _delete_at_end(spark: SparkSession, path: str) -> None:
     """Checkpoint tables are plain folders, which Spark's own checkpoint cleaner leaves alone: the file
     system deletes the folder that holds them when the application ends."""
-    fs, folder = _hadoop(spark, path.rsplit("/", 1)[0])
+    fs, folder = hadoop_path(spark, path.rsplit("/", 1)[0])
     fs.deleteOnExit(folder)
 
 
@@ -110,13 +111,13 @@ def release(df) -> None:
     """Delete the table that ``checkpoint`` wrote for ``df``; nothing may read it afterwards."""
     path = getattr(df, "_written_at", None)
     if path:
-        fs, p = _hadoop(df.sparkSession, path)
+        fs, p = hadoop_path(df.sparkSession, path)
         fs.delete(p, True)
 
 
 def release_all(spark: SparkSession) -> None:
     """Delete every checkpoint table of this application (for example once a job's results are saved)."""
-    fs, p = _hadoop(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables")
+    fs, p = hadoop_path(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables")
     fs.delete(p, True)
 
 

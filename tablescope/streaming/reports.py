@@ -25,11 +25,11 @@ REPORT_SCHEMA = ("report_id bigint, dataset_id bigint, report_type string, repor
 
 def check_batch(batch: DataFrame, departments: DataFrame | None, totals: DataFrame | None,
                 ts: dt.datetime) -> DataFrame:
-    """Validation + documents for one batch of report rows."""
-    checked = V.validate_reports(batch, departments, totals)
-    rows = batch.join(checked, "report_id")
-    docs = RP.report_documents(rows, ts)
-    return docs.join(checked.select("report_id", "is_valid", "issues", "num_extracted"), "report_id")
+    """Validation + documents for one batch of report rows; rows are joined by a number of their own, so that
+    null and repeated ids keep their own checks."""
+    rows = checkpoint(batch.withColumn("_row", F.monotonically_increasing_id()))
+    checked = V.validate_reports(rows, departments, totals, id_col="_row")
+    return RP.report_documents(rows.join(checked, "_row"), ts, keep=("is_valid", "issues", "num_extracted"))
 
 
 def start_report_stream(spark: SparkSession, source_dir: str, sink_dir: str, ts: dt.datetime, name: str = "reports",
