@@ -15,7 +15,7 @@ doc_id and text stay on one side of a splitter. An empty table gives no rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -28,9 +28,10 @@ SHARDS = 16
 TOLERANCE = 0.001       # of a shard's share of the bytes, for a shard's splitter
 WHOLE = 0.01            # of a shard's share: a group of equal texts is split only beyond this (or half the largest row)
 FINE_TOLERANCE = 0.25   # of a fine range's share, for the splitters inside a shard
-FINE_BYTES = 256 << 20  # text bytes of a fine range, one task's share of the exchange
-FINE_LEAST, FINE_MOST = 4, 256  # fine ranges of a shard
-PROBES = 64             # probes laid in an open interval in a round
+FINE_ROWS = 4 << 20     # rows (without their texts) of a fine range, one task's share of the exchange
+FINE_LEAST = 4          # fine ranges of a shard, at least
+PROBES = 64             # probes laid in an open interval in a round, and
+ALL_PROBES = 1 << 18    # in all open intervals together (two at least in each)
 _TOP = 1 << 62          # above every hash
 _LEAST_ID = -(1 << 63)
 
@@ -51,6 +52,7 @@ class Splitter:
     group: int | None = None
     done: tuple[int, int] | None = None  # (hash, doc_id): the first key above the splitter
     at: tuple[int, int] = (0, 0)
+    laid: list[tuple[int, int]] = field(default_factory=list)
 
     def settle(self) -> None:
         """Close the search if an end is near enough or no key lies between the ends."""
@@ -67,13 +69,14 @@ class Splitter:
             self.done = (self.group, key) if inside else (key if self.group is None else self.group + (key > self.ids[0]), _LEAST_ID)
             self.at = at
 
-    def probes(self) -> list[tuple[int, int]]:
-        step = max(1, -(-(self.hi - self.lo) // PROBES))
+    def lay(self, probes: int) -> list[tuple[int, int]]:
+        step = max(1, -(-(self.hi - self.lo) // probes))
         inner = range(self.lo + step, self.hi, step)
-        return [(p, _LEAST_ID) if self.group is None else (self.group, p) for p in inner]
+        self.laid = [(p, _LEAST_ID) if self.group is None else (self.group, p) for p in inner]
+        return self.laid
 
     def learn(self, below: dict[tuple[int, int], tuple[int, int]]) -> None:
-        for (h, d) in self.probes():
+        for (h, d) in self.laid:
             key = h if self.group is None else d
             at = below[(h, d)]
             if at[0] <= self.target and key > self.lo:
@@ -87,13 +90,12 @@ def _place(h: np.ndarray, d: np.ndarray, keys: list[tuple[int, int]]) -> np.ndar
     """For each row the number of sorted ``keys`` (hash, doc_id) that are not above it."""
     kh = np.array([k[0] for k in keys], dtype=np.int64)
     kd = np.array([k[1] for k in keys], dtype=np.int64)
-    out = np.searchsorted(kh, h, side="left")
-    upto = np.searchsorted(kh, h, side="right")
-    tied = np.flatnonzero(out < upto)
-    for a in np.unique(out[tied]):  # one pass for each key's hash that rows share
-        rows = tied[out[tied] == a]
-        b = int(np.searchsorted(kh, kh[a], side="right"))
-        out[rows] = a + np.searchsorted(kd[a:b], d[rows], side="right")
+    low, high = np.searchsorted(kh, h, side="left"), np.searchsorted(kh, h, side="right")
+    out = low.copy()
+    tied = np.flatnonzero(low < high)
+    for a in np.unique(low[tied]):  # one pass for each key's hash that rows share
+        rows = tied[low[tied] == a]
+        out[rows] = a + np.searchsorted(kd[a:high[rows[0]]], d[rows], side="right")
     return out
 
 
@@ -123,13 +125,14 @@ def find_splitters(rows: DataFrame, shards: int = SHARDS, fine: int | None = Non
                      F.min("d").alias("d0"), F.max("d").alias("d1")).first()
     size, n, most = int(total["s"] or 0), int(total["n"]), int(total["most"] or 0)
     if fine is None:
-        fine = int(min(FINE_MOST, max(FINE_LEAST, -(-size // (shards * FINE_BYTES)))))
+        fine = int(max(FINE_LEAST, -(-n // (shards * FINE_ROWS))))
     share = size / (shards * fine)
     whole = max(share * fine * WHOLE, most / 2)  # no splitter can promise more than half the largest row
     found = [Splitter(share * i, share * fine * tolerance if i % fine == 0 else share * FINE_TOLERANCE, whole, 0, _TOP, (0, 0), (size, n),
                       (total["d0"], total["d1"])) for i in range(1, shards * fine)]
     while n and (left := [s for s in found if s.done is None]):
-        keys = sorted({p for s in left for p in s.probes()})
+        probes = max(2, min(PROBES, ALL_PROBES // len(left)))
+        keys = sorted({p for s in left for p in s.lay(probes)})
         bytes_below, rows_below = _histogram(rows, keys)
         below = {k: (int(b), int(r)) for k, b, r in zip(keys, bytes_below, rows_below)}
         for s in left:

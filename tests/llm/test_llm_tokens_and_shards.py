@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from helpers import awkward, frame, prose
 from hypothesis import given, settings
@@ -90,3 +91,30 @@ def test_key_order_is_kept_across_shards(spark):
     got = sorted(S.shard_rows(frame(spark, rows), shards=4, fine=3).collect(), key=lambda r: (r["shard"], r["slot"]))
     runs = [r["text_crc32"] for r in got]
     assert sum(a != b for a, b in zip(runs, runs[1:])) <= 50 + 11  # equal texts lie together
+
+
+def test_places_equal_bisect():
+    from bisect import bisect_right
+    r = random.Random(8)
+    for _ in range(30):
+        keys = sorted((r.randrange(6), r.randrange(40)) for _ in range(r.randrange(1, 40)))
+        rows = [(r.randrange(8), r.randrange(-2, 45)) for _ in range(400)]
+        h, d = (np.array(c) for c in zip(*rows))
+        assert S._place(h, d, keys).tolist() == [bisect_right(keys, x) for x in rows]
+
+
+@pytest.mark.parametrize("texts", [20, 37])
+def test_many_hot_texts(spark, texts):
+    rows = [(k, f"hot text number {k % texts}") for k in range(4000)]
+    sizes = check_shards(rows, S.shard_rows(frame(spark, rows)).collect(), 16)
+    mean = sum(sizes) / 16
+    assert max(abs(s - mean) for s in sizes) < 0.01 * mean + 30
+
+
+def test_few_probes_a_round_find_the_same_splitters(spark, monkeypatch):
+    rows = [(k, prose(k % 90, 6)) for k in range(900)]
+    want = sorted((r["doc_id"], r["shard"], r["slot"]) for r in S.shard_rows(frame(spark, rows)).collect())
+    monkeypatch.setattr(S, "ALL_PROBES", 1)
+    got = S.shard_rows(frame(spark, rows)).collect()
+    sizes = check_shards(rows, got, 16)
+    assert len(want) == len(got) and max(sizes) < 1.1 * sum(sizes) / 16
