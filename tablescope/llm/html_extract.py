@@ -34,12 +34,13 @@ TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 32
 
 # HTML's element groups.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math select object canvas audio video".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
+RAW = frozenset("script style template iframe textarea title".split())
+INLINE = frozenset("""a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img
+object canvas audio video math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder mspace mstyle semantics""".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table td th body html div section article main aside nav header footer form".split())
-CHROME = frozenset("nav footer header aside form menu button dialog fieldset figcaption".split())
+CHROME = frozenset("nav footer header aside form menu button dialog fieldset figcaption select".split())
 BODY = frozenset("article main".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: Attribute tokens (class, id, role) that usually name something beside the main text.
@@ -101,6 +102,14 @@ def parse(source: str) -> Page:
                 end = seen_low.find(f"</{name}", at)
                 at = len(source) if end < 0 else (source.find(">", end) + 1 or len(source))
             continue
+        if name == "svg":  # a drawing; one that is not closed hides nothing
+            end = -1 if m[3].endswith("/") else seen_low.find("</svg", at)
+            at = at if end < 0 else (source.find(">", end) + 1 or len(source))
+            continue
+        if name in CLOSES_P or name in ("input", "select"):  # nothing but options stands in a list of choices
+            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "select"), None)
+            if depth is not None:
+                pop_to(depth)
         if name == "html":
             continue
         if name == "br":
@@ -193,7 +202,7 @@ def marked(page: Page) -> np.ndarray | None:
     for k in range(n):
         p = page.parent[k]
         roots = page.tag[k] in BODY or "main" in page.tokens[k]
-        beside = page.tag[k] in ("nav", "footer", "aside", "form", "menu", "button") or bool(page.tokens[k] & BESIDE)
+        beside = page.tag[k] in ("nav", "footer", "aside", "form", "menu", "button", "select") or bool(page.tokens[k] & BESIDE)
         inside[k] = (p >= 0 and inside[p] or roots) and not beside
     if not inside.any():
         return None

@@ -102,6 +102,43 @@ def test_extract_awkward_pages(spark):
     assert H.extract(pages(spark, []).limit(0)).collect() == []
 
 
+def test_elements_that_are_not_raw_text_hide_nothing():
+    """By the parser alone: what a page's pieces of text are."""
+    def texts(source):
+        return " ".join("".join(p[2] for p in H.parse(source).pieces).split())
+    tail = "<p>After one.</p><p>After two.</p></article>"
+    for open_tag in ("<video src=x>", "<object data=y>", "<audio>", "<canvas>", "<svg viewBox=1>", "<noscript>", "<math>"):
+        assert texts("<article><p>Before.</p>" + open_tag + tail) == "Before.After one.After two."
+    assert texts("<article><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn><mspace/></math> holds.</p></article>") == "Where x=2 holds."
+    assert texts("<p>a<svg><path d='m'/><title>t</title><text>drawn</text></svg>b</p>") == "ab"
+    assert texts("<p>a</p><script>if (x < 1) {'</p>'}</script><style>p {}</style><textarea>t</textarea><p>b</p>") == "ab"
+    assert texts("<p>a</p><script>never closed <p>b</p>") == "a"
+
+
+def test_an_unclosed_select_ends_at_the_next_block():
+    page = H.parse("<article><p>a</p><select><option>one<option>two<p>b</p></article>")
+    node = {t.strip(): page.tag[n] for _, n, t, _ in page.pieces if t.strip()}
+    assert node["b"] == "p" and node["one"] == node["two"] == "option"
+    assert page.parent[page.tag.index("p", 3)] == page.tag.index("article")
+
+
+def test_article_text_with_forms_comments_and_embedded_elements(spark):
+    rows = []
+    for k in range(60):
+        body = "".join(f"<p>{prose(10 * k + j, 25)}.</p>" for j in range(4))
+        rows.append((k, "u", f"<html><body><nav class=menu><a href=a>Home</a> <a href=b>More</a></nav><article>{body}</article><footer>Copyright {k}</footer></body></html>"))
+    extra = {100: ("<video src=x>", "<p>First one, and more of it here.</p><p>Second one, and more of it here too.</p>"),
+             101: ("<form><label>Mail</label><select><option>one</option></select><button>Send</button></form>", "<p>First one, and more of it here.</p><p>Second one, and more of it here too.</p>"),
+             102: ("<p>Sum <math><mi>x</mi></math> done, and so on it goes.</p><noscript><p>Plain reading, for all readers.</p></noscript>", "<p>Second one, and more of it here too.</p>"),
+             103: ("<div class=comments><p>Reader says so.</p></div>", "<p>First one, and more of it here.</p>")}
+    rows += [(i, "u", f"<html><body><nav class=menu><a href=a>Home</a></nav><article><p>{prose(i, 40)}.</p>{a}{b}</article><footer>Copyright</footer></body></html>") for i, (a, b) in extra.items()]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    first, second = "First one, and more of it here.", "Second one, and more of it here too."
+    assert got[100] == f"{prose(100, 40)}.\n{first}\n{second}" == got[101].replace(prose(101, 40), prose(100, 40))
+    assert got[102] == f"{prose(102, 40)}.\nSum x done, and so on it goes.\nPlain reading, for all readers.\n{second}"
+    assert got[103] == f"{prose(103, 40)}.\n{first}"
+
+
 def test_decoding_never_keeps_below_a_dropped_node():
     import numpy as np
     r = np.random.default_rng(2)
