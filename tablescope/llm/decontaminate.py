@@ -1,18 +1,15 @@
 """Operator 8, benchmark decontamination by SimHash of item-sized windows (DataFrame functions only).
 
-A window has as many words as a benchmark item and is laid where one of that item's five-word
-shingles falls: a window without any shingle of an item has similarity 0 with it, so none that matters
-is left out, and the corpus is read once against the items' shingles. Each window and each item
-gets a 64-bit SimHash of its weighted shingles. Fingerprints are compared by multi-index Hamming
-blocks: RADIUS + 1 blocks, so that two fingerprints within RADIUS bits agree on at least one
-block, and every such pair is found. A fingerprint may lie further off than that at any similarity below 1
-(repeated shingles weigh more, and ties give bit 0), so the pairs of a window and the item whose shingle laid it
-are candidates at any distance. All candidates are verified exactly on the shingles' text: similarity is the sum of the lesser weights over the sum of the greater ones, where a shingle's
-weight is how often it occurs; a hit needs SIMILARITY or more.
-
-At similarity 0.8 two windows of one size without repeated shingles share 8 of 9, so a bit differs with
-probability 0.15 (9.7 of 64 expected, deviation 2.9); RADIUS 19 is over three deviations away. The radius
-decides only on pairs of a window and an item that did not lay it.
+A window has as many words as a benchmark item. To be similar enough it must hold four fifths of the item's five-word
+shingles, in any order (fewer than that many common shingles bound the similarity below 0.8, also of a window clipped at a
+document's end), so windows are laid at every start where that many of an item's shingles lie inside, and no other
+window matters. Each window and each item gets a 64-bit SimHash of its weighted shingles. Fingerprints are compared by
+multi-index Hamming blocks: BLOCKS blocks, of which an item probes all values within RADIUS // BLOCKS bits; two
+fingerprints within RADIUS bits differ by no more than that in some block, so every such pair is found.
+A fingerprint may lie further off than that at any similarity below 1 (repeated shingles weigh more, and ties give bit 0),
+so the pairs of a window and an item whose shingles laid it are candidates at any distance. All candidates are verified
+exactly on the shingles' text: similarity is the sum of the lesser weights over the sum of the greater ones, where a
+shingle's weight is how often it occurs; a hit needs SIMILARITY or more.
 
 Defined results: null and empty texts and items have no words and no hits; an item of fewer than
 five words is one shingle of all its words; a window is clipped to its document. Words are
@@ -21,12 +18,15 @@ as in the n-gram join: white space separates, A-Z are lower-cased.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import checkpoint, if_small, let, read, text_key, text_of, without, words_of
+from tablescope.llm.common import BROADCAST_BYTES, checkpoint, if_small, let, read, text_key, text_of, without, words_of
 
 N, SIMILARITY, RADIUS, BITS = 5, 0.8, 19, 64
+BLOCKS = 5  # of 12 or 13 bits, each probed within RADIUS // BLOCKS bits
 
 
 def _shingles(words: Column, n: int, make) -> Column:
@@ -52,10 +52,26 @@ def fingerprint(shingles: Column) -> Column:
     return let(F.transform(shingles, lambda s: F.xxhash64(s)), of)
 
 
-def blocks(fp: Column, radius: int = RADIUS) -> Column:
-    """The values of radius + 1 disjoint blocks of a fingerprint."""
-    cut = [i * BITS // (radius + 1) for i in range(radius + 2)]
-    return F.array(*[F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")) for lo, hi in zip(cut, cut[1:])])
+def _cuts() -> list[tuple[int, int]]:
+    cut = [i * BITS // BLOCKS for i in range(BLOCKS + 1)]
+    return list(zip(cut, cut[1:]))
+
+
+def blocks(fp: Column) -> Column:
+    """The values of the BLOCKS disjoint blocks of a fingerprint."""
+    return F.array(*[F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")) for lo, hi in _cuts()])
+
+
+def near_blocks(fp: Column, radius: int = RADIUS) -> Column:
+    """(block, value) of every value within radius / BLOCKS bits of one of the fingerprint's blocks: of two fingerprints
+    within ``radius`` bits, one block of the other is among them."""
+    def within(bits: int) -> list[int]:
+        return [sum(1 << p for p in places) for n in range(radius // BLOCKS + 1) for places in combinations(range(bits), n)]
+
+    def probed(k: int, lo: int, hi: int) -> Column:
+        return F.transform(F.array(*[F.lit(m).cast("long") for m in within(hi - lo)]),
+                           lambda m: F.struct(F.lit(k).alias("block"), blocks(fp)[k].bitwiseXOR(m).alias("value")))
+    return F.flatten(F.array(*[probed(k, lo, hi) for k, (lo, hi) in enumerate(_cuts())]))
 
 
 def _similarity(a: Column, b: Column) -> Column:
@@ -66,24 +82,42 @@ def _similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def find_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, k, start, nw, words, named): windows where a shingle of an item of ``nw`` words falls, and the keys of those items."""
+def _starts(at: Column, m: Column, similarity: float) -> Column:
+    """Starts of all windows that may be similar to an item of ``m`` shingles, of which some fall at the places ``at``
+    (sorted): a window, clipped or not, must hold at least the share ``similarity`` of m of them among its m places."""
+    need = F.greatest(F.ceil(F.lit(similarity) * m - F.lit(1e-9)).cast("int"), F.lit(1))
+
+    def of(n: Column) -> Column:
+        spans = F.transform(F.sequence(F.lit(0), F.size(at) - n), lambda i: F.struct(
+            F.greatest(F.get(at, i + n - 1) - m + 1, F.lit(0)).alias("lo"), F.get(at, i).alias("hi")))
+        starts = F.transform(F.filter(spans, lambda s: s["lo"] <= s["hi"]), lambda s: F.sequence(s["lo"], s["hi"]))
+        return F.when(F.size(at) >= n, F.array_distinct(F.flatten(starts)))
+    return let(need, of)
+
+
+def find_windows(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, k, start, nw, words, named): the windows of ``nw`` words that hold enough of an item's shingles, in whatever
+    order, and the keys of those items."""
     sizes = sorted(r["n"] for r in items.select(F.least("nw", F.lit(N)).alias("n")).distinct().collect())  # within 1 to N
     found = None
     base = docs.select("doc_id", text_key().alias("k"), words_of(text_of()).alias("words"))
     for n in sizes:
         hashed = lambda words, n=n: _shingles(words, n, lambda s: F.xxhash64(*s))
         own = items.filter((F.col("nw") == n) if n < N else (F.col("nw") >= N))
-        index = checkpoint(own.select("ik", "nw", F.posexplode(hashed(F.col("words"))).alias("off", "h")))
-        at = base.select("doc_id", "k", F.size("words").alias("size"), F.posexplode(hashed(F.col("words"))).alias("pos", "h"))
-        at = at.join(if_small(index, 64), "h").select(
-            "doc_id", "k", "nw", F.greatest(F.lit(0), F.col("pos") - F.col("off")).alias("start"), "ik")
+        index = checkpoint(own.select("ik", "nw", F.explode(F.array_distinct(hashed(F.col("words")))).alias("h")))
+        at = base.select("doc_id", "k", F.posexplode(hashed(F.col("words"))).alias("pos", "h"))
+        at = at.join(if_small(index, 32), "h").select("doc_id", "k", "nw", "ik", "pos", F.lit(n).alias("n"))
         found = at if found is None else found.unionByName(at)
     if found is None:
         return base.limit(0).select("doc_id", "k", F.lit(0).alias("start"), F.lit(0).alias("nw"), "words", F.array().cast("array<long>").alias("named"))
+    # The places of one item's shingles in one document: at most its words.
+    found = found.groupBy("doc_id", "k", "nw", "ik", "n").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    found = found.withColumn("start", F.explode(_starts(F.col("at"), F.col("nw") - F.col("n") + 1, similarity)))
     found = found.groupBy("doc_id", "k", "start", "nw").agg(F.collect_set("ik").alias("named"))
     places = checkpoint(found.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "nw", "named")).alias("at")))
-    p = if_small(places.select(F.col("doc_id").alias("p_id"), F.col("k").alias("p_k"), "at"), 512)
+    held = places.agg(F.sum(F.aggregate("at", F.lit(0).cast("long"), lambda n, w: n + 40 + 8 * F.size(w["named"])))).first()[0] or 0
+    p = places.select(F.col("doc_id").alias("p_id"), F.col("k").alias("p_k"), "at")
+    p = F.broadcast(p) if held + 64 * places.count() <= BROADCAST_BYTES else p
     rows = base.join(p, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("k") == F.col("p_k")))
     rows = rows.dropDuplicates(["doc_id", "k"]) if _repeats(docs, places) else rows
     rows = rows.select("doc_id", "k", "words", F.explode("at").alias("w"))
@@ -105,17 +139,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     items = items.withColumn("ik", F.monotonically_increasing_id())  # a key of the row, fixed by the checkpoint
     items = items.withColumn("shingles", _texts(F.col("words")))
     items = checkpoint(items.withColumn("fp", fingerprint(F.col("shingles"))))
-    wins = find_windows(docs, items).withColumn("shingles", _texts(F.col("words"))).drop("words")
+    wins = find_windows(docs, items, similarity).withColumn("shingles", _texts(F.col("words"))).drop("words")
     wins = checkpoint(wins.withColumn("fp", fingerprint(F.col("shingles"))))
     # A passage that many documents share gives one fingerprint, compared once.
-    mine = wins.select("nw", "fp").distinct().select("nw", "fp", F.posexplode(blocks(F.col("fp"), radius)).alias("block", "value"))
-    theirs = checkpoint(items.select("nw", F.col("fp").alias("ifp"), "ik", F.posexplode(blocks(F.col("fp"), radius)).alias("block", "value")))
+    mine = wins.select("nw", "fp").distinct().select("nw", "fp", F.posexplode(blocks(F.col("fp"))).alias("block", "value"))
+    theirs = checkpoint(items.select("nw", F.col("fp").alias("ifp"), "ik", F.inline(near_blocks(F.col("fp"), radius))))
     far = F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp")))
-    pairs = mine.join(if_small(theirs, 96), ["nw", "block", "value"]).filter(far <= radius)
-    near = checkpoint(pairs.groupBy("nw", "fp").agg(F.collect_set("ik").alias("near")))
+    pairs = mine.join(if_small(theirs, 40), ["nw", "block", "value"]).filter(far <= radius)
+    near = checkpoint(pairs.select("nw", "fp", "ik").distinct())
+    near = near.groupBy("nw", "fp").agg(F.collect_set("ik").alias("near")) if near.count() * 40 > BROADCAST_BYTES else \
+        F.broadcast(near.groupBy("nw", "fp").agg(F.collect_set("ik").alias("near")))
     about = items.select("ik", "item_id", F.col("fp").alias("ifp"), F.col("shingles").alias("wanted"))
     either = F.array_union("named", F.coalesce("near", F.array().cast("array<long>")))
-    checked = (wins.join(if_small(near, 128), ["nw", "fp"], "left").withColumn("ik", F.explode(either)).join(about, "ik")
+    checked = (wins.join(near, ["nw", "fp"], "left").withColumn("ik", F.explode(either)).join(about, "ik")
                .withColumn("hamming", far)
                .withColumn("similarity", _similarity(F.col("shingles"), F.col("wanted")))
                .filter(F.col("similarity") >= similarity))

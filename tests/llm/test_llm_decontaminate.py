@@ -57,9 +57,30 @@ def test_blocks_find_all_fingerprints_within_radius(spark):
     near = [(b, b ^ sum(1 << p for p in r.sample(range(63), r.randrange(0, 20)))) for b in base for _ in range(20)]
     df = spark.createDataFrame(near, "a long, b long")
     from pyspark.sql import functions as F
-    both = df.select("a", "b", D.blocks(F.col("a")).alias("x"), D.blocks(F.col("b")).alias("y")).collect()
-    assert len(both[0]["x"]) == D.RADIUS + 1
-    assert all(any(p == q for p, q in zip(r["x"], r["y"])) for r in both)
+    both = df.distinct().select("a", "b", D.blocks(F.col("a")).alias("x"), D.near_blocks(F.col("b")).alias("y")).collect()
+    assert len(both[0]["x"]) == D.BLOCKS
+    for r in both:
+        probed = {(p["block"], p["value"]) for p in r["y"]}
+        assert len(probed) == len(r["y"]) and any((k, v) in probed for k, v in enumerate(r["x"]))
+
+
+def test_reordered_interleaved_and_shifted_passages(spark):
+    items, rows = [], []
+    for k in range(30):
+        words = prose(600 + k, 60).split()
+        items.append((k, " ".join(words)))
+        head, tail = prose(3000 + k, 15 + k), prose(5000 + k, 20)
+        cut = 10 + k
+        swapped = words[cut:] + words[:cut]
+        dropped = words[3 + k % 4:]
+        inner = words[:cut] + ["odd"] + words[cut:]
+        for j, part in enumerate((swapped, dropped, inner, words[cut:] + ["odd", "words"] + words[:cut], words[::-1])):
+            rows.append((10 * k + j, f"{head} {' '.join(part)} {tail}"))
+        rows.append((10 * k + 6, f"{head} {' '.join(words[:52])}"))  # clipped at the document's end
+        rows.append((10 * k + 7, " ".join(words[:30]) + " " + prose(k, 3) + " " + " ".join(words[30:])))
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.decontaminate(frame(spark, rows), bench(spark, items)).collect()}
+    assert got == brute(rows, items)
+    assert sum(i % 10 == 0 for i, _ in got) == 30 and sum(i % 10 == 6 for i, _ in got) == 30
 
 
 def test_clean_awkward_and_empty_tables(spark):
