@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tablescope.llm.byte_bpe import op5_byte_bpe
-from tablescope.llm.decontaminate import op8_decontaminate
+from tablescope.llm.decontaminate import OP8_SQL, op8_decontaminate
 from tablescope.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tablescope.llm.filter_audit import OP12_SQL, op12_filter_audit
 from tablescope.llm.html_extract import op1_html_extract
@@ -31,5 +31,5 @@ QUERIES = {
     "op12_filter_audit": op12_filter_audit,
     "op13_warc_index": op13_warc_index,
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op11_spelling_variants": OP11_SQL,
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL, "op11_spelling_variants": OP11_SQL,
            "op12_filter_audit": OP12_SQL, "op13_warc_index": OP13_SQL}

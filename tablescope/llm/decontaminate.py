@@ -168,4 +168,27 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("k")
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("k", "hamming")
+
+
+#: Every window at a place where it meets a shingle of an item, without fingerprints.
+OP8_SQL = r"""
+WITH words AS (SELECT row_number() OVER () AS d, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+iw AS (SELECT row_number() OVER () AS ik, item_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM benchmark),
+i AS (SELECT ik, item_id, len(w) AS nw, least(len(w), 5) AS n, greatest(len(w) - 4, 1) AS m, w FROM iw WHERE len(w) > 0),
+wanted AS (SELECT ik, s, count(*) AS weight FROM (SELECT ik, unnest(list_transform(range(m), lambda j: array_to_string(w[j + 1:j + n], ' '))) AS s FROM i) q GROUP BY ik, s),
+laid AS (SELECT d, n, pos, array_to_string(w[pos + 1:pos + n], ' ') AS s FROM
+    (SELECT d, w, n, unnest(range(len(w) - n + 1)) AS pos FROM words JOIN (SELECT DISTINCT n FROM i) k ON len(w) >= n) q),
+hits AS (SELECT laid.d, i.ik, i.m, laid.pos, laid.s, wanted.weight FROM laid JOIN wanted ON laid.s = wanted.s JOIN i ON i.ik = wanted.ik AND i.n = laid.n),
+starts AS (SELECT DISTINCT d, ik, m, unnest(range(greatest(pos - m + 1, 0), pos + 1)) AS start FROM hits),
+common AS (SELECT x.d, x.ik, x.start, x.m, h.s, least(count(*), h.weight) AS c FROM starts x JOIN hits h ON h.d = x.d AND h.ik = x.ik
+    AND h.pos BETWEEN x.start AND x.start + x.m - 1 GROUP BY x.d, x.ik, x.start, x.m, h.s, h.weight),
+scored AS (SELECT c.d, c.ik, c.start, sum(c.c) AS both_n, c.m, least(c.m, len(any_value(words.w)) - any_value(i.n) + 1 - c.start) AS have
+    FROM common c JOIN words ON words.d = c.d JOIN i ON i.ik = c.ik GROUP BY c.d, c.ik, c.start, c.m),
+sim AS (SELECT s.d, i.item_id, i.nw, s.start, CAST(both_n AS DOUBLE) / (s.m + have - both_n) AS similarity FROM scored s JOIN i ON i.ik = s.ik)
+SELECT words.doc_id, item_id, CAST(start AS INTEGER) AS start_word, CAST(nw AS INTEGER) AS n_words, round(similarity, 6) AS similarity FROM sim
+JOIN words ON words.d = sim.d WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY words.doc_id, words.w, item_id ORDER BY similarity DESC, start) = 1
+"""
