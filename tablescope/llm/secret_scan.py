@@ -6,13 +6,16 @@ best tagging of the whole text is decoded by Viterbi. Tokens are cut once, over
 may begin a secret; the only hard constraint is that inside follows begin or inside.
 
 Decoding takes the steps of Viterbi only where they can matter: a secret over tokens i to j changes the score
-of all-outside by at most the sum of their gains (``Tagger.tags``), so a token in no stretch whose gains
-can reach zero is outside in every best tagging. The result is that of Viterbi over all tokens.
+of all-outside by at most the sum of their gains, so a text in which no sum of gains reaches zero has no secret
+(``Tagger.may_hold``, from tables by kind of token, without looking up any token's place), and in the others a token in no
+such stretch is outside in every best tagging (``Tagger.tags``). The result is that of Viterbi over all tokens.
 
 The CRF is trained here, by log-likelihood, with the base spans as its labels, on the texts of at
-most about TRAIN_DOCS documents (chosen by a hash of doc_id) and at most TRAIN_CHAINS chains of each kind:
-tokens around secrets, around other long tokens (``looks_secret``), and at a place of each text drawn by hash.
-Keywords and separators in training chains are hidden at random, so that shape counts too.
+most about TRAIN_DOCS documents (chosen by a hash of doc_id) and at most TRAIN_CHAINS chains of each kind, of at most about
+CHAIN tokens: tokens around secrets, around other long tokens (``looks_secret``), and at a place of each text drawn by hash.
+Only descriptions of tokens reach the driver, not texts. The base patterns alone would teach the CRF to repeat
+them, so chains with a secret are also learnt from with other values and other joints to what stands before them
+(``varied``), and with keywords and separators hidden at random; they weigh more where they are few.
 
 Defined results: a null text is empty and has no spans. Positions are code points, end exclusive;
 a base span is its pattern's whole match. CRF spans never overlap base spans.
@@ -43,7 +46,13 @@ _HEX_RUN = re.compile(rf"[0-9a-f]{{{LEAST_HEX},}}")  # whole runs of HEX that ar
 KEYWORDS = ("password", "passwd", "secret", "token", "key", "auth", "credential", "bearer")
 HIDDEN = frozenset(["KEY", "=", ":", '"', "'"])
 TRAIN_DOCS, TRAIN_CHAINS, EPOCHS, RATE = 20_000, 1500, 4, 0.2
-MIN_SECRET, TOKENS_AROUND, TOKENS_PLAIN = 8, 3, 12  # of training chains
+MIN_SECRET, LONG, TOKENS_AROUND, TOKENS_PLAIN, CHAIN = 8, 14, 3, 12, 64  # of training chains
+HIDE, POSITIVE_SHARE = 0.5, 0.15  # how often keywords are hidden; the least share of all steps that chains with a secret get
+VARIANTS, SWAP_LENGTHS = 8, (12, 49)
+JOINTS = ("", "", "=", ":", '="', ':"', '"', "'", "='")
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = (_LOWER + _UPPER + _DIGITS, _LOWER + _UPPER + _DIGITS + "+/", _LOWER + _UPPER + _DIGITS + "-_", _LOWER + _DIGITS, _UPPER + _DIGITS,
+             _LOWER + _UPPER, _DIGITS + "abcdef")
 KNOWN, KNOWN_CHARS = 1 << 17, 32  # tokens whose kind a task remembers
 TAGS = 3  # outside, begin, inside
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
@@ -66,8 +75,8 @@ def tokens_of(text: str) -> list[tuple[int, int]]:
 
 
 def looks_secret(token: str) -> bool:
-    """Whether training takes the token as a likely mistake: long, and with a digit or an upper-case letter inside."""
-    return len(token) >= MIN_SECRET and re.search("[0-9]|.[A-Z]", token) is not None
+    """Whether training takes the token as a likely mistake: long, and with a digit or an upper-case letter inside, or very long."""
+    return len(token) >= MIN_SECRET and (len(token) >= LONG or re.search("[0-9]|.[A-Z]", token) is not None)
 
 
 def shape(token: str) -> str:
@@ -94,20 +103,24 @@ def word_class(token: str) -> str:
     return low if len(low) == 1 and not low.isalnum() else "num" if low.isdigit() else "word"
 
 
-def chain_features(text: str, spans: list[tuple[int, int]], file: list[str], hide: bool = False) -> list[list[str]]:
-    """The feature names of every token; ``hide`` shows keywords and what joins them to a value as plain words."""
-    tokens = [text[a:b] for a, b in spans]
-    classes = [word_class(t) for t in tokens]
+def described(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, str, str, bool]]:
+    """(shape, letters, word class, whether it touches the token before) of every token."""
+    return [(shape(t), letters(t), word_class(t), k > 0 and spans[k - 1][1] == a)
+            for k, (a, b) in enumerate(spans) for t in (text[a:b],)]
+
+
+def names_of(tokens: list[tuple[str, str, str, bool]], file: list[str], hide: bool = False) -> list[list[str]]:
+    """The feature names of every described token; ``hide`` shows keywords and what joins them to a value as plain words."""
+    classes = [t[2] for t in tokens]
     if hide:
         classes = ["word" if c in HIDDEN else c for c in classes]
-    shapes = [shape(t) for t in tokens]
-    out = []
-    for k in range(len(tokens)):
-        at = lambda i: classes[i] if 0 <= i < len(tokens) else "edge"
-        names = [f"s:{shapes[k]}", f"c:{letters(tokens[k])}", f"w:{classes[k]}", f"p:{at(k - 1)}", f"n:{at(k + 1)}", f"pp:{at(k - 2)}|{at(k - 1)}",
-                 f"sp:{shapes[k][:3]}|{at(k - 1)}", "glued" if k and spans[k - 1][1] == spans[k][0] and not hide else "apart"]
-        out.append(names + file)
-    return out
+    at = lambda i: classes[i] if 0 <= i < len(tokens) else "edge"
+    return [[f"s:{form}", f"c:{turns}", f"w:{classes[k]}", f"p:{at(k - 1)}", f"n:{at(k + 1)}", f"pp:{at(k - 2)}|{at(k - 1)}",
+             f"sp:{form[:3]}|{at(k - 1)}", "glued" if glued and not hide else "apart", *file] for k, (form, turns, _, glued) in enumerate(tokens)]
+
+
+def chain_features(text: str, spans: list[tuple[int, int]], file: list[str], hide: bool = False) -> list[list[str]]:
+    return names_of(described(text, spans), file, hide)
 
 
 def file_features(text: str) -> list[str]:
@@ -150,28 +163,42 @@ class Crf:
             tags.append(int(b[tags[-1]]))
         return tags[::-1]
 
-    def learn(self, tokens: list[str], names: list[list[str]], gold: list[int], rate: float) -> None:
-        """One step up the log-likelihood of ``gold``, by forward and backward sums."""
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s, pair, n = self.scores(tokens, names), self.t + self.PAIRS, len(tokens)
-            a, b = [s[0]], [np.zeros(TAGS)]
-            for row in s[1:]:
-                a.append(np.logaddexp.reduce(a[-1][:, None] + pair, axis=0) + row)
-            for row in s[:0:-1]:
-                b.insert(0, np.logaddexp.reduce(pair + (row + b[0])[None, :], axis=1))
-            z = np.logaddexp.reduce(a[-1])
-            for k in range(n):
-                g = -np.exp(a[k] + b[k] - z)
-                g[gold[k]] += 1
-                for name in names[k]:
-                    if name in self.w:
-                        self.w[name] += rate * (g - 0.001 * self.w[name])
-                    else:
-                        self.w[name] = rate * g
-                if k:
-                    e = -np.exp(a[k - 1][:, None] + pair + (s[k] + b[k])[None, :] - z)
-                    e[gold[k - 1], gold[k]] += 1
-                    self.t += rate * e
+
+class Learner:
+    """Log-likelihood ascent on arrays: a row of weights for every feature, chains as rows of feature numbers."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.names, self.w, self.t = names, np.zeros((len(names), TAGS)), np.zeros((TAGS, TAGS))
+
+    def learn(self, ids: np.ndarray, gold: np.ndarray, rate: float) -> None:
+        """One step of size ``rate`` up the log-likelihood of the tags ``gold``, by forward and backward sums."""
+        s, n = self.w[ids].sum(axis=1), len(ids)
+        s[0, 2] = -np.inf
+        s = np.exp(s - s.max(axis=1, keepdims=True))
+        pair = np.exp(self.t + Crf.PAIRS)
+        a, b = np.empty((n, TAGS)), np.ones((n, TAGS))
+        a[0] = s[0] / s[0].sum()
+        for k in range(1, n):
+            row = (a[k - 1] @ pair) * s[k]
+            a[k] = row / row.sum()
+        for k in range(n - 2, -1, -1):
+            row = pair @ (s[k + 1] * b[k + 1])
+            b[k] = row / row.sum()
+        at = a * b
+        g = -at / at.sum(axis=1, keepdims=True)
+        g[np.arange(n), gold] += 1
+        np.add.at(self.w, ids, rate * g[:, None, :])
+        self.w[ids.ravel()] *= 1 - 0.001 * rate
+        if n > 1:
+            e = a[:-1, :, None] * pair * (s[1:] * b[1:])[:, None, :]
+            e = -(e / e.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            np.add.at(e, (gold[:-1], gold[1:]), 1)
+            self.t += rate * e
+
+    def model(self) -> Crf:
+        out = Crf()
+        out.w, out.t = dict(zip(self.names, self.w)), self.t
+        return out
 
 
 class Tagger:
@@ -204,6 +231,13 @@ class Tagger:
         self.rows: list[np.ndarray] = []
         self.places: list[tuple[int, int]] = []
         self.own, self.place = np.zeros((0, TAGS)), np.zeros((0, 2), dtype=np.int64)
+        # The same tables as gains of begin and inside over outside, for the screening of whole texts.
+        over = lambda table: table[..., 1:] - table[..., :1]
+        self.gain = np.zeros((0, TAGS - 1))
+        self.context, self.ahead = over(self.two + self.prev[None, :, :]).reshape(-1, TAGS - 1), over(self.next)
+        self.start, self.touch = over(self.after).reshape(-1, TAGS - 1), over(self.joint).max(axis=0)
+        t = model.t
+        self.bounds = t[0, 1] - t[0, 0], t[1:, 0].max() - t[0, 0], t[1:, 1:].max() - t[0, 0]  # enter, leave, stay
 
     def kind(self, token: str) -> int:
         got = self.known.get(token)
@@ -220,6 +254,31 @@ class Tagger:
                 self.known[token] = got
         return got
 
+    def may_hold(self, text: str) -> bool:
+        """False if all tokens are provably outside in every best tagging: the sums of gains of ``tags``, with the better
+        of touching and not touching the token before, reach zero nowhere. No token's place is looked up for that."""
+        tokens = _TOKEN.findall(text)
+        kinds = list(map(self.known.get, tokens))
+        if None in kinds:
+            kinds = [self.kind(t) if k is None else k for t, k in zip(tokens, kinds)]
+        if not kinds:
+            return False
+        if len(self.gain) < len(self.rows):
+            own = np.array(self.rows)
+            self.gain, self.place = own[:, 1:] - own[:, :1], np.array(self.places)
+        k = np.array(kinds)
+        cls, first = self.place[k].T
+        around = np.ones(len(k) + 3, dtype=np.int64)
+        around[2:-1] = cls
+        g = self.gain[k] + self.context[around[:-3] * len(self.classes) + around[1:-2]] + self.ahead[around[3:]]
+        g += self.start[first * len(self.classes) + around[1:-2]]
+        file = sum(self.model.w.get(f, self.model.zero) for f in file_features(text))
+        total = np.concatenate([[0.0], (g + (self.touch + file[1:] - file[0])).max(axis=1).cumsum()])
+        stay = self.bounds[2]
+        total += stay * np.arange(len(total))
+        most = (np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])).max()
+        return bool(most + max(self.bounds[0], 0.0) + max(self.bounds[1], 0.0) - stay >= -1e-3)
+
     def scores(self, text: str) -> tuple[array, array, np.ndarray]:
         """Starts, ends and scores of all tokens of a text."""
         starts, ends, kinds, kind = array("q"), array("q"), array("q"), self.kind
@@ -246,8 +305,7 @@ class Tagger:
 
     def tags(self, s: np.ndarray) -> list[tuple[int, list[int]]]:
         """(place, tags) of the stretches that may hold a secret; all other tokens are outside."""
-        t, n = self.model.t, len(s)
-        enter, leave, stay = t[0, 1] - t[0, 0], t[1:, 0].max() - t[0, 0], t[1:, 1:].max() - t[0, 0]
+        n, (enter, leave, stay) = len(s), self.bounds
         total = np.concatenate([[0.0], (s[:, 1:].max(axis=1) - s[:, 0] + stay).cumsum()])
         most = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
         live = np.flatnonzero(most + max(enter, 0.0) + max(leave, 0.0) - stay >= -1e-3)
@@ -274,7 +332,8 @@ def gold_tags(spans: list[tuple[int, int]], secrets: list[tuple[int, int]]) -> l
 
 def training_chains(text: str) -> list[tuple[int, int, list[int], int]]:
     """(first token, end, tags, kind) of the stretches to learn from: 0 with a secret, 1 with a token like one, 2 plain.
-    Stretches that meet are one, so no secret is cut."""
+    Stretches that meet are one, and parts of at most about CHAIN tokens are cut between secrets (a secret of more than
+    4 * CHAIN tokens is cut off there)."""
     spans = tokens_of(text)
     if not spans:
         return []
@@ -288,7 +347,15 @@ def training_chains(text: str) -> list[tuple[int, int, list[int], int]]:
         else:
             out.append([lo, hi])
     like = lambda lo, hi: any(looks_secret(text[a:b]) for a, b in spans[lo:hi])
-    return [(lo, hi, tags[lo:hi], 0 if any(tags[lo:hi]) else 1 if like(lo, hi) else 2) for lo, hi in out]
+    short: list[tuple[int, int]] = []
+    for lo, hi in out:  # long stretches in parts, none of which begins inside a secret
+        while hi - lo > CHAIN:
+            cut = next((k for k in range(lo + CHAIN, min(hi, lo + 4 * CHAIN)) if tags[k] != 2), min(hi, lo + 4 * CHAIN))
+            short.append((lo, cut))
+            lo = next((k for k in range(cut, hi) if tags[k] != 2), hi)
+        if lo < hi:
+            short.append((lo, hi))
+    return [(lo, hi, tags[lo:hi], 0 if any(tags[lo:hi]) else 1 if like(lo, hi) else 2) for lo, hi in short]
 
 
 def secret_parts(text: str) -> list[tuple[int, int]]:
@@ -302,7 +369,6 @@ def secret_parts(text: str) -> list[tuple[int, int]]:
 
 def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> Crf:
     """Fit on the chains of about ``rows`` documents. With nothing to learn from, all is outside."""
-    model = Crf()
     total = docs.count()
     draw = F.pmod(F.xxhash64(F.lit("secrets"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = docs.select("doc_id", text_of().alias("text")).filter(draw < min(1.0, rows / max(total, 1)))
@@ -314,31 +380,73 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> Crf:
                 spans, file = tokens_of(text), file_features(text)
                 for lo, hi, tags, kind in training_chains(text):
                     left = min(lo, 2)  # neighbours that the features look at
-                    c = spans[lo - left:hi + 1]
-                    at = max(0, c[0][0] - 1)
-                    found.append((text[at:c[-1][1] + 1], [x - at for s in c for x in s], left, tags, file, kind))
-            yield pd.DataFrame(found, columns=["text", "spans", "left", "tags", "file", "kind"])
-
-    found = checkpoint(sample.mapInPandas(collect, "text string, spans array<int>, left int, tags array<int>, file array<string>, kind int"))
-    order = F.xxhash64("text", "spans")
-    got = [r for k in range(3) for r in found.filter(F.col("kind") == k).orderBy(order, "text").limit(TRAIN_CHAINS).collect()]
-    if not any(r["kind"] == 0 for r in got):
-        return model
-    turn = np.random.default_rng(11)
+                    near = spans[max(0, lo - left - 1):hi + 1]
+                    tokens = described(text, near)[1 if lo - left > 0 else 0:]
+                    found.append(([x for t in tokens for x in t[:3]], [t[3] for t in tokens], left, tags, file, kind))
+            yield pd.DataFrame(found, columns=["tokens", "glued", "left", "tags", "file", "kind"])
+
+    found = checkpoint(sample.mapInPandas(collect, "tokens array<string>, glued array<boolean>, left int, tags array<int>, file array<string>, kind int"))
+    order = F.xxhash64("tokens", "tags", "file")
+    got = [r for k in range(3) for r in found.filter(F.col("kind") == k).orderBy(order, "tokens", "tags").limit(TRAIN_CHAINS).collect()]
+    hits = sum(r["kind"] == 0 for r in got)
+    return fit([(list(zip(r["tokens"][::3], r["tokens"][1::3], r["tokens"][2::3], r["glued"])), r["left"], r["tags"], r["file"]) for r in got], hits) if hits else Crf()
+
+
+def varied(tokens: list, tags: list[int], draw: np.random.Generator) -> tuple[list, list[int]]:
+    """Described tokens and tags with other values in the place of the labelled ones, joined to what stands before them in
+    another way: what one corpus's labels look like (40 hexadecimal digits in quotes, say) is not what secrets look
+    like elsewhere. A tag of -1 marks a neighbour outside the chain; it stays at its side of it."""
+    alphabet, marks = ALPHABETS[draw.integers(len(ALPHABETS))], JOINTS[draw.integers(len(JOINTS))]
+    out, kept, quoted = [], [], False
+    for token, tag in zip(tokens, tags):
+        if tag == 1:
+            while out and kept[-1] <= 0 and out[-1][2] in HIDDEN and out[-1][2] != "KEY":
+                out.pop()
+                kept.pop()
+            for mark in marks:
+                out.append((mark, letters(mark), mark, bool(draw.random() < 0.5)))
+                kept.append(0)
+            quoted = marks[-1:] in ('"', "'")
+        elif tag <= 0 and kept and kept[-1] > 0 and token[2] in ('"', "'") and not quoted:
+            continue  # the closing quote of a value that no longer opens with one
+        if tag > 0 and len(token[0]) > 1:  # not a single mark
+            value = "".join(alphabet[c] for c in draw.integers(len(alphabet), size=draw.integers(*SWAP_LENGTHS)))
+            token = shape(value), letters(value), word_class(value), tag == 2 or bool(marks and draw.random() < 0.7)
+        out.append(token)
+        kept.append(tag)
+    return out, kept
+
+
+def fit(chains: list[tuple[list, int, list[int], list[str]]], hits: int) -> Crf:
+    """A model of ``chains`` (described tokens, how many of them only are neighbours on the left, tags, file features),
+    of which the first ``hits`` hold a secret. Chains with a secret count more where they are few, and are learnt from with
+    their own values and in VARIANTS other ways (``varied``)."""
+    at: dict[str, int] = {}
+    number = lambda rows: np.array([[at.setdefault(n, len(at)) for n in row] for row in rows])
+    turn, data = np.random.default_rng(11), []
+    for k, (tokens, left, tags, file) in enumerate(chains):
+        own = [-1] * left + list(tags) + [-1] * (len(tokens) - left - len(tags))
+        kinds = []
+        for t, tag in [(tokens, own)] + [varied(tokens, own, turn) for _ in range(VARIANTS if k < hits else 0)]:
+            inner = [i for i, x in enumerate(tag) if x >= 0]
+            rows = [names_of(t, file, hide) for hide in (False, True)]
+            kinds.append(([number([r[i] for i in inner]) for r in rows], np.array([tag[i] for i in inner])))
+        data.append(kinds)
+    learner = Learner(list(at))
+    more = max(1.0, min(8.0, POSITIVE_SHARE * (len(chains) - hits) / ((1 - POSITIVE_SHARE) * hits)))
     for epoch in range(EPOCHS):
-        for k in turn.permutation(len(got)):
-            r = got[k]
-            spans = list(zip(r["spans"][::2], r["spans"][1::2]))
-            names = chain_features(r["text"], spans, r["file"], hide=turn.random() < 0.3)
-            inner = slice(r["left"], r["left"] + len(r["tags"]))
-            model.learn([r["text"][a:b] for a, b in spans[inner]], names[inner], list(r["tags"]), RATE / (1 + epoch))
-    return model
+        for k in turn.permutation(len(data)):
+            ids, tags = data[k][turn.integers(len(data[k]))]
+            learner.learn(ids[int(turn.random() < HIDE)], tags, RATE / (1 + epoch) * (more if k < hits else 1.0))
+    return learner.model()
 
 
 def crf_spans(text: str, tagger: Tagger, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    if not tagger.may_hold(text):
+        return []
     starts, ends, s = tagger.scores(text)
     out = []
-    for at, tags in tagger.tags(s) if starts else []:
+    for at, tags in tagger.tags(s):
         k = 0
         while k < len(tags):
             if tags[k] != 1:

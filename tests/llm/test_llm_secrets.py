@@ -39,7 +39,7 @@ def test_decoding_is_viterbi_over_all_tokens():
     r, draw = random.Random(5), np.random.default_rng(5)
     pieces = ["alpha", "Beta", "password", "=", ":", " ", " ", " ", "|", '"', "é", "x9f3kd82jfQ", "QwErTyUiOp", "1234567890", "\n", "日本", "a.b", "||"]
     texts = ["".join(r.choice(pieces) for _ in range(r.randrange(1, 60))) for _ in range(300)] + ["", " ", "|", "a" * 70_000 + "1"]
-    some = 0
+    some = screened = 0
     for turn in range(6):
         m = S.Crf()
         m.t = draw.normal(size=(3, 3))
@@ -52,7 +52,7 @@ def test_decoding_is_viterbi_over_all_tokens():
         for text in texts:
             c = S.tokens_of(text)
             if not c:
-                assert S.crf_spans(text, tagger, []) == []
+                assert S.crf_spans(text, tagger, []) == [] and not tagger.may_hold(text)
                 continue
             tokens, names = [text[a:b] for a, b in c], S.chain_features(text, c, S.file_features(text))
             starts, ends, s = tagger.scores(text)
@@ -61,8 +61,10 @@ def test_decoding_is_viterbi_over_all_tokens():
             for at, tags in tagger.tags(s):
                 got[at:at + len(tags)] = tags
             assert got == m.viterbi(tokens, names)
+            assert tagger.may_hold(text) or not any(got)
             some += sum(got)
-    assert some
+            screened += not tagger.may_hold(text)
+    assert some and screened
 
 
 def test_training_chains_keep_every_labelled_secret():
@@ -85,3 +87,27 @@ def test_long_and_dotted_secrets_after_a_number(spark):
         held.append((k, f"{head}{secret} {plain(k + 3, 12)}"))
         want[k] = [("crf", len(head), len(head) + len(secret))]
     assert spans(spark, held, model) == want
+
+
+def test_keyless_secrets_of_other_looks_than_the_labels(spark):
+    """All labels are quoted digests of 40 hexadecimal digits; planted are others, after other words or none."""
+    r = random.Random(30)
+    rows = [(k, f"{plain(k, 30)}" + (f' token = "{code(r, 40, "0123456789abcdef")}" {plain(k + 1, 9)}' if k % 4 == 0 else " Thhsheitschlichkeiten (017) 555-7713 LOUDWORDS!!")) for k in range(800)]
+    model = S.train(frame(spark, rows))
+    held, want = [], {}
+    for k in range(200):
+        head = plain(k + 50, 20) + r.choice([" auth=", " credential: ", " bearer ", " the private key is ", " "])
+        want[k] = ("crf", len(head), len(head) + 24)
+        held.append((k, head + code(r, 24, LETTERS + "0123456789") + " " + plain(k + 2, 20)))
+    held += [(1000 + k, plain(k, 60) + " Thhsheitschlichkeiten (017) 555-7713 LOUDWORDS!! " + plain(k, 5)) for k in range(200)]
+    got = spans(spark, held, model)
+    assert sum(want[k] in got[k] for k in want) >= 0.9 * len(want)
+    assert sum(len(got[1000 + k]) for k in range(200)) <= 2
+
+
+def test_very_long_stretches_are_learnt_in_parts():
+    r = random.Random(2)
+    text = " ".join(f"{code(r, 12)}1" for _ in range(3000)) + " password=" + ".".join(code(r, 9) for _ in range(400))
+    parts = S.training_chains(text)
+    assert max(hi - lo for lo, hi, _, _ in parts) <= 4 * S.CHAIN and all(tags[0] != 2 for *_, tags, _ in parts)
+    assert any(kind == 0 for *_, kind in parts)
