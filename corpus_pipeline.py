@@ -7,13 +7,11 @@ all rows its predecessor kept; all but the last return the columns of ``document
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tablescope.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id
 from tablescope.llm.common import prepare, read
-from tablescope.session import ensure_checkpoint_dir
+from tablescope.session import checkpoint_folder
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    root = checkpoint_folder(spark, "pipeline")  # deleted with the checkpoint tables
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}-{name}")
         docs = spark.read.parquet(f"{root}/{k}-{name}")
