@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import read, text_of
+from tablescope.llm.common import prepare, read, text_of
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 LEAF_CHARS, LEAF_IDS = 4096, 4096
@@ -175,6 +175,7 @@ def codec(name: str) -> Codec:
 
 def encode_decode(docs: DataFrame, tokenizer: str = TOKENIZER, leaf: int = LEAF_CHARS) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers), decoded (binary), one row per row."""
+    prepare(docs.sparkSession)
     schema = "doc_id long, ids binary, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

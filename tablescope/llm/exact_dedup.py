@@ -84,11 +84,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = without(docs, gone)
     if twins.isEmpty():
         return kept
-    # Rows that repeat doc_id and text: one of each comes back.
+    # Rows that repeat doc_id and text: one of each comes back, by the hash of the whole row, so that a task run again
+    # brings back the same one.
     t = twins.select(F.col("doc_id").alias("t_id"), F.col("k").alias("t_key"))
     again = packed(docs).withColumns({"k_id": F.col("row.doc_id"), "k_key": text_key("row.text")})
     again = again.join(t, F.col("k_id").eqNullSafe(F.col("t_id")) & (F.col("k_key") == F.col("t_key")), "left_semi")
-    return kept.unionByName(unpacked(again.groupBy("k_id", "k_key").agg(F.first("row").alias("row")), docs.columns))
+    return kept.unionByName(unpacked(again.groupBy("k_id", "k_key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")), docs.columns))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

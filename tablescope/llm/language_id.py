@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import packed, read, unpacked
+from tablescope.llm.common import packed, prepare, read, unpacked
 
 TRAIN_ROWS = 300   # of each language, about
 BUCKETS = 4096
@@ -158,12 +158,14 @@ def predictor(model: Model | None):
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous: one row per row of ``docs``."""
+    prepare(docs.sparkSession)
     guess = predictor(model or train(docs))(F.col("text").cast("string"))
     return docs.select("doc_id", held_out().alias("held_out"), guess.alias("guess")).select("doc_id", "held_out", "guess.*")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without texts whose language is unknown (null, or no letter), all columns unchanged."""
+    prepare(docs.sparkSession)
     rows = packed(docs).withColumn("guess", predictor(train(docs))(F.col("row.text").cast("string")))
     return unpacked(rows.filter(F.col("guess.lang_pred") != UNKNOWN), docs.columns)
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import checkpoint, read, text_of
+from tablescope.llm.common import checkpoint, prepare, read, text_of
 
 TRAIN_ROWS = 3000
 BUCKETS = 1 << 13
@@ -169,6 +169,7 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], soft: np.ndarray) -> t
 
 def classify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, weak_label (posterior that the text is good), score (of the scorer), quality (0 or 1)."""
+    prepare(docs.sparkSession)
     @F.pandas_udf("int")
     def vote(texts: pd.Series) -> pd.Series:
         return texts.map(pattern).astype(np.int32)

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import checkpoint, read, text_of
+from tablescope.llm.common import checkpoint, prepare, read, text_of
 
 KINDS = ("assign", "access", "hex", "crf")
 # The base patterns and the lengths their matches must reach.
@@ -464,6 +464,7 @@ def crf_spans(text: str, tagger: Tagger, base: list[tuple[int, int, int]]) -> li
 
 def scan(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     """doc_id and spans: array of (kind, start, end) by start, then kind as listed; one row per row."""
+    prepare(docs.sparkSession)
     model = model or train(docs)
     span = "struct<kind:string,start:int,end:int>"
 

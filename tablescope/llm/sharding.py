@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import checkpoint, read, text_of
+from tablescope.llm.common import checkpoint, prepare, read, text_of
 
 SHARDS = 16
 TOLERANCE = 0.001       # of a shard's share of the bytes, for a shard's splitter
@@ -142,6 +142,7 @@ def find_splitters(rows: DataFrame, shards: int = SHARDS, fine: int | None = Non
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, fine: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, fine_range for every row of ``docs``."""
+    prepare(docs.sparkSession)
     text = text_of().cast("binary")
     rows = checkpoint(docs.select(
         "doc_id", F.shiftrightunsigned(F.xxhash64(text), 2).alias("h"), F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("d"),
