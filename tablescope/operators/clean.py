@@ -26,6 +26,7 @@ from ..functions.numbers import (blank_is_missing, comma_to_dot, nan_is_missing,
                                  text_to_unsigned)
 from . import schema as S
 from . import votes as VT
+from .blocks import in_blocks
 from .top import most_common
 from ..session import checkpoint as _ckpt
 from ..session import release as _release
@@ -86,11 +87,6 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     return df.drop(*empty_columns(df)) if df.columns else df
 
 
-def _text_checks(i: int) -> list:
-    """Aggregates of a text column's votes, computed once per row in a projection below (``_v{i}``; null: a gap)."""
-    return [*VT.tally(F.col(f"_v{i}"), f"_every{i}", f"_some{i}"), F.count(f"_v{i}").alias(f"_seen{i}")]
-
-
 @dataclass
 class ConversionPlan:
     rows: int
@@ -100,41 +96,41 @@ class ConversionPlan:
     rows_in: int | None = None
 
 
-def conversion_plan(df: DataFrame, extra=(), source: DataFrame | None = None) -> ConversionPlan:
+def conversion_plan(df: DataFrame, counted: str | None = None, source: DataFrame | None = None) -> ConversionPlan:
     """One pass: rows, non-null count per column, target type per text column, and the
     number of cells each column will have missing after coercion.
 
-    ``source``/``extra``: aggregate over a frame that carries more columns than ``df``
-    (the dedup counts), adding ``extra`` aggregates to the same pass.
+    ``source``/``counted``: aggregate over a frame that has ``df``'s columns and a column ``counted`` of copies per row,
+    whose sum is the number of rows before the dedup. Wide headers are judged in blocks of columns (``blocks``).
     """
-    texts = set(S.text_columns(df))
-    nums = set(S.numeric_columns(df))
-    aggs = [F.count(F.lit(1)).alias("_rows"), *extra]
-    votes, types = [], []
-    for i, c in enumerate(df.columns):
-        aggs.append(F.count(_present(df, c)).alias(f"_nn{i}"))
-        if c in texts:
-            votes.append(VT.vote(blank_is_missing(qcol(c))).alias(f"_v{i}"))
-            aggs += _text_checks(i)
-            every, some = F.col(f"_every{i}"), F.col(f"_some{i}")
-            # Whole numbers beyond 64 bits are refused: the column stays text and loses nothing.
-            types.append(F.when((F.col(f"_nn{i}") > 0) & (VT.is_number(every, some) | (F.col(f"_seen{i}") == 0)),
-                                VT.number_type(every, some, F.col(f"_seen{i}") == F.col("_rows"))).alias(f"_type{i}"))
-        elif c in nums:
-            aggs.append(F.count_if(_num(df, c).isNull()).alias(f"_gap{i}"))
-    r = (source if source is not None else df).select("*", *votes).agg(*aggs).select("*", *types).first()
-    rows = r["_rows"]
-    nonnull = {c: r[f"_nn{i}"] for i, c in enumerate(df.columns)}
-    targets, gaps = {}, {}
-    for i, c in enumerate(df.columns):
-        if c in texts:
-            if r[f"_type{i}"]:
-                targets[c], gaps[c] = r[f"_type{i}"], rows - r[f"_seen{i}"]
-            else:
-                gaps[c] = rows - nonnull[c]
-        elif c in nums:
-            gaps[c] = r[f"_gap{i}"]
-    return ConversionPlan(rows, nonnull, targets, gaps, r["_rows_in"] if "_rows_in" in r else None)
+    texts, nums, names = set(S.text_columns(df)), set(S.numeric_columns(df)), df.columns
+    if not names:
+        return ConversionPlan((df if source is None else source).count(), {}, {}, {})
+    none = F.lit(None).cast("int")
+    rows, width = in_blocks(df if source is None else source, [], copies=[qcol(counted) if counted else F.lit(1).cast("bigint")] * len(names),
+                            there=[_present(df, c).isNotNull().cast("int") for c in names],
+                            vote=[VT.vote(blank_is_missing(qcol(c))) if c in texts else none for c in names])
+    aggs = [F.sum("_one").alias("_rows"), F.coalesce(F.sum("copies0"), F.lit(0)).alias("_rows_in")]
+    for j in range(width):
+        aggs += [F.coalesce(F.sum(f"there{j}"), F.lit(0)).alias(f"_nn{j}"), *VT.tally(F.col(f"vote{j}"), f"_every{j}", f"_some{j}"),
+                 F.count(f"vote{j}").alias(f"_seen{j}")]
+    found = []
+    for j in range(width):
+        every, some, seen = (F.col(f"{k}{j}") for k in ("_every", "_some", "_seen"))
+        # Whole numbers beyond 64 bits are refused: the column stays text and loses nothing.
+        to = F.when((F.col(f"_nn{j}") > 0) & (VT.is_number(every, some) | (seen == 0)), VT.number_type(every, some, seen == F.col("_rows")))
+        found.append(F.struct((F.col("_b") * width + j).alias("i"), F.col(f"_nn{j}").alias("nonnull"), seen.alias("seen"), to.alias("target")))
+    judged = rows.groupBy("_b").agg(*aggs).select("_rows", "_rows_in", F.inline(F.array(*found))).where(F.col("i") < len(names)).collect()  # one row per column
+    total = judged[0]["_rows"]
+    nonnull, targets, gaps = {}, {}, {}
+    for r in sorted(judged, key=lambda r: r["i"]):
+        c = names[r["i"]]
+        nonnull[c] = r["nonnull"]
+        if c in texts and r["target"]:
+            targets[c], gaps[c] = r["target"], total - r["seen"]
+        elif c in texts or c in nums:
+            gaps[c] = total - r["nonnull"]
+    return ConversionPlan(total, nonnull, targets, gaps, judged[0]["_rows_in"] if counted else None)
 
 
 def coerce(df: DataFrame, targets: dict[str, str], rewrite_text: bool = True) -> DataFrame:
@@ -162,8 +158,10 @@ def fill_values(df: DataFrame, numeric_cols: list[str], text_cols: list[str]) ->
     """Mean per numeric column (NaN counts as missing) and mode per text column with gaps."""
     values: dict[str, object] = {}
     if numeric_cols:
-        r = df.agg(*[F.avg(_num(df, c)).alias(f"_m{i}") for i, c in enumerate(numeric_cols)]).first()
-        values.update({c: r[f"_m{i}"] for i, c in enumerate(numeric_cols)})
+        rows, width = in_blocks(df, [], x=[_num(df, c) for c in numeric_cols])
+        means = rows.groupBy("_b").agg(*[F.avg(f"x{j}").alias(f"_m{j}") for j in range(width)]).select(
+            F.inline(F.array(*[F.struct((F.col("_b") * width + j).alias("i"), F.col(f"_m{j}").alias("mean")) for j in range(width)])))
+        values.update({numeric_cols[r["i"]]: r["mean"] for r in means.collect() if r["i"] < len(numeric_cols)})
     if text_cols:
         cells = F.array(*[F.struct(F.lit(i).alias("position"), qcol(c).alias("value")) for i, c in enumerate(text_cols)])
         tops = {r["position"]: r["top"] for r in most_common(df.select(F.inline(cells)), ["position"]).collect()}  # one row per column
@@ -226,7 +224,7 @@ def _grouped(df: DataFrame) -> DataFrame:
 
 def _plan(df: DataFrame, grouped: DataFrame) -> tuple[DataFrame, ConversionPlan, list[str]]:
     deduped = grouped.select(*[qcol(c) for c in df.columns])
-    plan = conversion_plan(deduped, extra=[F.sum(grouped["__copies"]).alias("_rows_in")], source=grouped)
+    plan = conversion_plan(deduped, "__copies", grouped)
     return deduped, plan, [c for c in deduped.columns if plan.nonnull[c] == 0]
 
 

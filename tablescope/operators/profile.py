@@ -22,6 +22,7 @@ from ..functions.names import qcol
 from ..session import checkpoint as _ckpt
 from ..functions.numbers import nan_is_missing
 from . import schema as S
+from .blocks import in_blocks
 from .median import exact_median
 from .top import most_common
 
@@ -56,27 +57,29 @@ def profile_numeric(df: DataFrame, columns=None, keys=(), median: str = "exact",
     # Keys get working names, so that none of them clashes with a column of the result.
     ks = [f"_k{i}" for i in range(len(keys))]
     keyed = [qcol(k).alias(ks[i]) for i, k in enumerate(keys)]
-    values = df.select(*keyed, *[numeric_value(df, c).alias(f"_x{i}") for i, c in enumerate(cols)])
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i in range(len(cols)):
+    values, width = in_blocks(df, keyed, _x=[numeric_value(df, c) for c in cols])
+    aggs = [F.sum("_one").alias("_rows")]
+    for i in range(width):
         x = F.col(f"_x{i}")
         aggs += [F.avg(x).alias(f"_avg{i}"), F.min(x).alias(f"_min{i}"), F.max(x).alias(f"_max{i}"),
                  F.stddev_samp(x).alias(f"_std{i}"), F.count(x).alias(f"_cnt{i}")]
         if median == "approximate":
             aggs.append(F.percentile_approx(x, 0.5, 10_000).cast("double").alias(f"_med{i}"))
-    wide = values.groupBy(*ks).agg(*aggs)
+    wide = values.groupBy(*ks, "_b").agg(*aggs)
+    nth = lambda i: F.col("_b") * width + i  # noqa: E731  (the number of a column among ``cols``)
+    place, name = F.array(*[F.lit(pos[c]) for c in cols]), F.array(*[F.lit(c) for c in cols])
     rows = F.array(*[
-        F.struct(F.lit(pos[c]).alias("position"), F.lit(c).alias("column_name"),
+        F.struct(F.get(place, nth(i)).alias("position"), F.get(name, nth(i)).alias("column_name"),
                  F.col("_rows").alias("row_count"), F.col(f"_avg{i}").alias("mean"),
                  F.col(f"_min{i}").alias("min"), F.col(f"_max{i}").alias("max"), F.col(f"_std{i}").alias("std"),
                  (F.col("_rows") - F.col(f"_cnt{i}")).alias("missing"),
                  *([F.col(f"_med{i}").alias("median")] if median == "approximate" else []))
-        for i, c in enumerate(cols)])
-    stats = wide.select(*ks, F.inline(rows))
+        for i in range(width)])
+    stats = wide.select(*ks, F.inline(rows)).where(F.col("position").isNotNull())
     if median != "approximate":
-        args = [F.lit(len(cols))]
-        for i, c in enumerate(cols):
-            args += [F.lit(pos[c]), F.col(f"_x{i}")]
+        args = [F.lit(width)]
+        for i in range(width):
+            args += [F.get(place, nth(i)), F.col(f"_x{i}")]
         stacked = values.select(*ks, F.stack(*args).alias("_p", "value"))
         med = exact_median(stacked, [*ks, "_p"], **median_opts).select(*[F.col(k).alias(f"m{k}") for k in ks], "_p", "median")
         on = (F.col("position") == F.col("_p"))
