@@ -7,7 +7,7 @@ from tablescope.llm.decontaminate import OP8_SQL, op8_decontaminate
 from tablescope.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tablescope.llm.filter_audit import OP12_SQL, op12_filter_audit
 from tablescope.llm.html_extract import op1_html_extract
-from tablescope.llm.jaccard_join import op6_jaccard_join
+from tablescope.llm.jaccard_join import OP6_SQL, op6_jaccard_join
 from tablescope.llm.language_id import op2_language_id
 from tablescope.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tablescope.llm.quality import op9_quality
@@ -31,5 +31,5 @@ QUERIES = {
     "op12_filter_audit": op12_filter_audit,
     "op13_warc_index": op13_warc_index,
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL, "op11_spelling_variants": OP11_SQL,
-           "op12_filter_audit": OP12_SQL, "op13_warc_index": OP13_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op8_decontaminate": OP8_SQL,
+           "op11_spelling_variants": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_warc_index": OP13_SQL}
