@@ -14,6 +14,8 @@ the values themselves.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,6 +143,28 @@ def profile_categorical(df: DataFrame, columns=None, keys=()) -> DataFrame:
                     F.coalesce("missing", F.lit(0)).cast("bigint").alias("missing")))
 
 
+def profile_categorical_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """(dataset, position, column_name, unique_values, most_common, most_common_count, missing) of the text columns of tables
+    with different schemas: their stacked values are one table keyed by (dataset, position), counted in one exchange, so
+    the number of jobs does not grow with the number of tables."""
+    key, parts, listed = ["dataset", "position"], [], []
+    for name, df in tables.items():
+        pos, cols = S.positions(df), S.text_columns(df)
+        if cols:
+            args = [F.lit(len(cols))]
+            for c in cols:
+                args += [F.lit(pos[c]), qcol(c).cast("string")]
+            parts.append(df.select(F.lit(name).alias("dataset"), F.stack(*args).alias("position", "value")))
+        listed += [(name, pos[c], c) for c in cols]
+    spark = next(iter(tables.values())).sparkSession
+    names = spark.createDataFrame(listed, "dataset string, position int, column_name string")
+    prof = most_common(reduce(DataFrame.unionAll, parts), key) if parts else names.select(
+        *key, F.lit(None).cast("string").alias("top"), *[F.lit(0).cast("bigint").alias(c) for c in ("top_n", "unique_values", "missing")])
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return names.join(prof, key, "left").select(*key, "column_name", zero("unique_values").alias("unique_values"), F.col("top").alias("most_common"),
+                                                zero("top_n").alias("most_common_count"), zero("missing").alias("missing"))
+
+
 def dataset_profile(df: DataFrame, dataset_id: str, detected_type: str | None = None) -> DataFrame:
     """One row: (dataset_id, row_count, column_count, columns ARRAY<STRING>, detected_type)."""
     detected = detected_type or S.detect_type(df)

@@ -54,8 +54,8 @@ def count_values(values: DataFrame, keys, bits: int = 64) -> DataFrame:
     counts = _ckpt(values.select(*ks, *_hashes(bits), check.alias("_c")).groupBy(*ks, "_h1", "_h2")
                    .agg(F.count(F.lit(1)).alias("n"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi")))
     plain = counts.select(*ks, "_h1", "_h2", F.lit(None).cast("string").alias("_text"), "n")
-    clash = counts.where(F.col("_h1").isNotNull() & (F.col("_lo") != F.col("_hi")))
-    if clash.isEmpty():
+    clash = counts.where(F.col("_h1").isNotNull() & (F.col("_lo") != F.col("_hi"))).select(*ks, "_h1", "_h2")
+    if not clash.take(1):
         return plain
     c = _renamed(clash, keys, "_q", F.col("_h1").alias("_q_1"), F.col("_h2").alias("_q_2"))
     on = _same(keys, "_q") & (F.col("_h1") == F.col("_q_1")) & (F.col("_h2") == F.col("_q_2"))
@@ -81,12 +81,13 @@ def most_common(values: DataFrame, keys, bits: int = 64, broadcast_bytes: int =
     known = tied.where(F.col("_text").isNotNull()).select(*ks, F.col("_text").alias("value"))
     tied = tied.where(F.col("_text").isNull()).select(*ks, "_h1", "_h2")
     hashed = values.where(F.col("value").isNotNull()).select(*ks, "value", *_hashes(bits))
+    n = tied.count()
     for step in range(NARROWING):
-        if tied.count() * _ROW_BYTES <= broadcast_bytes:
+        if n * _ROW_BYTES <= broadcast_bytes:
             break
         # Too many to broadcast: keep, in each group, the values whose next bytes are least. Hashes and numbers move, not texts.
         tied = _narrow(hashed.select(*ks, "_h1", "_h2", _front(F.col("value"), step).alias("_p")), tied, keys)
-    n = tied.count()
+        n = tied.count()
     t = _renamed(tied, keys, "_q", F.col("_h1").alias("_q_1"), F.col("_h2").alias("_q_2"))
     if n * _ROW_BYTES <= broadcast_bytes:
         t = F.broadcast(t)  # else values that agree in their first bytes, of which the join shuffles what is tied

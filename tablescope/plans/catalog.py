@@ -118,7 +118,7 @@ CATEGORICAL_TABLES = ("orders", "lineitem", "events", "part", "customer", "docum
 
 def q_categorical_profile(spark: SparkSession, sf: str) -> DataFrame:
     tables = {t: I.load(spark, sf, t) for t in CATEGORICAL_TABLES} | {"lineitem": I.run(spark, sf, I.LINEITEM_GAPS)}
-    return _union([P.profile_categorical(df).select(F.lit(t).alias("dataset"), "*") for t, df in tables.items()])
+    return P.profile_categorical_tables(tables)
 
 
 def _o_top(t: str, c: str, what: str) -> str:

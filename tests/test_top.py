@@ -50,3 +50,15 @@ def test_no_exchange_of_the_counts_carries_texts(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "k int, value string")
     assert TP.most_common(df, ["k"]).collect() == []
+
+
+def test_tables_of_different_schemas_in_one_exchange(spark):
+    from tablescope.operators import profile as P
+    a = spark.createDataFrame([(1, "x", None), (2, "x", "p"), (3, "y", "q")], "n int, t string, u string")
+    b = spark.createDataFrame([("k",), ("k",), ("j",)], "only string")
+    tables = {"a": a, "b": b, "none": spark.range(3), "empty": a.limit(0)}
+    got = sorted(tuple(r) for r in P.profile_categorical_tables(tables).collect() if r["dataset"] != "empty")
+    want = sorted((t, *r) for t in ("a", "b") for r in P.profile_categorical(tables[t]).collect())
+    assert got == want
+    empty = [tuple(r)[2:] for r in P.profile_categorical_tables({"empty": tables["empty"]}).orderBy("position").collect()]
+    assert empty == [("t", 0, None, 0, 0), ("u", 0, None, 0, 0)]
