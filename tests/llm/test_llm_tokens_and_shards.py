@@ -41,6 +41,24 @@ def test_one_very_long_match():
         assert CODEC.encode(text, 64) == library_ids(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(alphabet="abcdeiorst", min_size=1, max_size=120), st.text(alphabet="ax", max_size=200), st.text(alphabet="é日ü", max_size=60)), st.integers(1, 12))
+def test_halves_of_a_match_join_by_windows_of_tokens(word, leaf):
+    raw, ranks = word.encode(), CODEC.memo.ranks
+    whole = B.merge(raw, ranks)
+    assert B.encode_match(raw, ranks, leaf) == whole
+    for cut in range(0, len(raw) + 1, 1 + len(raw) // 7):
+        left, right = B.merge(raw[:cut], ranks), B.merge(raw[cut:], ranks)
+        if left and right:
+            assert B.join_tokens(left, right, ranks) == whole
+
+
+def test_memo_of_two_halves_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr(B, "MEMO_WORDS", 6)
+    text = " ".join(prose(k % 5, 40) for k in range(12))
+    assert B.Codec(public_tokenizers.path(B.TOKENIZER)).encode(text, 64) == library_ids(text)
+
+
 def test_op5_digests_on_awkward_rows(spark):
     rows = awkward() + [(90, "<|endoftext|> stays text"), (91, prose(4, 4000))]
     got = sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in B.token_digests(frame(spark, rows)).collect())
