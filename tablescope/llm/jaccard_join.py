@@ -15,8 +15,8 @@ class, and only classes are joined. Two sets link at 100 * intersection >= perce
    Jaccard's triangle inequality leaves it possible (distance z to p at most twice the threshold).
    Linked members then leave the list, and the rest chooses a new pivot.
 4. When that no longer halves the lists' pairs, the rest of each list falls into blocks by size (a block's
-   sizes and those of the next are within percent of each other), and an entry skips every block whose
-   least size is more than its place lets a partner have. Entries join within blocks of at most BLOCK of them. The
+   sizes and those of the next are within percent of each other), and an entry skips the block above its own if the
+   least size there is more than its place lets a partner have. Entries join within blocks of at most BLOCK of them. The
    sets of longer blocks don't: they join by whole parts of their shingles, rarest first (``_parts``), since
    linked sets differ in fewer shingles than there are parts, so texts mixed from few passages rarely meet.
 5. Components: iterated min-label hooking with pointer jumping, written to the checkpoint folder
@@ -168,7 +168,8 @@ def _blocked(entries: DataFrame, percent: int) -> DataFrame:
     g = group(F.col("n"))
     both = F.array(F.struct(g.alias("g"), F.lit(True).alias("home")), F.struct((g + 1).alias("g"), F.lit(False).alias("home")))
     laid = entries.select("token", "c", "n", "pos", reach.alias("reach"), F.explode(both).alias("x"))
-    return laid.filter(F.col("reach") >= least(F.col("x.g"))).select("token", "x.g", "c", "n", "pos", "x.home")
+    # An entry meets the group below in its own block, so its place never lets it skip that.
+    return laid.filter(F.col("x.home") | (F.col("reach") >= least(F.col("x.g")))).select("token", "x.g", "c", "n", "pos", "x.home")
 
 
 def _parts(sets: DataFrame, percent: int) -> DataFrame:

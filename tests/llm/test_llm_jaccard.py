@@ -100,6 +100,22 @@ def test_texts_mixed_from_few_passages_rarely_meet(spark, monkeypatch, block):
     assert met < pairs / 500 if block == 1 else met < size * block  # a block's pairs: at most half its size for each of its entries
 
 
+@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
+@pytest.mark.parametrize("block", [64, 0])
+def test_a_text_meets_a_shorter_one_of_the_group_of_sizes_below(spark, monkeypatch, n, percent, block):
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "REST_PAIRS", 10_000)  # no pivots: the blocks find every link
+    rows, k = [], 0
+    for size in range(40, 400, 9):  # a text and its beginning, just linked: all the longer one's rarest shingles are its own
+        long = [f"w{k}x{i}" for i in range(size + n - 1)]
+        short = -(-size * percent // 100)
+        rows += [(k, " ".join(long)), (k + 1, " ".join(long[:short + n - 1]))]
+        k += 2
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_join(frame(spark, rows), n, percent).collect())
+    assert got == brute(rows, n, percent)
+    assert all(c == i - i % 2 for i, _, c in got)
+
+
 def test_empty_table_and_table_of_empty_texts(spark):
     assert J.jaccard_join(frame(spark, []).limit(0)).collect() == []
     got = J.jaccard_join(frame(spark, [(1, None), (2, ""), (None, " ")])).collect()
