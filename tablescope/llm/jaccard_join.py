@@ -5,7 +5,7 @@ class, and only classes are joined. Two sets link at 100 * intersection >= perce
 
 1. Sets that can't link are skipped: a linked set shares all but ``slack`` = n - ceil(percent n) of its
    shingles, so a class with more shingles that no other class has is out. A quarter of the hash
-   range is counted first for all documents, the whole range for what is left.
+   range, written with the sets' keys, is counted first for all documents, the whole range for what is left.
 2. Index lists hold each set's prefix: its slack + 1 rarest shingles, of which linked sets share
    one. Shingles that only one set has take up prefix places but no list.
 3. Answers: each list's most shared member is its pivot. All members are compared with the pivot only.
@@ -31,6 +31,7 @@ candidate for a component's smallest doc_id.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,26 +73,34 @@ def _lone(tokens: DataFrame, key: str) -> DataFrame:
     return one.groupBy(key).agg(F.count(F.lit(1)).alias("lone"))
 
 
-def _find_classes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All sets (lazily), the keys of every row, and one row for each class."""
+class Sets(NamedTuple):
+    """The documents' sets, of which only ``keys`` (the key and a quarter of each) is written."""
+    docs: DataFrame
+    keys: DataFrame
+    words: int
+
+
+def _find_classes(docs: DataFrame, words: int) -> tuple[Sets, DataFrame, DataFrame]:
+    """All sets, the keys of every row, and one row for each class."""
     sets = docs.select("doc_id", text_key().alias("k"), shingle_set(text_of(), words).alias("set"))
-    keys = checkpoint(sets.select("doc_id", "k", F.size("set").cast("long").alias("n"), F.xxhash64("set").alias("s1"), F.xxhash64(F.lit("second"), "set").alias("s2")))
+    quarter = F.filter("set", lambda h: F.shiftrightunsigned(h, 62) == 0)
+    keys = checkpoint(sets.select("doc_id", "k", F.size("set").cast("long").alias("n"), F.xxhash64("set").alias("s1"),
+                                  F.xxhash64(F.lit("second"), "set").alias("s2"), quarter.alias("quarter")))
     o = F.coalesce("doc_id", F.lit(_LAST))
     classes = keys.filter("n > 0").groupBy("s1", "s2", "n").agg(
         F.min("doc_id").alias("least"), F.min(o).alias("rep"), F.min_by("k", o).alias("rep_k"))
-    return sets, keys, checkpoint(classes.withColumn("c", F.monotonically_increasing_id()))
+    return Sets(docs, keys, words), keys, checkpoint(classes.withColumn("c", F.monotonically_increasing_id()))
 
 
-def _prefix_lists(sets: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _prefix_lists(sets: Sets, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The sets that may link (c, n, set), and their index entries (token, c, n, pos, lone)."""
-    quarter = F.filter("set", lambda h: F.shiftrightunsigned(h, 62) == 0)
-    # The key is computed before the explode; in one select it would be hashed from the whole set for every shingle.
-    tokens = sets.select(F.xxhash64("set").alias("s1"), quarter.alias("some")).select("s1", F.explode("some").alias("token"))
+    tokens = sets.keys.select("s1", F.explode("quarter").alias("token"))
     alive = classes.join(_lone(tokens, "s1"), "s1", "left").filter(F.coalesce("lone", F.lit(0)) <= _slack(F.col("n"), percent))
     alive = checkpoint(alive.select("c", "n", "rep", "rep_k"))
     few = if_small(alive, 64)
-    o = F.coalesce(sets["doc_id"], F.lit(_LAST))
-    some = sets.join(few, (o == alive["rep"]) & (sets["k"] == alive["rep_k"])).select("c", "n", "set")
+    # Texts are cut into sets again after the join, for the few that are left.
+    texts = sets.docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("o"), text_key().alias("k"), text_of().alias("text"))
+    some = texts.join(few, (F.col("o") == F.col("rep")) & (F.col("k") == F.col("rep_k"))).select("c", "n", shingle_set(F.col("text"), sets.words).alias("set"))
     some = checkpoint(some.dropDuplicates(["c"]))
     tokens = some.select("c", F.explode("set").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")

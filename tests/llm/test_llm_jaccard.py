@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 from helpers import WORDS, awkward, frame, prose
+from pyspark.sql import functions as F
 
 from tablescope.llm import jaccard_join as J
 
@@ -116,6 +117,21 @@ def test_a_text_meets_a_shorter_one_of_the_group_of_sizes_below(spark, monkeypat
     assert all(c == i - i % 2 for i, _, c in got)
 
 
+def test_texts_that_link_with_nothing_are_cut_into_sets_once(spark, monkeypatch):
+    cuts, whole = spark.sparkContext.accumulator(0), J.shingle_set
+
+    def counted(text):
+        cuts.add(1)
+        return text
+
+    monkeypatch.setattr(J, "shingle_set", lambda text, words: whole(F.udf(counted, "string")(text), words))
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(60))) for k in range(300)]
+    rows += [(k + 1000, t + " more") for k, t in rows[:10]]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_join(frame(spark, rows)).collect())
+    assert got == brute(rows, 4, 85)
+    assert len(rows) <= cuts.value <= len(rows) + 40
+
+
 def test_empty_table_and_table_of_empty_texts(spark):
     assert J.jaccard_join(frame(spark, []).limit(0)).collect() == []
     got = J.jaccard_join(frame(spark, [(1, None), (2, ""), (None, " ")])).collect()
