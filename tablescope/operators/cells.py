@@ -6,8 +6,8 @@ Every step is keyed by ``dataset_id`` (and ``position``), so a thousand workbook
 graph and no decision goes through the driver:
 
 * cells are written once with a type vote each (``votes``); votes merge by column, before and after copies go;
-* columns: one aggregate by (dataset, position) gives the header name, how many cells are present and how a
-  reader would type them; blank names → ``Unnamed: i``, repeats → ``name.1`` (window per dataset
+* columns: one aggregate by (dataset, position) tells how many cells are present and how a
+  reader would type them, one of the header cells gives the names; blank names → ``Unnamed: i``, repeats → ``name.1`` (window per dataset
   and name, bounded by the header width);
 * dedup (A1/A2): a row is hashed over its typed cells (two 64-bit hashes combined by xor, so a row
   needs no list buffer), and rows of one dataset with equal hashes are copies. Typing comes
@@ -27,7 +27,7 @@ Every dataset with a header is in the results, also one without rows or with emp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import comma_to_dot, markers_to_null
@@ -58,9 +58,11 @@ def _prepare(cells: DataFrame) -> DataFrame:
 
 
 def _columns(c: DataFrame) -> DataFrame:
-    """(dataset_id, position, column_name, seen, every, some) from one aggregate."""
-    facts = c.groupBy("dataset_id", "position").agg(
-        F.max(F.when(F.col("is_header"), F.col("value"))).alias("raw_name"), F.count("vote").alias("seen"), *VT.tally(F.col("vote"), "every", "some"))
+    """(dataset_id, position, column_name, seen, every, some) from one aggregate of all cells and one of the headers."""
+    # Names apart from votes: a greatest text in the same aggregate would sort every cell.
+    key = ["dataset_id", "position"]
+    votes = c.groupBy(*key).agg(F.count("vote").alias("seen"), *VT.tally(F.col("vote"), "every", "some"))
+    facts = votes.join(c.where("is_header").groupBy(*key).agg(F.max("value").alias("raw_name")), key, "left")
     named = facts.withColumn("base", F.coalesce(F.nullif(F.col("raw_name"), F.lit("")),
                                                 F.concat(F.lit("Unnamed: "), (F.col("position") - 1).cast("string"))))
     k = F.row_number().over(Window.partitionBy("dataset_id", "base").orderBy("position")) - 1
@@ -115,36 +117,59 @@ def cleaning_summary(cells: DataFrame) -> DataFrame:
     return _summary(columns, counts)
 
 
+def _staying(body: DataFrame, drop: DataFrame) -> tuple[DataFrame, bool]:
+    """``body`` without the rows to drop, and whether these are few enough to broadcast. Joined by row number first: a
+    sort by dataset would compare whole keys where most cells are of few datasets."""
+    few = drop.count() * 64 <= _BROADCAST_BYTES
+    return body.join(F.broadcast(drop) if few else drop, ["row_no", "dataset_id"], "left_anti"), few
+
+
 def _distinct_cells(c: DataFrame, drop: DataFrame) -> DataFrame:
     """The present cells of the rows that stay. Without rows to drop that are too many to broadcast, nothing is written."""
     body = c.where(~F.col("is_header") & F.col("value").isNotNull()).select("dataset_id", "row_no", "position", "value", "vote")
-    if drop.count() * 64 <= _BROADCAST_BYTES:
-        return body.join(F.broadcast(drop), ["dataset_id", "row_no"], "left_anti")
-    return _ckpt(body.join(drop, ["dataset_id", "row_no"], "left_anti"))
+    stay, few = _staying(body, drop)
+    stay = stay.select(*body.columns)
+    return stay if few else _ckpt(stay)
+
+
+def _distinct_numbers(c: DataFrame, drop: DataFrame) -> DataFrame:
+    """(dataset_id, position, vote, value) of the present cells of the rows that stay, values as numbers, written: all that
+    the classes and the numeric profile read."""
+    body = c.where(~F.col("is_header") & F.col("value").isNotNull()).select(
+        "dataset_id", "row_no", "position", "vote", F.when(VT.has(F.col("vote"), VT.NUMBER), _number(F.col("value"))).alias("value"))
+    return _ckpt(_staying(body, drop)[0].select("dataset_id", "position", "vote", "value"))
 
 
 def _classes(dcells: DataFrame, columns: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row per (dataset, column): its class after cleaning and its gaps. Header-sized, written once."""
+    """One row per (dataset, column): its class after cleaning, its gaps and its number ``col``. Header-sized, written once."""
     kinds = dcells.groupBy("dataset_id", "position").agg(F.count(F.lit(1)).alias("present"), *VT.tally(F.col("vote"), "every", "some"))
     cols = (columns.select("dataset_id", "position", "column_name").join(kinds, ["dataset_id", "position"], "left")
             .join(counts, "dataset_id")
             .withColumn("cls", VT.cleaned_class(F.col("every"), F.col("some")))
             .withColumn("gaps", F.col("rows_out") - F.coalesce(F.col("present"), F.lit(0)))
             .drop("every", "some"))
+    cols = _ckpt(cols)  # read twice below
     types = S.detect_types(cols.where(F.col("cls") != "empty").select("dataset_id", "column_name"))
-    return _ckpt(cols.join(types, "dataset_id", "left").withColumn("detected_type", F.coalesce("detected_type", F.lit("unknown"))))
+    return _ckpt(cols.join(types, "dataset_id", "left").withColumn("detected_type", F.coalesce("detected_type", F.lit("unknown")))
+                 .withColumn("col", F.monotonically_increasing_id()))
 
 
-def _numeric_cells(dcells: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((dataset_id, position, value) of the present cells of the numeric columns ``classes``, written, as the median reads
-    them in several passes; and their moments before any fill)."""
-    key = ["dataset_id", "position"]
-    x = F.trim(comma_to_dot(F.col("value"))).try_cast("double")
-    values = _ckpt(dcells.join(classes.select(*key), key, "left_semi").select(*key, x.alias("value")))
-    moments = values.groupBy(*key).agg(
+def _number(value: Column) -> Column:
+    return F.trim(comma_to_dot(value)).try_cast("double")
+
+
+def _moments(values: DataFrame) -> DataFrame:
+    """Moments of each column of numbers before any fill."""
+    return values.groupBy("col").agg(
         F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"),
         F.var_samp("value").alias("_var"), F.count("value").alias("_n"))
-    return values, moments
+
+
+def _numeric_cells(numbers: DataFrame, classes: DataFrame) -> DataFrame:
+    """(col, value) of the ``numbers`` (dataset_id, position, value) of the columns ``classes``, written, as the median reads
+    them in several passes."""
+    key = ["dataset_id", "position"]
+    return _ckpt(numbers.select(*key, "value").join(classes.select(*key, "col"), key).select("col", "value"))
 
 
 def _text_cells(dcells: DataFrame, classes: DataFrame) -> DataFrame:
@@ -169,12 +194,13 @@ def cleaned_cells(cells: DataFrame) -> DataFrame:
     columns = _columns(c)
     counts, drop = _rows(c, columns)
     dcells = _distinct_cells(c, drop)
-    kept = _classes(dcells, columns, counts).where(F.col("cls") != "empty").select("dataset_id", "position", "column_name", "cls", "gaps")
+    kept = _classes(dcells, columns, counts).where(F.col("cls") != "empty").select("dataset_id", "position", "column_name", "cls", "gaps", "col")
     key = ["dataset_id", "position"]
     v = F.col("value")
-    clean = dcells.join(_header_sized(kept.drop("gaps"), columns), key).withColumn("value", F.when(F.col("cls").isin("numeric", "text"), comma_to_dot(v)).otherwise(v))
+    clean = dcells.join(_header_sized(kept.drop("gaps", "col"), columns), key).withColumn("value", F.when(F.col("cls").isin("numeric", "text"), comma_to_dot(v)).otherwise(v))
     gaps = kept.where(F.col("gaps") > 0)
-    _, moments = _numeric_cells(dcells, gaps.where("cls = 'numeric'"))
+    numbers = _numeric_cells(dcells.withColumn("value", _number(v)), gaps.where("cls = 'numeric'"))
+    moments = _moments(numbers).join(gaps.select(*key, "col"), "col")
     modes = most_common(_ckpt(_text_cells(dcells, gaps.where("cls = 'text'"))), key)
     fills = moments.select(*key, F.col("mean").cast("string").alias("fill")).unionByName(modes.select(*key, F.col("top").alias("fill")))
     fills = (gaps.join(fills, key).groupBy("dataset_id").agg(F.collect_list(F.struct("position", "column_name", "cls", "fill")).alias("_fills"))
@@ -188,20 +214,23 @@ def cleaned_cells(cells: DataFrame) -> DataFrame:
     return clean.select("dataset_id", "row_no", "position", "column_name", "cls", "value").unionByName(holes)
 
 
-def _numeric_profile(dcells: DataFrame, kept: DataFrame, **median_opts) -> DataFrame:
-    """Statistics of the numeric columns after the mean fill. Identifiers are left out of student datasets."""
+def _numeric_columns(kept: DataFrame) -> DataFrame:
+    """The numeric columns to profile. Identifiers are left out of student datasets."""
+    return (kept.where(F.col("cls") == "numeric")
+            .where(~((F.col("detected_type") == "student") & S.is_identifier_name(F.col("column_name")))))
+
+
+def _numeric_profile(values: DataFrame, num_cols: DataFrame, **median_opts) -> DataFrame:
+    """Statistics of the numeric columns after the mean fill, from their ``values`` (col, value)."""
     key = ["dataset_id", "position"]
-    num_cols = (kept.where(F.col("cls") == "numeric")
-                .where(~((F.col("detected_type") == "student") & S.is_identifier_name(F.col("column_name")))))
-    values, moments = _numeric_cells(dcells, num_cols)
-    stats = num_cols.select(*key, "column_name", "rows_out", "gaps").join(moments, key)
+    stats = num_cols.select(*key, "col", "column_name", "rows_out", "gaps").join(_moments(values), "col")
     # After the mean fill: same mean/min/max; squared deviations unchanged, spread over all rows.
     m2 = F.coalesce(F.col("_var") * (F.col("_n") - 1), F.lit(0.0))
     stats = _ckpt(stats.withColumn("std", F.when(F.col("rows_out") > 1, F.sqrt(m2 / (F.col("rows_out") - 1)))))
-    fill_rows = stats.where(F.col("gaps") > 0).select(*key, F.col("mean").alias("value"), F.col("gaps").alias("w"))
-    weighted = values.select(*key, "value", F.lit(1).cast("bigint").alias("w")).unionByName(fill_rows)
-    med = exact_median(weighted, key, weight_col="w", **median_opts)
-    return stats.join(med, key, "left").select(
+    fill_rows = stats.where(F.col("gaps") > 0).select("col", F.col("mean").alias("value"), F.col("gaps").alias("w"))
+    weighted = values.select("col", "value", F.lit(1).cast("bigint").alias("w")).unionByName(fill_rows)
+    med = exact_median(weighted, ["col"], weight_col="w", **median_opts)
+    return stats.join(med, "col", "left").select(
         *key, "column_name", F.col("rows_out").alias("row_count"), "mean", "median",
         "min", "max", "std", F.lit(0).cast("bigint").alias("missing"))
 
@@ -234,7 +263,9 @@ def profile_cells(cells: DataFrame, materialize: bool = True, **median_opts):
                   F.size("_c").cast("int").alias("column_count"),
                   F.transform("_c", lambda s: s["column_name"]).alias("columns"), "detected_type"))
     summary = _summary(columns, counts)
-    num = _numeric_profile(dcells, kept, **median_opts)
+    num_cols = _numeric_columns(kept)
+    numbers = _numeric_cells(dcells.withColumn("value", _number(F.col("value"))), num_cols)
+    num = _numeric_profile(numbers, num_cols, **median_opts)
     cat = _categorical_profile(dcells, kept)
     if materialize:
         ds, num, cat, summary = (_ckpt(d) for d in (ds, num, cat, summary))
@@ -246,8 +277,9 @@ def numeric_profile_cells(cells: DataFrame, **median_opts) -> DataFrame:
     c = _prepare(cells)
     columns = _columns(c)
     counts, drop = _rows(c, columns)
-    dcells = _distinct_cells(c, drop)
-    return _numeric_profile(dcells, _classes(dcells, columns, counts).where(F.col("cls") != "empty"), **median_opts)
+    numbers = _distinct_numbers(c, drop)
+    num_cols = _numeric_columns(_classes(numbers, columns, counts).where(F.col("cls") != "empty"))
+    return _numeric_profile(_numeric_cells(numbers.where(VT.has(F.col("vote"), VT.NUMBER)), num_cols), num_cols, **median_opts)
 
 
 def stack_table(df: DataFrame, dataset_col: str, row_col: str, data_cols=None) -> DataFrame:
