@@ -45,3 +45,18 @@ def test_rows_are_copies_by_typed_value(spark, copies):
     rows = [("d", 0, 1, "n", "s", True)] + [("d", k + 1, 1, v, "s", False) for k, v in enumerate(copies)]
     out = CL.cleaning_summary(spark.createDataFrame(rows, "dataset_id string, row_no bigint, position int, value string, kind string, is_header boolean")).first()
     assert out["rows_out"] == len({int(v) for v in copies})
+
+
+def test_numeric_profile_writes_texts_of_cells_once(spark, monkeypatch):
+    """Also with more rows to drop than a broadcast holds, what is written after the cells themselves are numbers."""
+    rows = [("a", 0, 1, "x", "s"), ("a", 0, 2, "y", "s")]
+    rows += [("a", r, p, str(r % 7) + (",5" if p == 2 else ""), "s") for r in range(1, 30) for p in (1, 2) if (r % 7, p) != (3, 1)]
+    table = spark.createDataFrame(rows, "dataset_id string, row_no bigint, position int, value string, kind string")
+    written, write = [], CL._ckpt
+    want = sorted(map(tuple, CL.numeric_profile_cells(table).collect()))
+    monkeypatch.setattr(CL, "_ckpt", lambda df: written.append(dict(df.dtypes).get("value")) or write(df))
+    monkeypatch.setattr(CL, "_BROADCAST_BYTES", 0)
+    got = sorted(map(tuple, CL.numeric_profile_cells(table).collect()))
+    assert got == want
+    assert [g[:8] for g in got] == [("a", 1, "x", 7, 3.0, 3.0, 0.0, 6.0), ("a", 2, "y", 7, 3.5, 3.5, 0.5, 6.5)]
+    assert written.count("string") == 1
